@@ -1,0 +1 @@
+"""No stream operators: the work this library covers is batch only (see README)."""
