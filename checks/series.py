@@ -25,16 +25,15 @@ def daily_resample(spark, sf):
 
 
 @query("daily_calendar", """
-WITH cells AS (SELECT DISTINCT CAST(user_id AS INTEGER) AS cell FROM events WHERE event_type = 'error'),
+WITH cells AS (SELECT DISTINCT CAST(user_id AS INTEGER) AS cell FROM events),
 days AS (SELECT CAST(d AS DATE) AS date FROM generate_series(DATE '2024-01-01', DATE '2024-02-10', INTERVAL 1 DAY) t(d))
 SELECT c.cell, d.date, round(coalesce(sum(value), 0), 2) AS total, round(avg(value), 6) AS mean
 FROM cells c CROSS JOIN days d LEFT JOIN events e
-  ON e.user_id = c.cell AND e.ts::DATE = d.date AND event_type = 'error'
+  ON e.user_id = c.cell AND e.ts::DATE = d.date
 GROUP BY ALL""")
 def daily_calendar(spark, sf):
     """Missing days filled: 0 for sums, null for means."""
-    rows = table(spark, sf, "events").filter("event_type = 'error'").withColumn(
-        "cell", F.col("user_id").cast("int"))
+    rows = table(spark, sf, "events").withColumn("cell", F.col("user_id").cast("int"))
     out = timeseries.daily(
         rows, ["cell"], "ts", {"total": ("value", "sum"), "mean": ("value", "mean")},
         calendar=("2024-01-01", "2024-02-10"),

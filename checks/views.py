@@ -90,7 +90,7 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rings = F.when(k % 3 == 0, ring(SHAPES[0])).when(k % 3 == 1, ring(SHAPES[1])).otherwise(ring(SHAPES[2]))
     return table(spark, sf_dir, "supplier").select(
-        k.alias("region_id"), rings.alias("rings"), (k % 30).cast("int").alias("gridcode")
+        k.alias("region_id"), rings.alias("rings"), (k * 7).alias("gridcode")
     )
 
 
@@ -107,13 +107,13 @@ def _shape_values() -> str:
 
 
 EDGES_SQL = f"""
-v_shape(kind, ax, ay, bx, by) AS (VALUES {_shape_values()}),
+v_shape(kind, px, py, qx, qy) AS (VALUES {_shape_values()}),
 v_edges AS (
   SELECT s_suppkey AS region_id,
-    -180::DOUBLE + 0.25::DOUBLE * ((s_suppkey * 17 % 40)::DOUBLE + ax) AS x1,
-    80::DOUBLE - 0.25::DOUBLE * (s_suppkey * 0.375::DOUBLE + ay) AS y1,
-    -180::DOUBLE + 0.25::DOUBLE * ((s_suppkey * 17 % 40)::DOUBLE + bx) AS x2,
-    80::DOUBLE - 0.25::DOUBLE * (s_suppkey * 0.375::DOUBLE + by) AS y2
+    -180::DOUBLE + 0.25::DOUBLE * ((s_suppkey * 17 % 40)::DOUBLE + px) AS x1,
+    80::DOUBLE - 0.25::DOUBLE * (s_suppkey * 0.375::DOUBLE + py) AS y1,
+    -180::DOUBLE + 0.25::DOUBLE * ((s_suppkey * 17 % 40)::DOUBLE + qx) AS x2,
+    80::DOUBLE - 0.25::DOUBLE * (s_suppkey * 0.375::DOUBLE + qy) AS y2
   FROM supplier JOIN v_shape ON kind = s_suppkey % 3),
 v_inside AS (
   SELECT c.cell, c.lat_i, c.lon_i, e.region_id FROM v_grid c JOIN v_edges e

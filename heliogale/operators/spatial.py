@@ -219,7 +219,7 @@ def kernel_smooth(
     )
     side = block + 2 * radius
 
-    def smooth_block(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def smooth_block(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         i = rows["_i"].to_numpy() - key[0] * block + radius
         j = rows["_j"].to_numpy() - key[1] * block + radius
         field = np.full((side, side), np.nan)

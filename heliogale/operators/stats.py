@@ -11,7 +11,10 @@ from heliogale.functions.pvalues import chi2_p_value
 from heliogale.plans.joins import dim_join
 from heliogale.plans.quantiles import exact_quantiles
 
-ALL = W.partitionBy()  # only ever used on result tables of a few dozen class rows
+
+def _grand_total(c: str) -> Column:
+    """Total over a whole result table; only used on tables of a few dozen class rows."""
+    return F.sum(c).over(W.partitionBy())
 
 
 # ---- fitted scalars ---------------------------------------------------------
@@ -98,7 +101,7 @@ def proximity_fraction(df: DataFrame, settlement: str, latitude: str, size: floa
 def share(df: DataFrame, keys: list[str], count: str | None = None) -> DataFrame:
     """Percentage of rows per class; ``keys`` are class labels, so the result is small."""
     n = F.count(F.lit(1)).alias("_n")
-    pct = F.col("_n") / F.sum("_n").over(ALL) * 100
+    pct = F.col("_n") / _grand_total("_n") * 100
     out = df.groupBy(*keys).agg(n).withColumn("percentage", pct)
     return out.withColumnRenamed("_n", count) if count else out.drop("_n")
 
@@ -147,7 +150,7 @@ def cramers_v(df: DataFrame, a: str, b: str, a_vals: list, b_vals: list, p_value
         {
             "_r": F.sum("n").over(W.partitionBy(a)),
             "_c": F.sum("n").over(W.partitionBy(b)),
-            "_n": F.sum("n").over(ALL),
+            "_n": _grand_total("n"),
         }
     )
     expected = F.col("_r") * F.col("_c") / F.col("_n")
@@ -170,7 +173,7 @@ def pivot_share(shares: DataFrame, row: str, column: str, value: str, columns: l
 def climate_share(df: DataFrame, base: str, climate: str, bases: list, climates: list) -> DataFrame:
     """Every (climate, base) pair as a percentage of all counted cells."""
     t = crosstab(df, climate, base, climates, bases)
-    return t.withColumn("percentage", fn.safe_ratio(F.col("n") * fn.dbl(100), F.sum("n").over(ALL)))
+    return t.withColumn("percentage", fn.safe_ratio(F.col("n") * fn.dbl(100), _grand_total("n")))
 
 
 # ---- distributions ----------------------------------------------------------
@@ -196,7 +199,7 @@ def histogram(df: DataFrame, value: str, bins: int, limits: tuple[float, float]
     table = counts.unionByName(empty).groupBy("bin").agg(F.sum("n").alias("n"))
     return table.select(
         "bin", (lo + F.col("bin") * fn.dbl(width)).alias("left"), "n",
-        fn.safe_ratio(F.col("n") / fn.dbl(width), F.sum("n").over(ALL)).alias("density"),
+        fn.safe_ratio(F.col("n") / fn.dbl(width), _grand_total("n")).alias("density"),
     )
 
 
@@ -213,7 +216,7 @@ def kde(df: DataFrame, value: str, by: str, points: int = 200, cut: float = 3.0,
     stats = rows.groupBy(by).agg(
         F.count(F.lit(1)).alias("_n"), F.stddev_samp(value).alias("_sd"),
         F.min(value).alias("_min"), F.max(value).alias("_max"),
-    ).withColumn("_all", F.sum("_n").over(ALL))
+    ).withColumn("_all", _grand_total("_n"))
     band = F.col("_sd") * F.pow(F.col("_n"), fn.dbl(-0.2))
     stats = stats.withColumn("_h", band).filter(F.col("_h") > 0)
     lo = fn.dbl(support[0]) if support else F.col("_min") - cut * F.col("_h")
