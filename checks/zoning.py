@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.cells import CLIMATE_SQL, climate_cells
 from checks.registry import query
-from checks.views import CELLS_SQL, EDGES_SQL, GRID_SQL, MASKS_SQL, masked_cells
+from checks.views import CELLS_SQL, EDGES_SQL, GRID_SQL, MASKS_SQL, grid_cells, masked_cells
 from heliogale import config
 from heliogale.functions import columns as fn
 from heliogale.operators import stats, zones
@@ -59,7 +59,10 @@ v_grouped AS (SELECT *, base || {suffix} AS subgroup FROM v_base)"""
 
 
 def labelled(spark, sf, scheme: str = "detailed"):
-    return zones.classify(masked_cells(spark, sf), SPECS[scheme])
+    """Labels; the demand median needs the cells only, not their masks."""
+    spec = SPECS[scheme]
+    median = stats.quantile_threshold(grid_cells(spark, sf), "demand", 0.5) if spec.demand else None
+    return zones.classify(masked_cells(spark, sf), spec, demand_threshold=median)
 
 
 def grouped(spark, sf, scheme: str = "detailed"):

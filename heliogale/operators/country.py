@@ -13,6 +13,7 @@ from heliogale.functions import columns as fn
 from heliogale.functions.pvalues import correlation_p_value
 from heliogale.plans.joins import dim_join, heavy_split_join
 from heliogale.plans.ranks import rank_table
+from heliogale.plans.session import pinned
 
 
 def _with_groups(df: DataFrame, region: str, extra: dict[str, list[str]] | None) -> DataFrame:
@@ -35,9 +36,10 @@ def correlate(
     of them are left out. ``extra_groups`` adds unions of regions as further rows. A
     constant side gives a null correlation.
 
-    Spearman is the correlation of average ranks. Ranks come from a table of distinct
-    values, and moments are taken over distinct (x, y) pairs, so neither a country holding
-    a third of all cells nor a value shared by a third of them lands in one task.
+    Spearman is the correlation of average ranks. The rows collapse to distinct (x, y)
+    pairs per region, and ranks come from a table of distinct values, so neither a country
+    holding a third of all cells nor a value shared by a third of them lands in one task.
+    The pairs are pinned: the input is evaluated once however often they are used.
     """
     if method not in ("spearman", "pearson"):
         raise ValueError(f"unknown method {method!r}")
@@ -45,33 +47,45 @@ def correlate(
     rows = _with_groups(
         df.select(region, *used).na.drop(subset=[region, *used]), region, extra_groups
     )
-    means = rows.groupBy(region).agg(
-        F.count(F.lit(1)).alias("n_pixels"), *[F.avg(c).alias(f"avg_{c}") for c in used],
-        *([_pearson(x, y)] if method == "pearson" else []),
-    )
-    result = means.filter(F.col("n_pixels") >= min_n)
-    if method == "spearman":
-        result = result.join(_rank_correlation(rows, region, x, y), region, "left")
+    n = F.count(F.lit(1)).alias("n_pixels")
+    if method == "pearson":
+        spread = F.stddev_pop(x) * F.stddev_pop(y)
+        corr = fn.safe_ratio(F.covar_pop(x, y), spread).alias("corr")
+        result = rows.groupBy(region).agg(n, *[F.avg(c).alias(f"avg_{c}") for c in used], corr)
+        result = result.filter(F.col("n_pixels") >= min_n)
+    else:
+        sums = [F.sum(c).alias(f"_sum_{c}") for c in used]
+        pairs = pinned(
+            rows.groupBy(region, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+            .agg(F.count(F.lit(1)).alias("_w"), *sums)
+        )
+        n = F.sum("_w").alias("n_pixels")
+        result = (
+            pairs.groupBy(region)
+            .agg(n, *[(F.sum(f"_sum_{c}") / F.sum("_w")).alias(f"avg_{c}") for c in used])
+            .filter(F.col("n_pixels") >= min_n)
+            .join(_rank_correlation(pairs.select(region, "_x", "_y", "_w"), region), region, "left")
+        )
     if p_value:
         result = result.withColumn("p_value", correlation_p_value(F.col("corr"), F.col("n_pixels")))
     return result
 
 
-def _pearson(x: str, y: str) -> Column:
-    spread = F.stddev_pop(x) * F.stddev_pop(y)
-    return fn.safe_ratio(F.covar_pop(x, y), spread).alias("corr")
-
-
-def _rank_correlation(rows: DataFrame, region: str, x: str, y: str) -> DataFrame:
-    pairs = rows.groupBy(region, x, y).agg(F.count(F.lit(1)).alias("_w"))
-    for side, name in ((x, "_rx"), (y, "_ry")):
-        ranks, total = rank_table(rows, [region], side)
-        # Mean rank is (n + 1) / 2 exactly, ties or not.
-        centred = ranks.select(
-            region, side, "ties", (F.col("avg_rank") - (F.col("group_n") + 1) / 2).alias(name)
+def _rank_correlation(pairs: DataFrame, region: str) -> DataFrame:
+    """Correlation of average ranks per region from weighted distinct (_x, _y) pairs."""
+    sides = F.array(
+        *[F.struct(F.lit(s).alias("_side"), F.col(s).alias("_v")) for s in ("_x", "_y")]
+    )
+    values = pairs.select(region, F.inline(sides), "_w")
+    ranks = pinned(rank_table(values, [region, "_side"], "_v", "_w"))
+    for side in ("_x", "_y"):
+        # The mean rank is (n + 1) / 2 exactly, ties or not.
+        centred = ranks.filter(F.col("_side") == side).select(
+            region, F.col("_v").alias(side), "ties",
+            (F.col("avg_rank") - (F.col("group_n") + 1) / 2).alias(f"_r{side}"),
         )
-        pairs = heavy_split_join(pairs, centred, [region, side], "ties", total).drop("ties")
-    w, rx, ry = F.col("_w"), F.col("_rx"), F.col("_ry")
+        pairs = heavy_split_join(pairs, centred, [region, side], "ties").drop("ties")
+    w, rx, ry = F.col("_w"), F.col("_r_x"), F.col("_r_y")
     spread = F.sqrt(F.sum(w * rx * rx)) * F.sqrt(F.sum(w * ry * ry))
     return pairs.groupBy(region).agg(fn.safe_ratio(F.sum(w * rx * ry), spread).alias("corr"))
 

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
-HEAVY_SHARE = 1000  # a key is heavy above 1/1000 of all rows, so at most 1000 are
+HEAVY_SHARE = 1000  # a key above 1/1000 of all rows is heavy, so at most 1000 keys are
+HEAVY_ROWS = 100_000  # and it has at least this many rows
 
 
 def dim_join(
@@ -33,17 +34,25 @@ def dim_join(
 
 
 def heavy_split_join(
-    rows: DataFrame, table: DataFrame, on: list[str], weight: str, total: int
+    rows: DataFrame, table: DataFrame, on: list[str], weight: str, heavy_rows: int = HEAVY_ROWS
 ) -> DataFrame:
     """Inner join where ``table`` knows how many rows (``weight``) each of its keys has.
 
-    Keys above ``total / HEAVY_SHARE`` rows are at most ``HEAVY_SHARE`` by counting, so
+    Keys above 1/``HEAVY_SHARE`` of all rows are at most ``HEAVY_SHARE`` by counting, so
     they are broadcast and their rows never shuffle; every other key is light enough for
-    an ordinary shuffle join. Both parts together are the whole join.
+    an ordinary shuffle join. Both parts together are the whole join. ``table`` is read
+    more than once and should be a stored or pinned table.
     """
-    limit = max(1, total // HEAVY_SHARE)
-    heavy = F.broadcast(table.filter(F.col(weight) > limit))
-    light = table.filter(F.col(weight) <= limit)
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    limit = max(heavy_rows, total // HEAVY_SHARE)
+    is_heavy = F.col(weight) > limit
+    n_heavy, n_light = table.agg(F.count_if(is_heavy), F.count_if(~is_heavy)).first()
+    if not n_heavy:
+        return rows.join(table, on, "inner")
+    heavy = F.broadcast(table.filter(is_heavy))  # at most HEAVY_SHARE rows
     part_heavy = rows.join(heavy, on, "inner")
-    part_light = rows.join(heavy.select(*on), on, "left_anti").join(light, on, "inner")
+    if not n_light:
+        return part_heavy
+    part_light = rows.join(heavy.select(*on), on, "left_anti").join(
+        table.filter(~is_heavy), on, "inner")
     return part_heavy.unionByName(part_light)

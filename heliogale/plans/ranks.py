@@ -14,51 +14,38 @@ from pyspark.sql import functions as F
 from heliogale.plans.joins import dim_join
 from heliogale.plans.session import pinned
 
-CUT_BITS = 8  # 2**8 ranges per group
+RANGES = 128  # value ranges per group
 
 
-def rank_table(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, int]:
-    """Distinct ``(keys, value)`` with ``ties``, ``avg_rank`` (1-based) and ``group_n``.
+def rank_table(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
+    """Distinct ``(keys, value)`` with ``ties`` (rows sharing it), ``avg_rank`` (1-based)
+    and ``group_n``. ``df`` has ``weight`` equal rows per row; ``value`` is a double.
 
-    Returns the table and the number of non-null rows ranked. The cut points are pinned
-    so that both uses of them below see the same cuts.
+    The cut points are pinned so that both uses of them below see the same cuts.
     """
-    ties = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("ties"))
-    )
-    n_cuts = 2**CUT_BITS - 1
-    probs = F.array(*[F.lit((i + 1) / (n_cuts + 1)) for i in range(n_cuts)])
+    rows = df.filter(F.col(value).isNotNull())
+    ties = rows.groupBy(*keys, value).agg(F.sum(weight).alias("ties"))
+    probs = F.array(*[F.lit((i + 1) / RANGES) for i in range(RANGES - 1)])
     cuts = pinned(
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys)
-        .agg(
-            F.percentile_approx(F.col(value).cast("double"), probs, 2048).alias("_cuts"),
-            F.count(F.lit(1)).alias("group_n"),
+        rows.groupBy(*keys).agg(
+            F.percentile_approx(value, probs, 2048).alias("_cuts"), F.sum(weight).alias("group_n")
         )
     )
-    total = cuts.agg(F.sum("group_n")).first()[0] or 0
-
-    placed = dim_join(ties, cuts, keys, "inner").withColumn("_range", F.lit(0))
-    for bit in reversed(range(CUT_BITS)):  # binary search, one comparison per bit
-        probe = F.col("_range") + F.lit(2**bit)
-        placed = placed.withColumn(
-            "_range",
-            F.when(F.element_at("_cuts", probe) <= F.col(value), probe).otherwise(F.col("_range")),
-        )
-    placed = placed.drop("_cuts")
+    # A range is the number of cuts at or below the value: a short scan of one array.
+    placed = (
+        dim_join(ties, cuts, keys, "inner")
+        .withColumn("_range", F.size(F.filter("_cuts", lambda cut: cut <= F.col(value))))
+        .drop("_cuts")
+    )
 
     below = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (  # at most 2**CUT_BITS rows per group
+    offsets = (  # at most RANGES rows per group
         placed.groupBy(*keys, "_range")
         .agg(F.sum("ties").alias("_n"))
         .withColumn("_below", F.coalesce(F.sum("_n").over(below), F.lit(0)))
         .drop("_n")
     )
-    upto = (
-        W.partitionBy(*keys, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    )
+    upto = W.partitionBy(*keys, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     ranked = (
         placed.withColumn("_upto", F.sum("ties").over(upto))
         .join(offsets, [*keys, "_range"])
@@ -66,4 +53,4 @@ def rank_table(df: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, i
             "avg_rank", F.col("_below") + F.col("_upto") - (F.col("ties") - 1) / F.lit(2.0)
         )
     )
-    return ranked.select(*keys, value, "ties", "avg_rank", "group_n"), total
+    return ranked.select(*keys, value, "ties", "avg_rank", "group_n")
