@@ -15,14 +15,21 @@ CELL = ["lat_i", "lon_i"]
 
 
 # ---- polygons ---------------------------------------------------------------
-def edges(polygons: DataFrame, region: str = "region_id", rings: str = "rings") -> DataFrame:
+def edges(
+    polygons: DataFrame, region: str = "region_id", rings: str = "rings", part: str | None = None
+) -> DataFrame:
     """Edge table of polygons given as rings of ``struct<x, y>`` vertices.
 
     Rings are closed when their last vertex differs from the first. All rings of a region
-    count together, so inner rings are holes. Horizontal edges never cross a row's
+    count together, so inner rings are holes. A region given in several rows that may
+    overlap needs a ``part`` column telling them apart: it is the union of its parts.
+    Horizontal edges never cross a row's
     latitude under the half-open rule and are dropped.
     """
-    ring = polygons.select(F.col(region).alias("region_id"), F.posexplode(rings).alias("ring", "_p"))
+    piece = F.lit(0) if part is None else F.col(part)
+    ring = polygons.select(
+        F.col(region).alias("region_id"), piece.alias("part"), F.posexplode(rings).alias("ring", "_p")
+    )
     closed = F.when(
         F.element_at("_p", 1) == F.element_at("_p", -1), F.col("_p")
     ).otherwise(F.concat("_p", F.slice("_p", 1, 1)))
@@ -33,7 +40,7 @@ def edges(polygons: DataFrame, region: str = "region_id", rings: str = "rings")
         .withColumn("_e", F.explode(F.arrays_zip(
             F.slice("_p", F.lit(1), n - 1).alias("a"), F.slice("_p", F.lit(2), n - 1).alias("b"))))
         .select(
-            "region_id", "ring",
+            "region_id", "part", "ring",
             F.col("_e.a.x").alias("x1"), F.col("_e.a.y").alias("y1"),
             F.col("_e.b.x").alias("x2"), F.col("_e.b.y").alias("y2"),
         )
@@ -46,7 +53,8 @@ def _span(low: Column, high: Column) -> Column:
 
 
 def rasterise(edge_rows: DataFrame, grid: Grid) -> DataFrame:
-    """Grid cells whose centre lies inside each region: distinct ``(region_id, lat_i, lon_i)``.
+    """Grid cells whose centre lies inside each region: ``(region_id, lat_i, lon_i)``, once
+    per part that covers the cell.
 
     Even-odd rule row by row: an edge meets each grid row it spans in one longitude; in a
     row, the sorted longitudes of a region pair up into inside runs ``[enter, leave)``.
@@ -61,12 +69,12 @@ def rasterise(edge_rows: DataFrame, grid: Grid) -> DataFrame:
     meets = F.col("x1") + (lat - F.col("y1")) * (F.col("x2") - F.col("x1")) / (
         F.col("y2") - F.col("y1")
     )
-    row = W.partitionBy("region_id", "lat_i").orderBy("enter")
+    row = W.partitionBy("region_id", "part", "lat_i").orderBy("enter")
     runs = (
         edge_rows.filter(F.col("y1") != F.col("y2"))
         .withColumn("lat_i", _span(first, last))
         .filter((lat >= bottom) & (lat < top))
-        .select("region_id", "lat_i", meets.alias("enter"))
+        .select("region_id", "part", "lat_i", meets.alias("enter"))
         .withColumns({"leave": F.lead("enter").over(row), "_k": F.row_number().over(row)})
         .filter((F.col("_k") % 2 == 1) & (F.col("enter") < F.col("leave")))
     )
