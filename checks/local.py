@@ -17,6 +17,8 @@ def session(cpus: str | int | None = None, partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEMORY", "12g"))
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.sql.shuffle.partitions", str(partitions))
+        # Call sites recorded per Column help interactive debugging only.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)

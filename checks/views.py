@@ -2,43 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliogale.config import Grid
-from heliogale.functions import columns as fn
 from heliogale.operators import spatial, timeseries
 
 LON0, LAT0, RES, WIDTH = -180.0, 80.0, 0.25, 40
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# Declared schemas: no job is spent on reading footers to infer them.
+SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+                "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, "
+                "l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+}
 
 
-# ---- customer grid ----------------------------------------------------------
-def _null_every(k: Column, n: int, value: Column) -> Column:
-    return F.when(k % n != 0, value)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+# ---- customer grid ----------------------------------------------------------
 def grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One cell per customer, 40 columns wide, with holes, zeros and threshold ties."""
-    k = F.col("c_custkey")
-    lat_i, lon_i = F.floor(k / WIDTH).cast("int"), (k % WIDTH).cast("int")
-    wind = F.when(k % 17 == 0, None).when(k % 23 == 0, fn.dbl(0)).otherwise(
-        (F.col("c_acctbal") + 1000) / 22000
-    )
-    return table(spark, sf_dir, "customer").select(
-        k.alias("cell"), lat_i.alias("lat_i"), lon_i.alias("lon_i"),
-        (fn.dbl(LAT0) - fn.dbl(RES) * lat_i).alias("latitude"),
-        (fn.dbl(LON0) + fn.dbl(RES) * lon_i).alias("longitude"),
-        wind.alias("wind_CF"),
-        _null_every(k, 19, fn.dbl(0.10) + (k % 13) / 100).alias("solar_CF"),
-        (k * 7 % 101 / 100).alias("demand"),
-        _null_every(k, 31, (k * 11 % 29).cast("double")).alias("storage"),
-        (fn.dbl(5) + (k % 9) / 2).alias("wind_climatology"),
-        ((100 + k % 170) * 3600).cast("double").alias("solar_climatology"),
-        F.col("c_nationkey").alias("country"), F.col("c_mktsegment").alias("segment"),
+    return table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS cell",
+        "cast(c_custkey div 40 AS INT) AS lat_i", "cast(c_custkey % 40 AS INT) AS lon_i",
+        "80d - 0.25d * (c_custkey div 40) AS latitude", "-180d + 0.25d * (c_custkey % 40) AS longitude",
+        "CASE WHEN c_custkey % 17 = 0 THEN NULL WHEN c_custkey % 23 = 0 THEN 0d"
+        " ELSE (c_acctbal + 1000) / 22000 END AS wind_CF",
+        "CASE WHEN c_custkey % 19 <> 0 THEN 0.1d + (c_custkey % 13) / 100d END AS solar_CF",
+        "(c_custkey * 7 % 101) / 100d AS demand",
+        "CASE WHEN c_custkey % 31 <> 0 THEN cast(c_custkey * 11 % 29 AS DOUBLE) END AS storage",
+        "5d + (c_custkey % 9) / 2d AS wind_climatology",
+        "cast((100 + c_custkey % 170) * 3600 AS DOUBLE) AS solar_climatology",
+        "c_nationkey AS country", "c_mktsegment AS segment",
     )
 
 
@@ -76,22 +83,15 @@ SHAPES = (
 
 
 def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("s_suppkey")
-    cx, cy = (k * 17 % WIDTH).cast("double"), k * fn.dbl(0.375)
-
-    def ring(shape) -> Column:
-        return F.array(F.array(*[
-            F.struct(
-                (fn.dbl(LON0) + fn.dbl(RES) * (cx + fn.dbl(x))).alias("x"),
-                (fn.dbl(LAT0) - fn.dbl(RES) * (cy + fn.dbl(y))).alias("y"),
-            )
-            for x, y in shape
-        ]))
-
-    rings = F.when(k % 3 == 0, ring(SHAPES[0])).when(k % 3 == 1, ring(SHAPES[1])).otherwise(ring(SHAPES[2]))
-    return table(spark, sf_dir, "supplier").select(
-        k.alias("region_id"), rings.alias("rings"), (k * 7).alias("gridcode")
-    )
+    def ring(shape) -> str:
+        points = ", ".join(
+            f"named_struct('x', -180d + 0.25d * (cast(s_suppkey * 17 % 40 AS DOUBLE) + {x}d), "
+            f"'y', 80d - 0.25d * (s_suppkey * 0.375d + {y}d))" for x, y in shape)
+        return f"array(array({points}))"
+
+    rings = " ".join(f"WHEN {kind} THEN {ring(shape)}" for kind, shape in enumerate(SHAPES))
+    return table(spark, sf_dir, "supplier").selectExpr(
+        "s_suppkey AS region_id", f"CASE s_suppkey % 3 {rings} END AS rings", "s_suppkey * 7 AS gridcode")
 
 
 def polygon_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from heliogale.config import (
 )
 from heliogale.functions import columns as fn
 from heliogale.functions.pvalues import correlation_p_value
-from heliogale.plans.joins import dim_join, heavy_split_join
+from heliogale.plans.joins import dim_join, heavy_limit, heavy_split_join
 from heliogale.plans.ranks import rank_table
 from heliogale.plans.session import pinned
 
@@ -78,13 +78,23 @@ def _rank_correlation(pairs: DataFrame, region: str) -> DataFrame:
     )
     values = pairs.select(region, F.inline(sides), "_w")
     ranks = pinned(rank_table(values, [region, "_side"], "_v", "_w"))
-    for side in ("_x", "_y"):
+    sizes = {
+        r["_side"]: r
+        for r in ranks.groupBy("_side").agg(F.sum("ties").alias("n"), F.max("ties").alias("top")).collect()
+    }
+    for side in sizes:
         # The mean rank is (n + 1) / 2 exactly, ties or not.
         centred = ranks.filter(F.col("_side") == side).select(
             region, F.col("_v").alias(side), "ties",
             (F.col("avg_rank") - (F.col("group_n") + 1) / 2).alias(f"_r{side}"),
         )
-        pairs = heavy_split_join(pairs, centred, [region, side], "ties").drop("ties")
+        limit = heavy_limit(sizes[side]["n"])
+        if sizes[side]["top"] > limit:
+            pairs = heavy_split_join(pairs, centred, [region, side], "ties", limit).drop("ties")
+        else:
+            pairs = pairs.join(centred.drop("ties"), [region, side])
+    if not sizes:
+        return pairs.select(region, F.lit(None).cast("double").alias("corr"))
     w, rx, ry = F.col("_w"), F.col("_r_x"), F.col("_r_y")
     spread = F.sqrt(F.sum(w * rx * rx)) * F.sqrt(F.sum(w * ry * ry))
     return pairs.groupBy(region).agg(fn.safe_ratio(F.sum(w * rx * ry), spread).alias("corr"))

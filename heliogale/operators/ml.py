@@ -66,20 +66,22 @@ def ols_fill(
 # ---- k-means ----------------------------------------------------------------
 def kmeans(
     df: DataFrame, features: list[str], k: int = 4, seed: int = 42, runs: int = 10,
-    parallel: int = 4, max_iter: int = 50,
+    parallel: int = 8, max_iter: int = 50,
 ) -> tuple[DataFrame, DataFrame]:
     """Cluster rows on mean-imputed, standardised features; best of ``runs`` seeds.
 
-    Returns (rows with ``cluster``, centroids in original units with ``cluster``). The
-    standardised features are cached for all fits, which run a few at a time.
+    Returns (rows with ``cluster``, centroids in original units with ``cluster``). The input
+    is evaluated once for all fits, which run a few at a time.
     """
     filled_names = [f"_f{i}" for i in range(len(features))]
-    start = df.withColumns({f"_f{i}": F.col(c).cast("double") for i, c in enumerate(features)})
-    imputed = Imputer(strategy="mean", inputCols=filled_names, outputCols=filled_names).fit(start).transform(start)
-    assembled = VectorAssembler(inputCols=filled_names, outputCol="_raw").transform(imputed)
-    scaler = StandardScaler(withMean=True, withStd=True, inputCol="_raw", outputCol="features").fit(assembled)
-    ready = scaler.transform(assembled).persist()
+    start = df.withColumns({f"_f{i}": F.col(c).cast("double") for i, c in enumerate(features)}).persist()
     try:
+        imputer = Imputer(strategy="mean", inputCols=filled_names, outputCols=filled_names).fit(start)
+        assembler = VectorAssembler(inputCols=filled_names, outputCol="_raw")
+        assembled = assembler.transform(imputer.transform(start))
+        scaler = StandardScaler(withMean=True, withStd=True, inputCol="_raw", outputCol="features").fit(assembled)
+        ready = scaler.transform(assembled)
+
         def fit(s: int):
             model = KMeans(k=k, seed=s, maxIter=max_iter, tol=1e-6).fit(ready)
             return model.summary.trainingCost, s, model
@@ -87,9 +89,9 @@ def kmeans(
         with ThreadPoolExecutor(parallel) as pool:
             fitted = list(pool.map(fit, [seed + i for i in range(runs)]))
     finally:
-        ready.unpersist()
+        start.unpersist()
     model = min(fitted, key=lambda f: f[:2])[2]
-    assigned = model.transform(scaler.transform(assembled)).withColumnRenamed("prediction", "cluster")
+    assigned = model.transform(ready).withColumnRenamed("prediction", "cluster")
     mean, std = scaler.mean.toArray(), scaler.std.toArray()
     rows = [(i, *map(float, c * std + mean)) for i, c in enumerate(model.clusterCenters())]
     schema = "cluster int, " + ", ".join(f"`{f}` double" for f in features)

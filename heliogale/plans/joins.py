@@ -33,26 +33,23 @@ def dim_join(
     return spread.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def heavy_limit(total: int, heavy_rows: int = HEAVY_ROWS) -> int:
+    """Rows above which a key is heavy, in a table of ``total`` rows."""
+    return max(heavy_rows, total // HEAVY_SHARE)
+
+
 def heavy_split_join(
-    rows: DataFrame, table: DataFrame, on: list[str], weight: str, heavy_rows: int = HEAVY_ROWS
+    rows: DataFrame, table: DataFrame, on: list[str], weight: str, limit: int
 ) -> DataFrame:
     """Inner join where ``table`` knows how many rows (``weight``) each of its keys has.
 
-    Keys above 1/``HEAVY_SHARE`` of all rows are at most ``HEAVY_SHARE`` by counting, so
-    they are broadcast and their rows never shuffle; every other key is light enough for
-    an ordinary shuffle join. Both parts together are the whole join. ``table`` is read
-    more than once and should be a stored or pinned table.
+    With ``limit`` from :func:`heavy_limit`, keys above it are at most ``HEAVY_SHARE`` by
+    counting, so they are broadcast and their rows never shuffle; every other key is light
+    enough for an ordinary shuffle join. Both parts together are the whole join. ``table``
+    is read more than once and should be a stored or pinned table.
     """
-    total = table.agg(F.sum(weight)).first()[0] or 0
-    limit = max(heavy_rows, total // HEAVY_SHARE)
-    is_heavy = F.col(weight) > limit
-    n_heavy, n_light = table.agg(F.count_if(is_heavy), F.count_if(~is_heavy)).first()
-    if not n_heavy:
-        return rows.join(table, on, "inner")
-    heavy = F.broadcast(table.filter(is_heavy))  # at most HEAVY_SHARE rows
+    heavy = F.broadcast(table.filter(F.col(weight) > limit))
     part_heavy = rows.join(heavy, on, "inner")
-    if not n_light:
-        return part_heavy
     part_light = rows.join(heavy.select(*on), on, "left_anti").join(
-        table.filter(~is_heavy), on, "inner")
+        table.filter(F.col(weight) <= limit), on, "inner")
     return part_heavy.unionByName(part_light)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from heliogale.plans.joins import dim_join, heavy_split_join
+from heliogale.plans.joins import dim_join, heavy_limit, heavy_split_join
 from heliogale.plans.quantiles import exact_quantiles
 from heliogale.plans.ranks import rank_table
 
@@ -47,11 +47,11 @@ def test_average_ranks_equal_pandas_with_a_hot_group_and_a_hot_value(spark):
     assert got["ties"].sum() == 1200
 
 
-@pytest.mark.parametrize("heavy_rows", [0, 50, 10**9])
-def test_heavy_split_join_is_the_whole_join(spark, rows, heavy_rows):
+@pytest.mark.parametrize("limit", [0, 50, 10**9])
+def test_heavy_split_join_is_the_whole_join(spark, rows, limit):
     left = spark.createDataFrame([(0 if i % 3 else i, i) for i in range(300)], "k int, i int")
     table = left.groupBy("k").agg(F.count("*").alias("n"))
-    got = heavy_split_join(left, table, ["k"], "n", heavy_rows)
+    got = heavy_split_join(left, table, ["k"], "n", limit)
     assert rows(got, "k", "i", "n") == rows(left.join(table, "k"), "k", "i", "n")
 
 
@@ -64,3 +64,19 @@ def test_dim_join_keeps_unmatched_rows_and_never_duplicates(spark, rows):
     assert dim_join(fact, dim, ["k"], "inner").count() == 40
     with pytest.raises(ValueError):
         dim_join(fact, dim, ["k"], "full")
+
+
+def test_heavy_keys_are_few_by_counting():
+    for total in (10, 10**6, 10**12):
+        assert total / heavy_limit(total) <= 1000
+    assert heavy_limit(10) == 100_000
+
+
+def test_rank_correlation_with_heavy_keys_equals_the_plain_join(spark, monkeypatch):
+    import heliogale.operators.country as country
+
+    df = spark.range(400).select(
+        F.lit("r").alias("r"), (F.col("id") % 3).cast("double").alias("x"), (F.col("id") * 7 % 101).cast("double").alias("y"))
+    plain = country.correlate(df, "r", "x", "y").first()["corr"]
+    monkeypatch.setattr(country, "heavy_limit", lambda n: 100)
+    assert country.correlate(df, "r", "x", "y").first()["corr"] == pytest.approx(plain, abs=1e-12)
