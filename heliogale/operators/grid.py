@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from heliogale.config import RESOLUTION_DEG, TILE_DEG, Grid
 from heliogale.functions import columns as fn
+from heliogale.plans.joins import dim_join
 
 CELL = ["lat_i", "lon_i"]
 
@@ -134,13 +135,11 @@ def nearest_join(target: DataFrame, source: DataFrame, grid: Grid, values: list[
     ``grid``. Keys are computed, so this is a plain equi-join. Many fine target rows may
     share one source cell: the join is salted.
     """
-    from heliogale.plans.joins import dim_join
-
     keyed = target.withColumns({f"_{k}": c for k, c in snap(grid).items()})
     src = source.select(
         F.col("lat_i").alias("_lat_i"), F.col("lon_i").alias("_lon_i"), *values
     )
-    return dim_join(keyed, src, ["_lat_i", "_lon_i"], "left").drop("_lat_i", "_lon_i")
+    return dim_join(keyed, src, ["_lat_i", "_lon_i"], spread=["latitude", "longitude"]).drop("_lat_i", "_lon_i")
 
 
 def bilinear_join(target: DataFrame, source: DataFrame, grid: Grid, value: str) -> DataFrame:
@@ -150,8 +149,6 @@ def bilinear_join(target: DataFrame, source: DataFrame, grid: Grid, value: str)
     The coarse source is first gathered into one row per grid square (4 copies of the
     small side), then each target row needs a single equi-join.
     """
-    from heliogale.plans.joins import dim_join
-
     res = fn.dbl(grid.res)
     corners = [(di, dj) for di in (0, 1) for dj in (0, 1)]
     squares = (
@@ -192,7 +189,7 @@ def bilinear_join(target: DataFrame, source: DataFrame, grid: Grid, value: str)
         F.col("_c00") * (1 - fy) * (1 - fx) + F.col("_c01") * (1 - fy) * fx
         + F.col("_c10") * fy * (1 - fx) + F.col("_c11") * fy * fx
     )
-    joined = dim_join(keyed, squares, ["_qi", "_qj"], "left")
+    joined = dim_join(keyed, squares, ["_qi", "_qj"], spread=["latitude", "longitude"])
     return joined.withColumn(value, blend).select(*target.columns, value)
 
 

@@ -223,7 +223,7 @@ def kde(df: DataFrame, value: str, by: str, points: int = 200, cut: float = 3.0,
     hi = fn.dbl(support[1]) if support else F.col("_max") + cut * F.col("_h")
     stats = stats.select(by, "_all", "_h", lo.alias("_lo"), ((hi - lo) / (points - 1)).alias("_step"))
     weighted = rows.groupBy(by, value).agg(F.count(F.lit(1)).alias("_w"))
-    placed = dim_join(weighted, stats, [by], "inner").withColumn(
+    placed = dim_join(weighted, stats, [by], "inner", spread=[value]).withColumn(
         "point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
     )
     x = F.col("_lo") + F.col("point") * F.col("_step")

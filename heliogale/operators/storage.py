@@ -127,10 +127,10 @@ def deficit_from_daily(daily: DataFrame, means: DataFrame, keys: list[str], year
                        wind: str = "wind", solar: str = "solar", wind_mean: str = "wind_mean",
                        solar_mean: str = "solar_mean", ssrd_factor: float = 1.0,
                        mask_missing: bool = False, **options) -> DataFrame:
-    """Normalise and sweep. The daily rows are placed by cell once; the join with the
-    means and every window of the sweep reuse that placement."""
-    placed = daily.repartition(*[F.col(k) for k in keys])
-    ready = normalise(placed, means, keys, wind, solar, wind_mean, solar_mean, ssrd_factor, mask_missing)
+    """Normalise and sweep. The join with the means and every window of the sweep share one
+    placement of the daily rows by cell: one shuffle, or none when the daily table is
+    stored bucketed by cell."""
+    ready = normalise(daily, means, keys, wind, solar, wind_mean, solar_mean, ssrd_factor, mask_missing)
     return deficit(ready, keys, years, **options)
 
 
@@ -146,16 +146,15 @@ def aggregate(
     metric = metric.lower()
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {sorted(METRICS)}; got {metric!r}")
-    placed = deficits.repartition(*[F.col(k) for k in keys])
     if fixed_alpha is not None:
         if not any(abs(a - fixed_alpha) <= 1e-6 for a in alphas):
             raise ValueError(f"fixed_alpha={fixed_alpha} is not one of {list(alphas)}")
-        picked = placed.filter(F.abs(F.col("alpha") - fn.dbl(fixed_alpha)) <= 1e-6)
+        picked = deficits.filter(F.abs(F.col("alpha") - fn.dbl(fixed_alpha)) <= 1e-6)
         return picked.groupBy(*keys).agg(
             METRICS[metric](F.col("deficit")).alias("duration_metric"),
             F.lit(float(fixed_alpha)).alias("optimal_alpha"),
         )
-    per_share = placed.groupBy(*keys, "alpha").agg(METRICS[metric](F.col("deficit")).alias("_m"))
+    per_share = deficits.groupBy(*keys, "alpha").agg(METRICS[metric](F.col("deficit")).alias("_m"))
     best = F.min(F.when(F.col("_m").isNotNull(), F.struct("_m", "alpha")))
     return (
         per_share.groupBy(*keys)

@@ -42,21 +42,31 @@ def build_demand(spark: SparkSession, places: Places, settlement: str, area: Gri
 
 
 def build_daily(spark: SparkSession, places: Places, hourly: str, area: Grid, variables: list[str],
-                years=config.YEARS, bounds=None) -> DataFrame:
+                years=config.YEARS, bounds=None, buckets: int | None = None) -> DataFrame:
     """Hourly reanalysis to daily values per cell: the one pass over the largest input,
-    with all variables reduced in a single shuffle."""
+    with all variables reduced in a single shuffle. Stored bucketed by cell, so that the
+    climatology, the correlation and the storage sweep need no shuffle of it."""
 
     def make() -> DataFrame:
         rows = readers.read_reanalysis(spark, hourly, variables, bounds, years)
         keyed = rows.withColumns(grid.snap(area, clamp=False))
-        return timeseries.daily_variables(keyed, CELL, variables).withColumn("year", F.year("date"))
+        return timeseries.daily_variables(keyed, CELL, variables)
 
-    return sinks.computed_once(spark, places.at("daily"), make)
+    return sinks.bucketed_once(spark, places.at("daily"), make, CELL, buckets)
+
+
+def _daily(spark: SparkSession, places: Places) -> DataFrame:
+    """The stored daily table, with its buckets."""
+
+    def missing() -> DataFrame:
+        raise FileNotFoundError(f"{places.at('daily')}: run build_daily first")
+
+    return sinks.bucketed_once(spark, places.at("daily"), missing, CELL)
 
 
 def build_climatology(spark: SparkSession, places: Places, variables: list[str]) -> DataFrame:
     """Day-of-year climatology of the daily table, and its annual mean."""
-    daily = spark.read.parquet(places.at("daily"))
+    daily = _daily(spark, places)
     clim = sinks.computed_once(
         spark, places.at("climatology"), lambda: timeseries.doy_climatology(daily, CELL, variables))
     return sinks.computed_once(
@@ -64,7 +74,7 @@ def build_climatology(spark: SparkSession, places: Places, variables: list[str])
 
 
 def build_complementarity(spark: SparkSession, places: Places) -> DataFrame:
-    daily = spark.read.parquet(places.at("daily"))
+    daily = _daily(spark, places)
     return sinks.computed_once(
         spark, places.at("complementarity"), lambda: timeseries.complementarity(daily, CELL, "ws100", "ssrd"))
 
@@ -76,7 +86,7 @@ def build_storage(spark: SparkSession, places: Places, years=config.YEARS, ssrd_
     ``ssrd_factor`` brings the stored solar mean to the daily basis (24 when it is an
     hourly mean).
     """
-    daily = spark.read.parquet(places.at("daily"))
+    daily = _daily(spark, places)
     means = spark.read.parquet(places.at("annual_mean")).select(
         *CELL, F.col("ws100").alias("wind_mean"), F.col("ssrd").alias("solar_mean"))
     deficits = sinks.computed_once(spark, places.at("storage"), lambda: storage.deficit_from_daily(

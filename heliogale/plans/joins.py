@@ -16,21 +16,24 @@ HEAVY_ROWS = 100_000  # and it has at least this many rows
 
 
 def dim_join(
-    fact: DataFrame, dim: DataFrame, on: list[str], how: str = "left", salts: int = SALTS
+    fact: DataFrame, dim: DataFrame, on: list[str], how: str = "left",
+    spread: list[str] | None = None, salts: int = SALTS,
 ) -> DataFrame:
     """Join many ``fact`` rows per key to at most one ``dim`` row per key.
 
-    ``dim`` is repeated once per salt and fact rows pick a salt from a hash of their own
-    content, so a hot key is spread over ``salts`` tasks. The salt is a pure function of
-    the row: a recomputed task yields the same rows.
+    ``dim`` is repeated once per salt and fact rows pick a salt from a hash of their
+    ``spread`` columns, so a hot key is spread over ``salts`` tasks. The salt is a pure
+    function of the row: a recomputed task yields the same rows. By default rows are told
+    apart by their cell (``lat_i``, ``lon_i``) where they have one, which keeps column
+    pruning intact, else by all their columns.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"dim_join supports inner and left; got {how!r}")
-    spread = fact.withColumn("_salt", F.pmod(F.xxhash64(*fact.columns), F.lit(salts)))
-    copies = dim.withColumn(
-        "_salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)]))
-    )
-    return spread.join(copies, [*on, "_salt"], how).drop("_salt")
+    cell = [c for c in ("lat_i", "lon_i") if c in fact.columns]
+    spread = spread or (cell if len(cell) == 2 else fact.columns)
+    salted = fact.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
+    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def heavy_limit(total: int, heavy_rows: int = HEAVY_ROWS) -> int:

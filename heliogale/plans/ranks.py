@@ -33,7 +33,7 @@ def rank_table(df: DataFrame, keys: list[str], value: str, weight: str) -> DataF
     )
     # A range is the number of cuts at or below the value: a short scan of one array.
     placed = (
-        dim_join(ties, cuts, keys, "inner")
+        dim_join(ties, cuts, keys, "inner", spread=[value])
         .withColumn("_range", F.size(F.filter("_cuts", lambda cut: cut <= F.col(value))))
         .drop("_cuts")
     )

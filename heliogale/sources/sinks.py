@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import logging
 from collections.abc import Callable
 
@@ -41,6 +42,36 @@ def computed_once(spark: SparkSession, path: str, build: Callable[[], DataFrame]
     return spark.read.parquet(path)
 
 
+def bucketed_once(
+    spark: SparkSession, path: str, build: Callable[[], DataFrame], keys: list[str],
+    buckets: int | None = None,
+) -> DataFrame:
+    """Like :func:`computed_once`, stored in ``buckets`` buckets of ``keys``.
+
+    Later group-bys, windows and joins on these keys (or on more columns) read the buckets
+    in place and shuffle nothing. One task writes one bucket, so there are ``buckets``
+    files. The catalog entry is made anew in a session that has none; the bucket count is
+    kept beside the table for that.
+    """
+    name = "bucketed_" + hashlib.sha256(path.encode()).hexdigest()[:24]
+    if spark.catalog.tableExists(name):
+        return spark.table(name)
+    if not path_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        placed = build().repartition(n, *[F.col(k) for k in keys])
+        placed.write.mode("overwrite").option("path", path).option("compression", "zstd").bucketBy(
+            n, *keys).sortBy(*keys).saveAsTable(name)
+        spark.createDataFrame([(n,)], "buckets int").coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}_layout")
+        return spark.table(name)
+    n = spark.read.schema("buckets int").json(f"{path.rstrip('/')}_layout").first()[0]
+    columns = spark.read.parquet(path).schema.toDDL()
+    names = ", ".join(f"`{k}`" for k in keys)
+    spark.sql(
+        f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS (path '{path}') "
+        f"CLUSTERED BY ({names}) SORTED BY ({names}) INTO {n} BUCKETS")
+    return spark.table(name)
+
+
 # ---- resumable tile jobs ----------------------------------------------------
 def pending(spark: SparkSession, tiles: DataFrame, manifest: str, tile: list[str] | None = None) -> DataFrame:
     """Tiles the manifest does not list as done."""

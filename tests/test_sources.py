@@ -99,3 +99,17 @@ def test_tile_job_resumes_and_isolates_a_bad_tile(spark, tmp_path, rows):
     assert sinks.run_tiles(spark, tiles, build, path, manifest) == []
     assert rows(spark.read.parquet(path), "tile_lon", "v") == [(0, 0.0), (1, 10.0), (2, 20.0)]
     assert sinks.run_tiles(spark, tiles, build, path, manifest) == []
+
+
+def test_bucketed_table_survives_a_lost_catalog_entry(spark, tmp_path):
+    path = str(tmp_path / "b")
+    build = lambda: spark.range(100).select((F.col("id") % 7).alias("k"), "id")
+    sinks.bucketed_once(spark, path, build, ["k"], 3)
+    assert len(list((tmp_path / "b").glob("*.parquet"))) <= 3
+    for t in spark.catalog.listTables():
+        if t.name.startswith("bucketed_"):
+            spark.sql(f"DROP TABLE {t.name}")
+    again = sinks.bucketed_once(spark, path, lambda: None, ["k"])
+    counts = again.groupBy("k").count()
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert {r["k"]: r["count"] for r in counts.collect()} == {k: 15 if k < 2 else 14 for k in range(7)}
