@@ -139,18 +139,18 @@ def masked_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- daily series -----------------------------------------------------------
 def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily wind and solar stand-ins per region: lineitem through supplier and nation."""
-    rows = (
-        table(spark, sf_dir, "lineitem").select("l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")
-        .join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"),
-              F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"),
-              F.col("s_nationkey") == F.col("n_nationkey"))
-        .withColumnRenamed("n_regionkey", "cell")
-    )
-    return timeseries.daily(
-        rows, ["cell"], "l_shipdate",
-        {"wind": ("l_quantity", "sum"), "solar": ("l_extendedprice", "sum")},
+    """Daily wind and solar stand-ins per region: lineitem through supplier and nation.
+
+    Each supplier's days are summed before the join, so that the join meets at most one
+    row per supplier and day however many items a supplier has.
+    """
+    place = table(spark, sf_dir, "supplier").join(
+        table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
+    ).select(F.col("s_suppkey").alias("cell"), "n_regionkey")
+    return (
+        site_series(spark, sf_dir).join(place, "cell")
+        .groupBy(F.col("n_regionkey").alias("cell"), "date")
+        .agg(F.sum("wind").alias("wind"), F.sum("solar").alias("solar"))
     )
 
 

@@ -67,7 +67,7 @@ def cells(tile_rows: DataFrame, resolution: float = RESOLUTION_DEG) -> DataFrame
     res = fn.dbl(resolution)
     n_lon = _count_until(F.col("minx"), F.col("maxx"), resolution)
     n_lat = _count_until(-F.col("maxy"), -F.col("miny"), resolution)
-    spread = tile_rows.repartition("tile_lon", "tile_lat")
+    spread = tile_rows.repartition(*[F.col(c) for c in tile_rows.columns])
     return (
         spread.withColumn("row", F.explode(F.when(n_lat > 0, F.sequence(F.lit(0), n_lat - 1))))
         .withColumn("col", F.explode(F.when(n_lon > 0, F.sequence(F.lit(0), n_lon - 1))))

@@ -42,8 +42,8 @@ def _scaled(c, lo: float | None, hi: float | None) -> Column:
 
 def normalize_p95(df: DataFrame, value: str, out: str, floor: float = 1e-6) -> DataFrame:
     """``(x - min) / (p95 - min)`` limited to [floor, 1]; values at the floor become null."""
-    lo, _ = extremes(df, {"v": F.col(value)})["v"]
-    unit = fn.clip(_scaled(value, lo, quantile_threshold(df, value, 0.95)), floor, 1.0)
+    lo, hi = exact_quantiles(df, {"v": (F.col(value), [0.0, 0.95])})["v"]
+    unit = fn.clip(_scaled(value, lo, hi), floor, 1.0)
     return df.withColumn(out, unit).withColumn(out, F.when(F.col(out) > floor, F.col(out)))
 
 

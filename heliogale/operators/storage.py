@@ -66,11 +66,11 @@ def deficit(
     later = W.partitionBy(*group).orderBy(F.col(date).desc()).rowsBetween(W.unboundedPreceding, -1)
     whole = W.partitionBy(*group)
 
+    # The seasons wanted are one date range, which the scan of a stored table can use.
+    first, end = (F.make_date(F.lit(y), F.lit(start_month), F.lit(1)) for y in years)
     base = (
-        normalised.select(
-            *keys, date, "wind_norm", "solar_norm", fn.season_year(date, start_month).alias("year")
-        )
-        .filter((F.col("year") >= years[0]) & (F.col("year") < years[1]))
+        normalised.filter((F.col(date) >= first) & (F.col(date) < end))
+        .select(*keys, date, "wind_norm", "solar_norm", fn.season_year(date, start_month).alias("year"))
         .withColumns(
             {
                 "_t": F.row_number().over(ordered),

@@ -133,6 +133,13 @@ def test_season_filter_is_half_open(spark):
     assert {r["year"] for r in got.collect()} == {2023}
 
 
+def test_season_range_reaches_the_scan(spark, tmp_path):
+    season(spark, [1.0] * 10, [1.0] * 10).write.parquet(str(tmp_path / "d"))
+    out = storage.deficit(spark.read.parquet(str(tmp_path / "d")), ["cell"], (2023, 2024), coverage="any")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(date,2023-07-01)" in plan and "LessThan(date,2024-07-01)" in plan
+
+
 def test_normalise_missing_and_masking(spark, rows):
     daily = spark.createDataFrame([(1, 4.0, None), (2, 4.0, 4.0), (3, 4.0, 4.0)], "cell int, wind double, solar double")
     means = spark.createDataFrame([(1, 2.0, 2.0), (2, 0.0, 2.0)], "cell int, wm double, sm double")
