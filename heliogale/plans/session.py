@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +32,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """A durable copy of a small derived table, so that every later use sees equal rows."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """A stored copy of a derived table in the checkpoint folder.
+
+    Every later use reads equal rows, a lost executor costs no recomputation, and the
+    optimizer knows the real size of the table.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/pinned-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -32,14 +32,15 @@ def test_quantile_single_value(spark):
     assert exact_quantiles(df, {"v": (F.col("v"), [0.0, 0.3, 1.0])})["v"] == [7.0, 7.0, 7.0]
 
 
-def test_average_ranks_equal_pandas_with_a_hot_group_and_a_hot_value(spark):
+@pytest.mark.parametrize("whole", [0, 200, 10**6])
+def test_average_ranks_equal_pandas_with_a_hot_group_and_a_hot_value(spark, whole):
     import pandas as pd
 
     rng = np.random.default_rng(2)
     g = np.concatenate([np.zeros(900, int), rng.integers(1, 6, 300)])
     v = np.where(rng.random(1200) < 0.4, 5.0, rng.normal(size=1200).round(2))
     pdf = pd.DataFrame({"g": g, "v": v, "w": 1})
-    got = rank_table(spark.createDataFrame(pdf), ["g"], "v", "w").toPandas()
+    got = rank_table(spark.createDataFrame(pdf), ["g"], "v", "w", whole).toPandas()
     pdf["r"] = pdf.groupby("g")["v"].rank()
     want = pdf.drop_duplicates(["g", "v"]).merge(got, on=["g", "v"])
     assert len(want) == len(got)
