@@ -21,7 +21,7 @@ def sql_rows(sf_dir: str, sql: str) -> tuple[list[str], list[tuple]]:
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
-    frame = con.execute(sql).to_arrow_table()
+    frame = con.sql(sql).to_arrow_table()
     names = frame.column_names
     return names, [tuple(r[n] for n in names) for r in frame.to_pylist()]
 

@@ -267,8 +267,9 @@ v_lists AS (SELECT cluster,
   coalesce(string_agg(country_name, ', ' ORDER BY country_name) FILTER (n_pixels <= 55), '') AS small_countries
   FROM v_country GROUP BY cluster)"""
 _CENTROID_SQL = """
-v_centroid AS (SELECT cluster, avg(avg_storage) / 28 AS avg_storage, avg(resource_demand_corr) AS resource_demand_corr,
-  avg(avg_resource) AS avg_resource FROM v_country GROUP BY cluster),
+v_centroid AS (SELECT cluster, round(avg(avg_storage) / 28, 9) AS avg_storage,
+  round(avg(resource_demand_corr), 9) AS resource_demand_corr, round(avg(avg_resource), 9) AS avg_resource
+  FROM v_country GROUP BY cluster),
 v_named AS (SELECT *, coalesce(nullif(concat_ws(' / ',
   CASE WHEN avg_resource >= 0.7 THEN 'high resource' END, CASE WHEN avg_resource < 0.3 THEN 'modest resource' END,
   CASE WHEN avg_storage >= 0.5 THEN 'long storage' END, CASE WHEN avg_storage < 0.3 THEN 'short storage' END,
@@ -277,9 +278,11 @@ v_named AS (SELECT *, coalesce(nullif(concat_ws(' / ',
 
 
 def _centroids(spark, sf):
-    return clustered(spark, sf).groupBy("cluster").agg(
+    """Rounded, so that a mean on a naming bound does not hang on the order of a sum."""
+    means = clustered(spark, sf).groupBy("cluster").agg(
         (F.avg("avg_storage") / 28).alias("avg_storage"), F.avg("resource_demand_corr").alias("resource_demand_corr"),
         F.avg("avg_resource").alias("avg_resource"))
+    return fn.round_cols(means, 9, *METRICS)
 
 
 @query("cluster_lists", COUNTRY_SQL + "," + _LISTS_SQL + " SELECT * FROM v_lists")

@@ -15,19 +15,19 @@ YEARS = (1995, 2001)
 
 @query("daily_resample", """
 SELECT CAST(user_id % 50 AS INTEGER) AS cell, ts::DATE AS date,
-  round(sum(value), 2) AS total, round(avg(value), 6) AS mean
+  round(sum(value), 2) AS total, round(avg(value), 9) AS mean
 FROM events WHERE ts >= '2024-01-01' AND ts < '2025-01-01' GROUP BY ALL""")
 def daily_resample(spark, sf):
     events = timeseries.year_range(table(spark, sf, "events"), "ts", 2024, 2024)
     rows = events.withColumn("cell", (F.col("user_id") % 50).cast("int"))
     out = timeseries.daily(rows, ["cell"], "ts", {"total": ("value", "sum"), "mean": ("value", "mean")})
-    return fn.round_cols(fn.round_cols(out, 2, "total"), 6, "mean")
+    return fn.round_cols(fn.round_cols(out, 2, "total"), 9, "mean")
 
 
 @query("daily_calendar", """
 WITH cells AS (SELECT DISTINCT CAST(user_id AS INTEGER) AS cell FROM events),
 days AS (SELECT CAST(d AS DATE) AS date FROM generate_series(DATE '2024-01-01', DATE '2024-02-10', INTERVAL 1 DAY) t(d))
-SELECT c.cell, d.date, round(coalesce(sum(value), 0), 2) AS total, round(avg(value), 6) AS mean
+SELECT c.cell, d.date, round(coalesce(sum(value), 0), 2) AS total, round(avg(value), 9) AS mean
 FROM cells c CROSS JOIN days d LEFT JOIN events e
   ON e.user_id = c.cell AND e.ts::DATE = d.date
 GROUP BY ALL""")
@@ -38,7 +38,7 @@ def daily_calendar(spark, sf):
         rows, ["cell"], "ts", {"total": ("value", "sum"), "mean": ("value", "mean")},
         calendar=("2024-01-01", "2024-02-10"),
     )
-    return fn.round_cols(fn.round_cols(out, 2, "total"), 6, "mean")
+    return fn.round_cols(fn.round_cols(out, 2, "total"), 9, "mean")
 
 
 @query("wind_speed", """
@@ -75,9 +75,9 @@ def _climatology(spark, sf):
 
 
 @query("doy_climatology", NOLEAP_SQL + """
-SELECT cell, doy, round(wind, 4) AS wind, round(solar, 3) AS solar FROM v_clim""")
+SELECT cell, doy, round(wind, 6) AS wind, round(solar, 6) AS solar FROM v_clim""")
 def doy_climatology(spark, sf):
-    return fn.round_cols(fn.round_cols(_climatology(spark, sf), 4, "wind"), 3, "solar")
+    return fn.round_cols(_climatology(spark, sf), 6, "wind", "solar")
 
 
 @query("annual_mean", NOLEAP_SQL + """
