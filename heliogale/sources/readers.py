@@ -71,9 +71,9 @@ def read_regions(
 
 
 def read_gridcodes(spark: SparkSession, path: str) -> DataFrame:
-    """CSV lookup ``gridcode,koppen`` as ``(gridcode, climate)`` with a declared schema."""
-    rows = spark.read.csv(path, header=True, schema="gridcode INT, koppen STRING")
-    return rows.select("gridcode", F.col("koppen").alias("climate"))
+    """CSV lookup of grid code and class name, in that order, under a header line. The
+    declared schema names the columns, whatever the header calls them."""
+    return spark.read.csv(path, header=True, schema="gridcode INT, climate STRING")
 
 
 def read_surface(spark: SparkSession, path: str, value: str, ts: str = "valid_time") -> DataFrame:

@@ -45,7 +45,7 @@ def test_regions_lookup_surface_and_preference(spark, tmp_path, rows):
     allowed = spark.createDataFrame([("A",), ("A",)], "country_id string")
     assert rows(readers.read_regions(spark, str(tmp_path / "s"), "land"), "country_id") == [("A",), ("B",)]
     assert readers.read_regions(spark, str(tmp_path / "s"), None, allowed).count() == 2
-    (tmp_path / "codes.csv").write_text("gridcode,koppen\n11,Af\n21,BSh\n")
+    (tmp_path / "codes.csv").write_text("gridcode,class name\n11,Af\n21,BSh\n")
     assert rows(readers.read_gridcodes(spark, str(tmp_path / "codes.csv"))) == [(11, "Af"), (21, "BSh")]
     steps = [(dt.datetime(2020, 1, d), 1.0, 200.0, float(d)) for d in (1, 2)]
     spark.createDataFrame(steps, "valid_time timestamp, latitude double, longitude double, z double").write.parquet(str(tmp_path / "z"))
