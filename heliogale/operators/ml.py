@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from heliogale.config import CLUSTER_ID_BY_POSITION
 from heliogale.functions import columns as fn
 
+ROWS_PER_TASK = 100_000
+
 
 # ---- least squares ----------------------------------------------------------
 def ols_fit(df: DataFrame, target: str, predictors: list[str], mask: Column | None = None) -> tuple[list[float], float]:
@@ -76,9 +78,11 @@ def kmeans(
     filled_names = [f"_f{i}" for i in range(len(features))]
     start = df.withColumns({f"_f{i}": F.col(c).cast("double") for i, c in enumerate(features)}).persist()
     try:
-        imputer = Imputer(strategy="mean", inputCols=filled_names, outputCols=filled_names).fit(start)
+        # Every fit runs many short jobs: a table of countries should not be hundreds of tasks.
+        packed = start.coalesce(max(1, -(-start.count() // ROWS_PER_TASK)))
+        imputer = Imputer(strategy="mean", inputCols=filled_names, outputCols=filled_names).fit(packed)
         assembler = VectorAssembler(inputCols=filled_names, outputCol="_raw")
-        assembled = assembler.transform(imputer.transform(start))
+        assembled = assembler.transform(imputer.transform(packed))
         scaler = StandardScaler(withMean=True, withStd=True, inputCol="_raw", outputCol="features").fit(assembled)
         ready = scaler.transform(assembled)
 
