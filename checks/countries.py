@@ -129,12 +129,13 @@ def country_scaled(spark, sf):
 @query("poor_zone_stats", DETAILED_SQL + """
 SELECT country, round(avg(latitude) FILTER (subgroup = 'P'), 6) AS latitude,
   round(avg(solar_climatology / 9.80665::DOUBLE) FILTER (subgroup = 'P'), 3) AS elevation,
-  round(avg(demand) FILTER (subgroup = 'P'), 6) AS precipitation,
+  round(avg(demand) FILTER (subgroup = 'P'), 9) AS precipitation,
   count(*) FILTER (subgroup = 'P') AS poor_cells, count(*) AS all_cells,
   round(count(*) FILTER (subgroup = 'P') * 100 / count(*)::DOUBLE, 6) AS percentage
 FROM v_grouped GROUP BY country HAVING count(*) FILTER (subgroup = 'P') > 0""")
 def poor_zone_stats(spark, sf):
-    return fn.round_cols(fn.round_cols(_poor(spark, sf), 6, "latitude", "precipitation", "percentage"), 3, "elevation")
+    out = fn.round_cols(_poor(spark, sf), 6, "latitude", "percentage")
+    return fn.round_cols(fn.round_cols(out, 9, "precipitation"), 3, "elevation")
 
 
 def _poor(spark, sf):
