@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from heliogale.llm import mixing, sharding
+from heliogale.llm import langid, linerules, mixing, quality, sharding, toxicity
+from heliogale.llm.samples import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +81,29 @@ def entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_ring_shards")
 def ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def _fold(folds: int):
+    return fold(F.col("doc_id"), folds)
+
+
+@query("op1_compression_quality")
+def compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.classify(docs, labels, 0.3, _fold(5) != 0, _fold(5) == 0)
+
+
+@query("op2_kernel_language")
+def kernel_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), _fold(3) != 1, _fold(3) == 1)
+
+
+@query("op6_line_rules")
+def line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linerules.judge(table(spark, sf_dir, "documents"))
+
+
+@query("op7_pu_toxicity")
+def pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.classify(docs, labels, 0.5, _fold(5) != 0, _fold(5) == 0)

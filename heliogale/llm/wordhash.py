@@ -12,11 +12,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20  # bytes of text worked on at once; longer texts are cut at separators
+PIECE = 1 << 17  # bytes of text worked on at once; longer texts are cut at separators
 U64 = np.uint64
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
+_NO_TOKEN = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,13 +32,19 @@ def _odd(seed: int) -> int:
 
 
 class Hasher:
-    """Hashes words and word windows; one object per task keeps its power tables."""
+    """Hashes words and word windows; one object per task keeps its power tables.
 
-    def __init__(self, seed: int = 1):
+    With ``tokens`` it takes runs of letters and digits, ASCII letters in lower case, in place of words.
+    """
+
+    def __init__(self, seed: int = 1, tokens: bool = False):
+        self.separator = _NO_TOKEN if tokens else _SEPARATOR
         self.base = _odd(seed)
         self.inverse = pow(self.base, -1, 2**64)
         self.step = U64(_odd(seed + 1000))
         self.letters = mix(np.arange(1, 257, dtype=U64) + U64(seed << 32))
+        if tokens:
+            self.letters[65:91] = self.letters[97:123]
         self.up = self.down = np.ones(1, dtype=U64)
 
     def _powers(self, n: int) -> None:
@@ -47,20 +54,23 @@ class Hasher:
                 table[0] = 1
                 setattr(self, name, np.multiply.accumulate(table))
 
+    def prefix(self, raw: np.ndarray) -> np.ndarray:
+        """Running sums from which :meth:`spans` hashes any span of the bytes ``raw``."""
+        self._powers(len(raw))
+        total = np.empty(len(raw) + 1, dtype=U64)
+        total[0] = 0
+        np.take(self.letters, raw, out=total[1:])
+        total[1:] *= self.up[: len(raw)]
+        np.cumsum(total[1:], out=total[1:])
+        return total
+
+    def spans(self, total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((total[end] - total[start]) * self.down[start] + (end - start).astype(U64))
+
     def words(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, end and hash of every word in the bytes ``raw``."""
-        gap = np.empty(len(raw) + 2, dtype=bool)
-        gap[0] = gap[-1] = True
-        np.take(_SEPARATOR, raw, out=gap[1:-1])
-        edge = np.flatnonzero(gap[1:] != gap[:-1])
-        start, end = edge[::2], edge[1::2]
-        if not len(start):
-            return start, end, np.zeros(0, dtype=U64)
-        self._powers(len(raw))
-        total = np.zeros(len(raw) + 1, dtype=U64)
-        np.cumsum(self.letters[raw] * self.up[: len(raw)], out=total[1:])
-        sums = (total[end] - total[start]) * self.down[start]
-        return start, end, mix(sums + (end - start).astype(U64))
+        start, end = word_spans(raw, self.separator)
+        return start, end, self.spans(self.prefix(raw), start, end)
 
     def windows(self, words: np.ndarray, size: int) -> np.ndarray:
         """Hash of every run of ``size`` word hashes, by doubling."""
@@ -69,7 +79,6 @@ class Hasher:
         done, length = words, 1
         out, taken = None, 0
         step = self.step
-        power = {1: step}
         while length <= size:
             if size & length:
                 n = len(words) - taken - length + 1
@@ -81,7 +90,6 @@ class Hasher:
             if length * 2 <= size:
                 done = done[:-length] * _pow(step, length) + done[length:]
             length *= 2
-            power[length] = step
         return mix(out[: len(words) - size + 1])
 
 
@@ -89,6 +97,15 @@ def _pow(step: np.uint64, n: int) -> np.uint64:
     return U64(pow(int(step), n, 2**64))
 
 
+def word_spans(raw: np.ndarray, separator: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every word in the bytes ``raw``."""
+    gap = np.empty(len(raw) + 2, dtype=bool)
+    gap[0] = gap[-1] = True
+    np.take(separator, raw, out=gap[1:-1])
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    return edge[::2], edge[1::2]
+
+
 def pieces(raw: np.ndarray, size: int = PIECE) -> Iterator[tuple[int, np.ndarray]]:
     """Cut bytes into pieces of about ``size`` that never split a word, with their offsets."""
     at = 0
