@@ -145,14 +145,15 @@ def fit(texts: list[str], truth: list[str], landmarks: int = LANDMARKS) -> Langu
 
 def train(docs: DataFrame, usable: Column) -> LanguageModel:
     """Learn from text and lang of the rows whose id meets ``usable``; each language gets an equal part."""
-    rows = docs.select("doc_id", "text", "lang").filter(usable).filter(
-        F.col("lang").isNotNull() & F.octet_length("text").between(1, MAX_TRAIN_BYTES))
-    langs = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANDMARKS).collect()]
+    known = docs.select("doc_id", "lang").filter(usable).filter(F.col("lang").isNotNull())
+    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANDMARKS).collect()]
+    fitting = docs.select("doc_id", "text").filter(F.octet_length("text").between(1, MAX_TRAIN_BYTES))
+    each = max(1, TRAIN_ROWS // max(1, len(langs)))
     texts: list[str] = []
     truth: list[str] = []
     for lang in langs:
-        ids = drawn(rows.filter(F.col("lang") == lang).select("doc_id"), F.col("doc_id"), max(1, TRAIN_ROWS // len(langs)))
-        for r in drawn(rows.filter(F.col("lang") == lang).join(F.broadcast(ids), "doc_id", "left_semi"), F.col("doc_id"), TRAIN_ROWS // len(langs)).collect():
+        ids = drawn(known.filter(F.col("lang") == lang).select("doc_id"), F.col("doc_id"), each)
+        for r in fitting.join(F.broadcast(ids), "doc_id", "left_semi").sort("doc_id", "text").limit(each).collect():
             texts.append(r["text"])
             truth.append(lang)
     return fit(texts, truth)

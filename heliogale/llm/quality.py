@@ -121,10 +121,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, rows_per_class: in
     share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
     texts: dict[int, list[str]] = {}
     for quality in (0, 1):
-        # Twice as many ids as rows are wanted, as some have no text of a fitting size.
-        ids = drawn(marked.filter(F.col("quality") == quality).select("doc_id"), F.col("doc_id"), 2 * rows_per_class)
+        ids = drawn(marked.filter(F.col("quality") == quality).select("doc_id"), F.col("doc_id"), rows_per_class)
         fit = docs.select("doc_id", "text").filter(F.octet_length("text").between(1, MAX_TRAIN_BYTES)).join(F.broadcast(ids), "doc_id")
-        texts[quality] = [r["text"] for r in drawn(fit, F.col("doc_id"), rows_per_class).collect()]
+        texts[quality] = [r["text"] for r in fit.sort("doc_id", "text").limit(rows_per_class).collect()]
     if min(map(len, texts.values())) < MIN_ROWS:
         return QualityModel(b"", b"", np.zeros(0), share)
     good, bad = _dictionary(texts[1][::2]), _dictionary(texts[0][::2])

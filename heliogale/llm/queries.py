@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliogale.llm import langid, linerules, mixing, quality, sharding, toxicity
+from heliogale.llm import langid, linerules, mixing, quality, sharding, substrings, toxicity
 from heliogale.llm.samples import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,8 @@ def line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.classify(docs, labels, 0.5, _fold(5) != 0, _fold(5) == 0)
+
+
+@query("op10_substring_dedup")
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeat_digest(table(spark, sf_dir, "documents"))

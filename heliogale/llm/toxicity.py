@@ -28,6 +28,7 @@ POSITIVES = 3000
 UNLABELLED = 6000
 MAX_TRAIN_BYTES = 100_000
 FEATURES = 1024
+APART = 4.0  # standard errors between the samples that a word must show to count
 MIN_POSITIVES = 5
 STEPS = 400
 
@@ -84,14 +85,14 @@ def _features(positive: list[np.ndarray], unlabelled: list[np.ndarray], limit: i
     apart = np.abs(in_p - in_u) / np.sqrt(usual * (1 - usual) / len(positive))
     apart[in_p * len(positive) < 3] = 0
     best = np.argsort(-apart, kind="stable")[:limit]
-    return words[np.sort(best[apart[best] > 0])]
+    return words[np.sort(best[apart[best] > APART])]
 
 
 def _matrix(texts: list[np.ndarray], words: np.ndarray) -> np.ndarray:
     return np.array([np.isin(words, t, assume_unique=True) for t in texts], dtype=np.float32).reshape(len(texts), len(words))
 
 
-def non_negative_pu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = STEPS, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
+def non_negative_pu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = STEPS, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the corrected risk on presence matrices of positives and unlabelled."""
     p, u = (np.hstack([m, np.ones((len(m), 1), dtype=np.float32)]) for m in (p, u))
     w = np.zeros(p.shape[1], dtype=np.float32)
@@ -115,11 +116,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column) -> ToxicityModel:
     seen = marked.agg(F.count("*").alias("n"), F.avg("toxic").alias("share")).first()
     prior = float(seen["share"] or 0.0)
     positives = marked.filter("toxic = 1").select("doc_id")
-    fitting = docs.select("doc_id", "text").filter(usable).filter(F.octet_length("text").between(1, MAX_TRAIN_BYTES))
     key = F.col("doc_id")
-    toxic = drawn(fitting.join(F.broadcast(drawn(positives, key, 2 * POSITIVES)), "doc_id"), key, POSITIVES)
-    other = drawn(fitting, key, UNLABELLED)
-    p, u = ([np.array(r["words"], dtype=np.int64).view(np.uint64) for r in rows.mapInArrow(_tokens, "doc_id long, words array<long>").toLocalIterator()]
+    fitting = docs.select("doc_id", "text").filter(F.octet_length("text").between(1, MAX_TRAIN_BYTES))
+    ids = drawn(positives, key, POSITIVES), drawn(docs.select("doc_id").filter(usable), key, UNLABELLED)
+    toxic, other = (fitting.join(F.broadcast(i), "doc_id", "left_semi") for i in ids)
+    p, u = ([np.array(r["words"], dtype=np.int64).view(np.uint64) for r in rows.mapInArrow(_tokens, "doc_id long, words array<long>").sort("doc_id").collect()]
             for rows in (toxic, other))
     if len(p) < MIN_POSITIVES or not u:
         limited = min(max(prior, 1e-6), 1 - 1e-6)
