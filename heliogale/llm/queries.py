@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliogale.llm import langid, linerules, mixing, quality, sharding, substrings, toxicity
+from heliogale.llm import jaccard, langid, linerules, mixing, quality, sharding, substrings, toxicity
 from heliogale.llm.samples import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,8 @@ def pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_substring_dedup")
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeat_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op8_metric_join")
+def metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))

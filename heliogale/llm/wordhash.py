@@ -34,16 +34,17 @@ def _odd(seed: int) -> int:
 class Hasher:
     """Hashes words and word windows; one object per task keeps its power tables.
 
-    With ``tokens`` it takes runs of letters and digits, ASCII letters in lower case, in place of words.
+    With ``lower`` ASCII letters count as lower case; with ``tokens`` it also takes runs of letters and
+    digits in place of words.
     """
 
-    def __init__(self, seed: int = 1, tokens: bool = False):
+    def __init__(self, seed: int = 1, tokens: bool = False, lower: bool = False):
         self.separator = _NO_TOKEN if tokens else _SEPARATOR
         self.base = _odd(seed)
         self.inverse = pow(self.base, -1, 2**64)
         self.step = U64(_odd(seed + 1000))
         self.letters = mix(np.arange(1, 257, dtype=U64) + U64(seed << 32))
-        if tokens:
+        if tokens or lower:
             self.letters[65:91] = self.letters[97:123]
         self.up = self.down = np.ones(1, dtype=U64)
 
@@ -126,7 +127,7 @@ def text_words(texts: pa.Array, *hashers: Hasher) -> Iterator[tuple[np.ndarray,
     """For groups of consecutive texts: row of each text, first word of each text (one more at the
     end), and one array of word hashes per hasher. Null counts as an empty text."""
     for rows, bounds, raw in blocks(texts):
-        if bounds[-1] <= PIECE:
+        if len(rows) > 1 or bounds[-1] <= PIECE:
             found = [h.words(raw) for h in hashers]
             first = np.searchsorted(found[0][0], bounds)
             yield rows, first, [f[2] for f in found]
