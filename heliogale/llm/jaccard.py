@@ -11,8 +11,8 @@ region. So the far space is first cut by single-shingle pivots:
 2. Regions of at most ``SMALL`` sets are joined directly.
 3. Larger regions (thousands of near copies) get documents as pivots. Sets within ``1 - t`` of a pivot are
    linked to it. Whatever is left apart joins recursively: new pivots are taken from the parts not yet
-   connected (eight times as many each turn) and meet the region's sets of other parts that the triangle inequality lets near them, until
-   every region is connected or all its sets have been pivots. Sets known to be connected need no test.
+   connected (32 times as many each turn) and meet the region's sets of other parts that the triangle
+   inequality lets near them, until every region is connected or all its sets have been pivots. Sets known to be connected need no test.
 
 Equal sets are one class, compared once. Candidate pairs are verified on whole sets; to do so a text is
 sent at most once to a block of texts, whatever the number of its partners there. Sets hold 64-bit hashes.
@@ -233,7 +233,7 @@ class Join:
         return pairs.filter(F.col("both") * 100 >= F.col("either") * self.percent)
 
     def run(self) -> tuple[DataFrame, DataFrame]:
-        """Members (doc, size, rep) of all classes, and links (a, b) that connect all linked representatives."""
+        """Members (doc, size, rep) of all classes, and the component (id, component) of linked representatives."""
         first = stored(self.base.groupBy("block").applyInArrow(_first(self.shingle, self.percent, self.blocks), FIRST))
         zipped = F.explode(F.arrays_zip("docs", "sizes", "low", "high")).alias("z")
         sets = first.filter("bucket = -1").select(zipped).select(
@@ -277,12 +277,12 @@ class Join:
         return listed.select("key", "p.pivot", "p.pivot_size")
 
     def _more_pivots(self, waiting: DataFrame, turn: int) -> DataFrame:
-        """As above, from the sets outside each region's largest component; eight times as many each turn."""
+        """As above, from the sets outside each region's largest component; 32 times as many each turn."""
         share = F.pmod(F.xxhash64("doc", F.lit(-turn)), F.lit(1 << 30)) / (1 << 30)
         largest = waiting.groupBy("key").agg(F.max(F.struct("weight", "component"))["component"].alias("largest"))
         small = waiting.join(largest, "key").filter("component <> largest").withColumn("share", share)
         first = small.groupBy("key").agg(F.count("*").alias("n"), F.min("share").alias("lowest"))
-        chosen = small.join(first, "key").filter((F.col("share") <= F.col("lowest")) | (F.col("share") * F.col("n") < self.pivots * 8**turn))
+        chosen = small.join(first, "key").filter((F.col("share") <= F.col("lowest")) | (F.col("share") * F.col("n") < self.pivots * 32**turn))
         return chosen.select("key", F.col("doc").alias("pivot"), F.col("size").alias("pivot_size"))
 
     def _connect(self, large: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -292,24 +292,24 @@ class Join:
         pairs = pairs.unionByName(met.select(F.col("doc").alias("a"), F.col("pivot").alias("b"))).distinct()
         tested = stored(self.verify(pairs))
         links = stored(self.near(tested).select("a", "b"))
+        labels = components(links)
         if large.isEmpty():
-            return links
+            return labels
         done = pivots
         heights = stored(tested.join(pivots.select(F.col("pivot").alias("b")).distinct(), "b", "left_semi").select(
             "a", "b", (1 - F.col("both") / F.col("either")).alias("distance")))
         turn = 1
         while True:
-            labels = components(links)
             weights = labels.groupBy("component").agg(F.count("*").alias("weight"))
-            labels = stored(labels.join(weights, "component"))
-            marked = large.join(labels, F.col("doc") == F.col("id"), "left").select(
-                "key", "doc", "size", F.coalesce("component", "doc").alias("component"), F.coalesce("weight", F.lit(1)).alias("weight"))
+            weighed = labels.join(weights, "component")
+            marked = stored(large.join(weighed, F.col("doc") == F.col("id"), "left").select(
+                "key", "doc", "size", F.coalesce("component", "doc").alias("component"), F.coalesce("weight", F.lit(1)).alias("weight")))
             # Sets that have been pivots have met the whole region; the others must not be all connected.
             waiting = marked.join(done.select("key", F.col("pivot").alias("doc")), ["key", "doc"], "left_anti")
             apart = waiting.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
             open_rows = stored(marked.join(apart, "key"))
             if open_rows.isEmpty():
-                return links
+                return labels
             pivots = stored(self._more_pivots(waiting.join(apart, "key"), turn))
             home = open_rows.select("key", F.col("doc").alias("pivot"), F.col("component").alias("pivot_component"))
             met = (
@@ -319,9 +319,10 @@ class Join:
             )
             fresh = self._window(met, heights).join(tested.select("a", "b"), ["a", "b"], "left_anti")
             now = stored(self.verify(fresh))
-            tested = stored(tested.unionByName(now))
-            links = stored(links.unionByName(self.near(now).select("a", "b")))
-            done = stored(done.unionByName(pivots))
+            tested = tested.unionByName(now)
+            links = links.unionByName(self.near(now).select("a", "b"))
+            done = done.unionByName(pivots)
+            labels = components(links)
             turn += 1
 
     def _window(self, pairs: DataFrame, heights: DataFrame) -> DataFrame:
@@ -354,8 +355,8 @@ def components(links: DataFrame) -> DataFrame:
 def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, small: int = SMALL, common: int = COMMON,
          pivots: int = PIVOTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
-    members, links = Join(docs, shingle, percent, small, common, pivots, block_bytes).run()
-    joined = members.join(components(links), F.col("rep") == F.col("id"), "left")
+    members, labels = Join(docs, shingle, percent, small, common, pivots, block_bytes).run()
+    joined = members.join(labels, F.col("rep") == F.col("id"), "left")
     real = lambda c: F.when(c != NO_ID, c)
     return joined.select(real(F.col("doc")).alias("doc_id"), F.col("size").alias("n_shingles"),
                          real(F.coalesce("component", "rep")).alias("component_id"))
