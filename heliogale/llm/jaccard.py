@@ -360,3 +360,9 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, small:
     real = lambda c: F.when(c != NO_ID, c)
     return joined.select(real(F.col("doc")).alias("doc_id"), F.col("size").alias("n_shingles"),
                          real(F.coalesce("component", "rep")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, **parameters) -> DataFrame:
+    """The rows of ``docs`` without all but the smallest id of each component; a repeated row stays once."""
+    leads = join(docs, **parameters).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_lead")).distinct()
+    return docs.join(leads, F.col("doc_id").eqNullSafe(F.col("_lead")), "left_semi").dropDuplicates(["doc_id", "text"])

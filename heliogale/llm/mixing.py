@@ -95,31 +95,49 @@ def extra_copies(groups: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, rate of every row of ``docs``.
-
-    Rates become whole copies per (source, size, part) group: ``extra`` of its ``n`` rows, evenly along
-    their ids, get one copy over the whole number. So taken words meet the target to within a document,
-    and no row has over ``cap`` copies (``cap`` is a whole number). A size that very many rows share is
-    cut in parts, so no group that is ranked outgrows a task.
-    """
+def _planned(docs: DataFrame, weights: Sequence[float], cap: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sizes of all rows, the parts of each (source, size) and the copies of each (source, size, part)."""
     sizes = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
     counts = sizes.groupBy("source", "size").agg(F.count("*").alias("n"))
     parts = counts.select("source", "size", F.ceil(F.col("n") / ROWS_PER_RANK).cast("long").alias("parts"))
-    part = F.pmod(F.coalesce("doc_id", F.lit(0)), F.col("parts"))
-    placed = _same(sizes, parts, "source", "size").withColumn("part", part).drop("parts")
     tilt = F.exp(dual_multiplier(F.col("source_size"), F.col("target")))
     rates = source_targets(sizes, weights, cap).withColumn("rate", F.round(F.coalesce(tilt, F.lit(0.0)), 9))
-    groups = placed.groupBy("source", "size", "part").agg(F.count("*").alias("n"))
-    plan = extra_copies(_same(groups, rates, "source"))
+    groups = _placed(sizes, parts).groupBy("source", "size", "part").agg(F.count("*").alias("n"))
+    return sizes, parts, extra_copies(_same(groups, rates, "source"))
+
+
+def _placed(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    part = F.pmod(F.coalesce("doc_id", F.lit(0)), F.col("parts"))
+    return _same(rows, parts, "source", "size").withColumn("part", part).drop("parts")
+
+
+def _copied(rows: DataFrame, parts: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, source, size, ...) with their copies: ``extra`` of a group's ``n`` rows, evenly along
+    their ids, get one copy over the whole number."""
     number = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("doc_id"))
     share = lambda k: F.floor(F.col("extra") * k / F.col("n"))
-    return (
-        _same(placed.withColumn("number", number), plan, "source", "size", "part")
-        .withColumn("copies", (F.col("whole") + share(F.col("number")) - share(F.col("number") - 1)).cast("long"))
-        .select("doc_id", "size", "source_size", F.round("target", 6).alias("target"),
-                (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
-    )
+    return _same(_placed(rows, parts).withColumn("number", number), plan, "source", "size", "part").withColumn(
+        "copies", (F.col("whole") + share(F.col("number")) - share(F.col("number") - 1)).cast("long"))
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies, rate of every row of ``docs``.
+
+    Rates become whole copies per (source, size, part) group, so taken words meet the target to within a
+    document, and no row has over ``cap`` copies (``cap`` is a whole number). A size that very many rows
+    share is cut in parts, so no group that is ranked outgrows a task.
+    """
+    sizes, parts, plan = _planned(docs, weights, cap)
+    return _copied(sizes, parts, plan).select(
+        "doc_id", "size", "source_size", F.round("target", 6).alias("target"),
+        (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
+
+
+def take(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
+    """The rows of ``docs`` with all their columns, each as often as the mix takes it."""
+    _, parts, plan = _planned(docs, weights, cap)
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*docs.columns).alias("row"))
+    return _copied(rows, parts, plan).select("row", F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int"))).alias("_")).select("row.*")
 
 
 def _same(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:

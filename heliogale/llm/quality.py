@@ -93,22 +93,21 @@ class QualityModel:
     weights: np.ndarray
     share: float  # of good labels; the score where nothing was learned
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """doc_id, score of every row of ``docs``."""
+    def score(self, text: Column) -> Column:
         model = self
 
-        def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @F.arrow_udf("double")
+        def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             sizes = Sizes(model.good, model.bad) if len(model.weights) else None
-            for batch in rows:
+            for texts in batches:
                 if sizes is None:
-                    score = np.full(batch.num_rows, model.share)
-                else:
-                    texts = batch.column("text")
-                    parts = [sizes.evidence(texts.slice(k, 256).to_pylist()) for k in range(0, len(texts), 256)]
-                    score = 1 / (1 + np.exp(-np.clip(_design(np.concatenate(parts)) @ model.weights, -30, 30))) if parts else np.zeros(0)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(score)})
+                    yield pa.array(np.full(len(texts), model.share))
+                    continue
+                parts = [sizes.evidence(texts.slice(k, 256).to_pylist()) for k in range(0, len(texts), 256)]
+                logits = _design(np.concatenate(parts)) @ model.weights if parts else np.zeros(0)
+                yield pa.array(1 / (1 + np.exp(-np.clip(logits, -30, 30))))
 
-        return docs.select("doc_id", "text").mapInArrow(batches, "doc_id long, score double")
+        return score(text)
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, rows_per_class: int = ROWS_PER_CLASS) -> QualityModel:
@@ -139,5 +138,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, rows_per_class: in
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float, usable: Column, held_out: Column) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``."""
-    scored = train(docs, labels, usable).score(docs)
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    score = train(docs, labels, usable).score(F.col("text"))
+    scored = docs.select("doc_id", held_out.alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float, usable: Column) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``."""
+    return docs.filter(train(docs, labels, usable).score(F.col("text")) >= threshold)

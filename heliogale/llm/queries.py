@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliogale.llm import jaccard, langid, linerules, mixing, quality, sharding, substrings, toxicity
+from heliogale.llm import decontam, jaccard, langid, linerules, mixing, quality, sharding, substrings, toxicity
 from heliogale.llm.samples import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +118,13 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_metric_join")
 def metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
+
+
+@query("op4_cgk_decontamination")
+def cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.held_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
