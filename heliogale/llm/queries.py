@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliogale.llm import decontam, jaccard, langid, linerules, mixing, quality, sharding, substrings, toxicity
+from heliogale.llm import decontam, jaccard, langid, linerules, lm, mixing, quality, sharding, substrings, toxicity
 from heliogale.llm.samples import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,6 +125,11 @@ def cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.held_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op5_backoff_scores")
+def backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
