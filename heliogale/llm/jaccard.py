@@ -17,9 +17,9 @@ region. So the far space is first cut by single-shingle pivots:
 Equal sets are one class, compared once. Candidate pairs are verified on whole sets; to do so a text is
 sent at most once to a block of texts, whatever the number of its partners there. Sets hold 64-bit hashes.
 
-Defined results: a null or empty text has an empty set and is alone; repeated rows are equal sets; a null id
-counts as the smallest, so its component has a null id; extra columns are ignored; an empty table gives an
-empty result.
+Defined results: a null or empty text has an empty set and is alone; repeated rows are equal sets (an id names one
+text); a null id counts as the smallest, so its component has a null id; extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ PERCENT = 80
 SMALL = 32  # sets of a region that are compared pair by pair
 COMMON = 32  # texts above which a shingle comes last in the order
 PIVOTS = 4  # pivots that a large region takes at once
-NO_ID = int(np.iinfo(np.int64).min)
+NO_ID = -(1 << 62)  # ids below stand for null ids, one for each text
 
 
 class Sets:
@@ -87,7 +87,7 @@ def _column(table: pa.Table, name: str) -> pa.Array:
 
 
 def _ids(table: pa.Table) -> np.ndarray:
-    return _column(table, "doc_id").fill_null(NO_ID).to_numpy().astype(np.int64)
+    return _column(table, "doc_id").to_numpy().astype(np.int64)
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -212,15 +212,15 @@ class Join:
     """One join; the steps share the shuffle of the texts and the parameters."""
 
     def __init__(self, docs: DataFrame, shingle: int, percent: int, small: int, common: int, pivots: int, block_bytes: int):
-        self.docs = docs.select("doc_id", "text")
+        unnamed = F.lit(2 * NO_ID) + F.pmod(F.xxhash64("text"), F.lit(-NO_ID))
+        self.docs = docs.select(F.coalesce("doc_id", unnamed).alias("doc_id"), "text")
         self.shingle, self.percent, self.small, self.common, self.pivots = shingle, percent, small, common, pivots
         self.blocks = block_count(self.docs, block_bytes)
         self.base = blocked(self.docs, self.blocks)
 
     def verify(self, pairs: DataFrame) -> DataFrame:
         """a, b, both, either of distinct pairs a, b."""
-        real = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-        pairs = pairs.select("a", "b", block_of(real("a"), self.blocks).alias("to"), block_of(real("b"), self.blocks).alias("block"))
+        pairs = pairs.select("a", "b", block_of(F.col("a"), self.blocks).alias("to"), block_of(F.col("b"), self.blocks).alias("block"))
         wanted = pairs.select("block", "b", "to").distinct().groupBy("block").agg(
             F.collect_list("b").alias("docs"), F.collect_list("to").alias("to"))
         sent = self.base.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_sent, "block int, doc long, text string")
@@ -244,9 +244,8 @@ class Join:
 
         told = first.filter("bucket >= 0").groupBy("bucket").applyInArrow(_counted(self.common), TOLD)
         empty = F.array().cast("array<long>")
-        real = F.when(F.col("doc") != NO_ID, F.col("doc"))
         copies = members.filter("doc <> rep").select(
-            block_of(real, self.blocks).alias("block"), empty.alias("shared"), empty.alias("common"), F.array("doc").alias("copies"))
+            block_of(F.col("doc"), self.blocks).alias("block"), empty.alias("shared"), empty.alias("common"), F.array("doc").alias("copies"))
         regions = stored(self.base.groupBy("block").cogroup(told.unionByName(copies).groupBy("block")).applyInArrow(
             _regions(self.shingle, self.percent), "doc long, size long, keys array<long>"))
 
@@ -357,7 +356,7 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, small:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     members, labels = Join(docs, shingle, percent, small, common, pivots, block_bytes).run()
     joined = members.join(labels, F.col("rep") == F.col("id"), "left")
-    real = lambda c: F.when(c != NO_ID, c)
+    real = lambda c: F.when(c >= NO_ID, c)
     return joined.select(real(F.col("doc")).alias("doc_id"), F.col("size").alias("n_shingles"),
                          real(F.coalesce("component", "rep")).alias("component_id"))
 
@@ -365,4 +364,4 @@ def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, small:
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` without all but the smallest id of each component; a repeated row stays once."""
     leads = join(docs, **parameters).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_lead")).distinct()
-    return docs.join(leads, F.col("doc_id").eqNullSafe(F.col("_lead")), "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(leads, docs["doc_id"].eqNullSafe(leads["_lead"]), "left_semi").dropDuplicates(["doc_id", "text"])

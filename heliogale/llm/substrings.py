@@ -69,8 +69,19 @@ class Texts:
         self.text_of = np.repeat(np.arange(len(self.ids)), self.counts)
         self.start = np.arange(len(self.text_of)) - self.first[self.text_of]
         self.is_copy = np.isin(self.ids, copies)
-        # A repeated row (same id as the row before it) is compared as its first one is.
-        self.is_twin = np.concatenate([[False], self.ids[1:] == self.ids[:-1]]) if len(self.ids) else np.zeros(0, dtype=bool)
+        # A repeated row (same id and text as one before it) is compared as its first one is.
+        self.is_twin = np.zeros(len(self.ids), dtype=bool)
+        again = np.flatnonzero(self.ids[1:] == self.ids[:-1]) + 1
+        known: set[tuple[int, str | None]] = set()
+        for k in np.union1d(again - 1, again):
+            row = int(self.ids[k]), self.texts[int(k)].as_py()
+            self.is_twin[k] = row in known
+            known.add(row)
+        self.shares_id = len(again) > 0
+
+    def by_place(self, at: np.ndarray) -> np.ndarray:
+        """Words in the order of their places; only texts that share an id are out of it."""
+        return at[np.lexsort((self.start[at], self.ids[self.text_of[at]]))] if self.shares_id else at
 
     def windows(self, size: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the window at every word, and whether it ends inside the same text."""
@@ -165,7 +176,7 @@ def _candidates(anchors_at, window: int, period: int, buckets: int):
         np.add.at(held, places + 1, -1)
         text_of = texts.text_of[: len(found)]
         wanted = np.flatnonzero(inside & (np.cumsum(held)[: len(found)] > 0) & ~texts.is_copy[text_of] & ~texts.is_twin[text_of])
-        # Texts are in the order of their ids, so the first of equal hashes is the first place.
+        wanted = texts.by_place(wanted)  # so the first of equal hashes is the first place
         keys, first = np.unique(found[wanted], return_index=True)
         wanted = wanted[first]
         order, bound = by_bucket(keys, buckets)
@@ -199,7 +210,7 @@ def _remove(window: int):
         n = len(found)
         late = inside & (_among(found, told) | texts.is_copy[texts.text_of[:n]])
         # Inside the block all but the first of equal windows start later; a repeated row starts with its first one.
-        at = np.flatnonzero(inside & ~late)
+        at = texts.by_place(np.flatnonzero(inside & ~late))
         order = np.argsort(found[at], kind="stable")
         ranked = at[order]
         if len(ranked):
