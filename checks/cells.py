@@ -311,10 +311,11 @@ def climate_overlay(spark, sf):
 def _kernel_sql(boundary: str, radius: int, nulls: str) -> str:
     square = f"di BETWEEN -{radius} AND {radius} AND dj BETWEEN -{radius} AND {radius}"
     if boundary == "symm":
-        at = """CASE WHEN g.lat_i + di < 0 THEN -1 - (g.lat_i + di)
-                     WHEN g.lat_i + di >= n THEN 2 * n - 1 - (g.lat_i + di) ELSE g.lat_i + di END AS i,
-                CASE WHEN g.lon_i + dj < 0 THEN -1 - (g.lon_i + dj)
-                     WHEN g.lon_i + dj >= 40 THEN 79 - (g.lon_i + dj) ELSE g.lon_i + dj END AS j"""
+        def mirror(x: str, n: str) -> str:
+            turn = f"((({x}) % (2 * {n}) + 2 * {n}) % (2 * {n}))"
+            return f"CASE WHEN {turn} < {n} THEN {turn} ELSE 2 * {n} - 1 - {turn} END"
+
+        at = f"{mirror('g.lat_i + di', 'n')} AS i, {mirror('g.lon_i + dj', '40')} AS j"
     else:
         at = "g.lat_i + di AS i, ((g.lon_i + dj) % 40 + 40) % 40 AS j"
     return f"""
@@ -357,11 +358,14 @@ def idw_kernel_wrap(spark, sf):
 
 
 @query("kernel_crop", _kernel_sql("symm", 8, "square") + """
-SELECT cell, smoothed FROM v_smooth
-WHERE latitude > 74 AND latitude <= 78 AND longitude >= -178 AND longitude < -172""")
+SELECT v.cell, smoothed FROM v_smooth v JOIN v_grid g USING (cell) WHERE g.lon_i BETWEEN 10 AND 29""")
 def kernel_crop(spark, sf):
-    """Smoothed with surroundings, then cropped to a box."""
-    return grid.bbox(_smooth(spark, sf, 8, boundary="symm"), (-178, 74, -172, 78)).select("cell", "smoothed")
+    """Smoothed from a window and its surroundings only: equal to the whole field inside the window."""
+    cells = grid_cells(spark, sf)
+    holed = cells.withColumn("v", F.when(F.col("cell") % 701 != 5, F.col("demand")))
+    lattice = grid_of(cells)
+    near = spatial.buffered_smooth(holed, "v", 8, lattice, (0, lattice.n_lat - 1, 10, 29), boundary="symm")
+    return fn.round_cols(cells.select("cell", "lat_i", "lon_i").join(near, ["lat_i", "lon_i"]), 6, "smoothed").select("cell", "smoothed")
 
 
 @query("settlement_density", f"""

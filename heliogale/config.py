@@ -20,6 +20,10 @@ ELLIPSOID_B = 6356752.3142
 # Daily reduction per reanalysis variable: accumulated fluxes sum, states average.
 DAILY_RULE = {"ws100": "mean", "t2m": "mean", "ssrd": "sum", "tp": "sum"}
 
+# What the stored daily radiation is (from the rule above), and its factor to a daily sum.
+SSRD_BASIS = "daily_sum"
+SSRD_FACTOR = {"daily_sum": 1.0, "hourly_mean": 24.0}
+
 THRESHOLDS = {
     "solar": {"low": 0.15, "high": 0.20},
     "wind_onshore": {"low": 0.25, "high": 0.35},

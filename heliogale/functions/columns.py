@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -73,11 +75,12 @@ def in_box(lon, lat, bounds) -> Column:
     keep = (lat > dbl(south)) & (lat <= dbl(north))
     if maxx - minx >= 360:
         return keep
-    west, east = minx % 360, maxx % 360
-    wrapped = lon360(lon)
-    if west > east:
-        return keep & ((wrapped >= dbl(west)) | (wrapped < dbl(east)))
-    return keep & (wrapped >= dbl(west)) & (wrapped < dbl(east))
+    # Plain ranges of the stored column, so that they reach the scan: the box and its images a circle
+    # away, for longitudes stored as -180..180 or as 0..360.
+    west = minx % 360
+    east = west + (maxx - minx) % 360
+    images = [(lon >= dbl(west + turn)) & (lon < dbl(east + turn)) for turn in (-720, -360, 0, 360) if east > west]
+    return keep & reduce(or_, images, F.lit(False))
 
 
 # ---- physics / units --------------------------------------------------------

@@ -128,6 +128,32 @@ def snap(grid: Grid, lon="longitude", lat="latitude", clamp: bool = True) -> dic
     }
 
 
+def nearest_axis(source: list[float], start: float, step: float, n: int) -> dict[float, list[int]]:
+    """Source coordinate -> the target positions ``start + step * k`` it is nearest to; a tie goes to the
+    larger coordinate. A finer source leaves coordinates out, a coarser one serves several positions."""
+    ordered = sorted(source, reverse=True)
+    out: dict[float, list[int]] = {}
+    for k in range(n if ordered else 0):
+        out.setdefault(min(ordered, key=lambda x: abs(x - (start + step * k))), []).append(k)
+    return out
+
+
+def nearest_cells(rows: DataFrame, axes: DataFrame, grid: Grid, lon: str = "longitude", lat: str = "latitude") -> DataFrame:
+    """``rows`` on the cells of ``grid``: every cell takes the rows of its nearest source cell, no others.
+
+    ``axes`` holds the coordinates of the regular source lattice, such as one time step. Its distinct
+    latitudes and longitudes are two short lists, bounded by the lattice's edges and not by its rows;
+    they become literal maps in a projection, so the hours are neither joined nor shuffled.
+    """
+    def keys(axis: str, start: float, step: float, n: int) -> Column:
+        found = nearest_axis([r[0] for r in axes.select(axis).filter(F.col(axis).isNotNull()).distinct().collect()], start, step, n)
+        pairs = [x for at, cells in found.items() for x in (fn.dbl(at), F.array(*[F.lit(c) for c in cells]))]
+        return F.explode(F.try_element_at(F.create_map(*pairs), F.col(axis).cast("double")) if pairs else F.array().cast("array<int>"))
+
+    by_row = rows.withColumn("lat_i", keys(lat, grid.lat0, -grid.res, grid.n_lat))
+    return by_row.withColumn("lon_i", keys(lon, grid.lon0, grid.res, grid.n_lon))
+
+
 def nearest_join(target: DataFrame, source: DataFrame, grid: Grid, values: list[str]) -> DataFrame:
     """Every target row gets the values of the nearest source cell.
 

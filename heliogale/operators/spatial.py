@@ -199,15 +199,17 @@ def kernel_smooth(
     weights = kernel_weights(radius)
 
     def positions(c: str, n: int, wrap: bool) -> Column:
+        """Where a row or column shows up within the radius of the grid: at itself and at all its images, also
+        of a grid smaller than the radius. Mirrored rows repeat every 2n, wrapped ones every n."""
         at = F.col(c)
-        none = F.lit(None).cast("int")
         if wrap:
-            extra = [F.when(at >= n - radius, at - n), F.when(at < radius, at + n)]
+            images = [at + k * n for k in range(-(radius // n) - 1, radius // n + 2)]
         elif boundary == "symm":
-            extra = [F.when(at < radius, -1 - at), F.when(at >= n - radius, 2 * n - 1 - at)]
+            turns = range(-(radius // (2 * n)) - 1, radius // (2 * n) + 2)
+            images = [x + 2 * n * k for k in turns for x in (at, -1 - at)]
         else:
-            extra = [none]
-        return F.explode(F.array_compact(F.array(at, *extra)))
+            images = [at]
+        return F.explode(F.filter(F.array(*images), lambda x: (x >= -radius) & (x < n + radius)))
 
     def blocks(c: str, n: int) -> Column:
         lo = F.greatest(F.floor((F.col(c) - radius) / block), F.lit(0))
@@ -252,6 +254,24 @@ def kernel_smooth(
     return smoothed.withColumn(out, fn.finite(out))
 
 
+def buffered_smooth(
+    cells: DataFrame, value: str, radius: int, grid: Grid, window: tuple[int, int, int, int], **options,
+) -> DataFrame:
+    """:func:`kernel_smooth` of the cells in ``window`` (first and last row, first and last column) from
+    their surroundings: only cells within the radius are read, and only the window is returned.
+
+    The edge rule holds at the edge of the widened window, so it matters only where the grid ends.
+    """
+    top, bottom = max(0, window[0] - radius), min(grid.n_lat - 1, window[1] + radius)
+    west, east = max(0, window[2] - radius), min(grid.n_lon - 1, window[3] + radius)
+    part = Grid(grid.lon0 + west * grid.res, grid.lat0 - top * grid.res, grid.res, east - west + 1, bottom - top + 1)
+    near = cells.filter(F.col("lat_i").between(top, bottom) & F.col("lon_i").between(west, east))
+    moved = near.withColumns({"lat_i": F.col("lat_i") - top, "lon_i": F.col("lon_i") - west})
+    back = kernel_smooth(moved, value, radius, part, **options).withColumns(
+        {"lat_i": (F.col("lat_i") + top).cast("int"), "lon_i": (F.col("lon_i") + west).cast("int")})
+    return back.filter(F.col("lat_i").between(*window[:2]) & F.col("lon_i").between(*window[2:]))
+
+
 def settlement_density(pixels: DataFrame, grid: Grid, value: str = "value", how: str = "avg") -> DataFrame:
     """Built-up area per cell and its share of the cell's ellipsoidal area."""
     from heliogale.operators.grid import raster_reduce
@@ -263,10 +283,24 @@ def settlement_density(pixels: DataFrame, grid: Grid, value: str = "value", how:
     )
 
 
-def demand_proximity(pixels: DataFrame, grid: Grid, radius_deg: float, value: str = "value", **options) -> DataFrame:
-    """Settlement smoothed over its surroundings, with the settlement itself."""
-    density = settlement_density(pixels, grid, value)
-    near = kernel_smooth(
-        density, "settlement_share", int(radius_deg / grid.res), grid, out="demand", **options
-    )
-    return density.select(*CELL, "settlement_m2").join(near, CELL, "left")
+def demand_proximity(
+    pixels: DataFrame, grid: Grid, radius_deg: float, value: str = "value", boundary: str = "symm", **options,
+) -> DataFrame:
+    """Settlement smoothed over its surroundings, with the settlement itself.
+
+    Pixels are reduced on a grid that is wider by the radius, smoothed there and cropped, so the edge of
+    ``grid`` sees the real surroundings; the edge rule only acts beyond those. A grid around the whole
+    circle is not widened but joined at its ends.
+    """
+    radius = int(radius_deg / grid.res)
+    around = abs(grid.n_lon * grid.res - 360) < 1e-9
+    side = 0 if around else radius
+    wide = Grid(grid.lon0 - side * grid.res, grid.lat0 + radius * grid.res, grid.res, grid.n_lon + 2 * side, grid.n_lat + 2 * radius)
+    density = settlement_density(pixels, wide, value)
+    window = (radius, radius + grid.n_lat - 1, side, side + grid.n_lon - 1)
+    near = buffered_smooth(density, "settlement_share", radius, wide, window, out="demand",
+                           **{"boundary": boundary, "wrap_lon": around, **options})
+    inside = density.filter(F.col("lat_i").between(*window[:2]) & F.col("lon_i").between(*window[2:]))
+    both = inside.select(*CELL, "settlement_m2").join(near, CELL, "left")
+    return both.withColumns({
+        "lat_i": (F.col("lat_i") - radius).cast("int"), "lon_i": (F.col("lon_i") - side).cast("int")})

@@ -19,9 +19,14 @@ CELL = grid.CELL
 
 @dataclass(frozen=True)
 class Places:
-    """Where a run keeps its tables; ``root`` is a folder every executor can reach."""
+    """Where a run keeps its tables; ``root`` is a folder every executor can reach.
+
+    ``ssrd_basis`` says what the daily radiation of the run is; storage and zones both go by it. The
+    default is the daily sum of hourly energies that :func:`build_daily` stores.
+    """
 
     root: str
+    ssrd_basis: str = config.SSRD_BASIS
 
     def at(self, name: str) -> str:
         return f"{self.root.rstrip('/')}/{name}"
@@ -31,28 +36,36 @@ def build_abundance(spark: SparkSession, places: Places, solar: str, wind: str,
                     nodata: float | None = None) -> DataFrame:
     """Atlas rasters to capacity factors per cell."""
     return sinks.computed_once(spark, places.at("abundance"), lambda: grid.resample_atlas(
-        readers.read_raster(spark, solar, nodata), readers.read_raster(spark, wind, nodata), area))
+        readers.read_raster(spark, solar, nodata), readers.read_raster(spark, wind, nodata), area),
+        {"solar": solar, "wind": wind, "area": area, "nodata": nodata})
 
 
 def build_demand(spark: SparkSession, places: Places, settlement: str, area: Grid,
                  nodata: float | None = None, **options) -> DataFrame:
-    """Settlement raster to smoothed demand proximity per cell."""
+    """Settlement raster to smoothed demand proximity per cell, from pixels up to a radius beyond ``area``."""
     return sinks.computed_once(spark, places.at("demand"), lambda: spatial.demand_proximity(
-        readers.read_raster(spark, settlement, nodata), area, config.KERNEL_RADIUS_DEG, **options))
+        readers.read_raster(spark, settlement, nodata), area, config.KERNEL_RADIUS_DEG, **options),
+        {"settlement": settlement, "area": area, "nodata": nodata, **options})
 
 
 def build_daily(spark: SparkSession, places: Places, hourly: str, area: Grid, variables: list[str],
                 years=config.YEARS, bounds=None, buckets: int | None = None) -> DataFrame:
     """Hourly reanalysis to daily values per cell: the one pass over the largest input,
-    with all variables reduced in a single shuffle. Stored bucketed by cell, so that the
-    climatology, the correlation and the storage sweep need no shuffle of it."""
+    with all variables reduced together. Every cell of ``area`` takes its nearest source cell; ``bounds``
+    (default: the area and one source step around it) limits what is read. Stored bucketed by cell and
+    sorted by day, so that the climatology, the correlation and the storage sweep need no shuffle of it."""
+    edge = max(area.res, 1.0)
+    box = bounds or (area.lon0 - edge, area.lat0 - area.res * area.n_lat - edge,
+                     area.lon0 + area.res * area.n_lon + edge, area.lat0 + edge)
 
     def make() -> DataFrame:
-        rows = readers.read_reanalysis(spark, hourly, variables, bounds, years)
-        keyed = rows.withColumns(grid.snap(area, clamp=False))
-        return timeseries.daily_variables(keyed, CELL, variables)
+        rows = readers.read_reanalysis(spark, hourly, variables, box, years)
+        first = rows.agg(F.min("valid_time")).first()[0]
+        axes = rows.filter(F.col("valid_time") == F.lit(first).cast(dict(rows.dtypes)["valid_time"]))
+        return timeseries.daily_variables(grid.nearest_cells(rows, axes, area), CELL, variables)
 
-    return sinks.bucketed_once(spark, places.at("daily"), make, CELL, buckets)
+    made_with = {"hourly": hourly, "area": area, "variables": variables, "years": years, "bounds": box}
+    return sinks.bucketed_once(spark, places.at("daily"), make, CELL, buckets, [*CELL, "date"], made_with)
 
 
 def _daily(spark: SparkSession, places: Places) -> DataFrame:
@@ -79,30 +92,38 @@ def build_complementarity(spark: SparkSession, places: Places) -> DataFrame:
         spark, places.at("complementarity"), lambda: timeseries.complementarity(daily, CELL, "ws100", "ssrd"))
 
 
-def build_storage(spark: SparkSession, places: Places, years=config.YEARS, ssrd_factor: float = 1.0,
-                  metric: str = "mean", **options) -> DataFrame:
-    """Deficit per cell, season and share, then the best share per cell.
-
-    ``ssrd_factor`` brings the stored solar mean to the daily basis (24 when it is an
-    hourly mean).
-    """
+def build_storage(spark: SparkSession, places: Places, years=config.YEARS, metric: str = "mean", **options) -> DataFrame:
+    """Deficit per cell, season and share, then the best share per cell."""
     daily = _daily(spark, places)
     means = spark.read.parquet(places.at("annual_mean")).select(
         *CELL, F.col("ws100").alias("wind_mean"), F.col("ssrd").alias("solar_mean"))
+    factor = config.SSRD_FACTOR[places.ssrd_basis]
+    made_with = {"years": years, "ssrd_basis": places.ssrd_basis, **options}
     deficits = sinks.computed_once(spark, places.at("storage"), lambda: storage.deficit_from_daily(
-        daily, means, CELL, years, wind="ws100", solar="ssrd", ssrd_factor=ssrd_factor, **options))
+        daily, means, CELL, years, wind="ws100", solar="ssrd", ssrd_factor=factor, **options), made_with)
     return sinks.computed_once(
-        spark, places.at(f"storage_{metric}"), lambda: storage.aggregate(deficits, CELL, metric))
+        spark, places.at(f"storage_{metric}"), lambda: storage.aggregate(deficits, CELL, metric), made_with)
+
 
+def fill_solar(spark: SparkSession, places: Places, land: str, area: Grid, source: Grid | None = None) -> DataFrame:
+    """Gap-filled solar capacity factors from annual radiation and temperature.
 
-def fill_solar(spark: SparkSession, places: Places, land: str, area: Grid) -> DataFrame:
-    """Gap-filled solar capacity factors from annual radiation and temperature."""
+    ``source`` is the grid of the annual means where it is not ``area``; the predictors are then
+    interpolated to the cells."""
 
     def make() -> DataFrame:
         raw = spark.read.parquet(places.at("abundance"))
         means = spark.read.parquet(places.at("annual_mean")).select(*CELL, "ssrd", "t2m")
+        if source is None or source == area:
+            known = raw.join(means, CELL, "left")
+        else:
+            known = raw.withColumns({
+                "latitude": fn.dbl(area.lat0) - fn.dbl(area.res) * F.col("lat_i"),
+                "longitude": fn.dbl(area.lon0) + fn.dbl(area.res) * F.col("lon_i")})
+            for predictor in ("ssrd", "t2m"):
+                known = grid.bilinear_join(known, means, source, predictor)
         edges = spatial.edges(spark.read.parquet(land))
-        masked = spatial.with_masks(raw.join(means, CELL, "left"), edges, area, "wind_CF")
+        masked = spatial.with_masks(known, edges, area, "wind_CF")
         filled = ml.ols_fill(masked, "solar_CF", ["ssrd", "t2m"], F.col("land"))
         return filled.select(*raw.columns)
 
@@ -129,8 +150,7 @@ def build_cells(spark: SparkSession, places: Places, land: str, area: Grid) -> D
     return sinks.computed_once(spark, places.at("cells"), make)
 
 
-def build_zones(spark: SparkSession, places: Places, thresholds: dict | None = None,
-                ssrd_basis: str = "hourly_mean") -> DataFrame:
+def build_zones(spark: SparkSession, places: Places, thresholds: dict | None = None) -> DataFrame:
     """All four classifications, the detailed groups and the resource score per cell."""
 
     def make() -> DataFrame:
@@ -138,12 +158,13 @@ def build_zones(spark: SparkSession, places: Places, thresholds: dict | None = N
         median = stats.quantile_threshold(cells, "demand", config.DETAILED.demand_quantile)
         out = cells
         for spec in (config.ABUNDANCE, config.ABUNDANCE_OFFSHORE_WIND, config.FULL, config.DETAILED):
-            out = zones.classify(out, spec, thresholds, ssrd_basis=ssrd_basis,
+            out = zones.classify(out, spec, thresholds, ssrd_basis=places.ssrd_basis,
                                  demand_threshold=median, out=f"zone_{spec.name}")
         labelled = zones.group(out, zones.groups_for("detailed"), "zone_detailed")
         return zones.resource_availability(labelled, zone="zone_detailed")
 
-    return sinks.computed_once(spark, places.at("zones"), make)
+    made_with = {"thresholds": thresholds, "ssrd_basis": places.ssrd_basis}
+    return sinks.computed_once(spark, places.at("zones"), make, made_with)
 
 
 def build_country(spark: SparkSession, places: Places, shapes: str, area: Grid, allowed: DataFrame | None = None,
@@ -168,7 +189,8 @@ def build_country(spark: SparkSession, places: Places, shapes: str, area: Grid,
         return metrics.join(names, "iso3", "left").withColumn(
             "country_name", F.coalesce("country_name", "iso3")).withColumnRenamed("corr", "resource_demand_corr")
 
-    return sinks.computed_once(spark, places.at(name), make)
+    made_with = {"shapes": shapes, "area": area, "shape_class": shape_class, "extra_groups": extra_groups}
+    return sinks.computed_once(spark, places.at(name), make, made_with)
 
 
 def build_clusters(spark: SparkSession, places: Places, k: int = 4) -> tuple[DataFrame, DataFrame]:
@@ -182,6 +204,6 @@ def build_clusters(spark: SparkSession, places: Places, k: int = 4) -> tuple[Dat
         centres.write.mode("overwrite").parquet(places.at("centroids"))
         return rows
 
-    rows = sinks.computed_once(spark, places.at("clusters"), make)
+    rows = sinks.computed_once(spark, places.at("clusters"), make, {"k": k})
     centres = spark.read.parquet(places.at("centroids"))
     return rows, country.cluster_summary(rows, centres)

@@ -94,6 +94,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(files.exists(location))
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table has been written and committed."""
+    return path_exists(spark, f"{path.rstrip('/')}/_SUCCESS")
+
+
 def read_preferred(spark: SparkSession, preferred: str, fallback: str) -> DataFrame:
-    """The gap-filled table when it has been written, else the raw one."""
-    return spark.read.parquet(preferred if path_exists(spark, preferred) else fallback)
+    """The gap-filled table when it has been written to the end, else the raw one."""
+    return spark.read.parquet(preferred if finished(spark, preferred) else fallback)

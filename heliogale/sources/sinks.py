@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import logging
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliogale.functions import columns as fn
-from heliogale.sources.readers import path_exists
+from heliogale.sources.readers import finished, path_exists
 
 log = logging.getLogger(__name__)
 TILE = ["tile_lon", "tile_lat"]
@@ -35,40 +37,77 @@ def write_report(df: DataFrame, path: str, order: list, n: int | None = None, di
     fn.round_cols(ordered, digits, *doubles).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
-def computed_once(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Read the table when it exists, else build and write it first."""
-    if not path_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
-        build().write.mode("overwrite").parquet(path)
+class OtherParameters(ValueError):
+    """A stored table was made with other parameters than are asked for now."""
+
+
+def _note(spark: SparkSession, path: str) -> dict | None:
+    """What was noted beside a table before it was written."""
+    place = f"{path.rstrip('/')}_made_with"
+    if not finished(spark, place):
+        return None
+    return json.loads(spark.read.text(place).first()[0])
+
+
+def _put_note(spark: SparkSession, path: str, note: dict) -> None:
+    line = spark.createDataFrame([(json.dumps(note, sort_keys=True),)], "value string")
+    line.coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}_made_with")
+
+
+def _stored_note(spark: SparkSession, path: str, parameters: dict | None) -> dict | None:
+    """The note of a finished table made with ``parameters``; None if it must be built.
+
+    ``parameters=None`` takes the table as it is. The note is written first, so a table without one
+    was stopped or is foreign, and is built again.
+    """
+    note = _note(spark, path) if finished(spark, path) else None
+    if note is None:
+        return None
+    wanted = None if parameters is None else json.loads(json.dumps(parameters, default=str))
+    if wanted is not None and note["parameters"] != wanted:
+        raise OtherParameters(f"{path} was made with {note['parameters']}, not with {wanted}; use another place")
+    return note
+
+
+def computed_once(
+    spark: SparkSession, path: str, build: Callable[[], DataFrame], parameters: dict | None = None,
+) -> DataFrame:
+    """Read the table when it exists, else build and write it first. A table that was made with other
+    ``parameters`` is an error, never an answer."""
+    if _stored_note(spark, path, parameters) is None:
+        made = build()
+        _put_note(spark, path, {"parameters": json.loads(json.dumps(parameters or {}, default=str))})
+        made.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
 def bucketed_once(
     spark: SparkSession, path: str, build: Callable[[], DataFrame], keys: list[str],
-    buckets: int | None = None,
+    buckets: int | None = None, sort: list[str] | None = None, parameters: dict | None = None,
 ) -> DataFrame:
-    """Like :func:`computed_once`, stored in ``buckets`` buckets of ``keys``.
+    """Like :func:`computed_once`, stored in ``buckets`` buckets of ``keys``, sorted by ``sort``.
 
     Later group-bys, windows and joins on these keys (or on more columns) read the buckets
     in place and shuffle nothing. One task writes one bucket, so there are ``buckets``
     files. The catalog entry is made anew in a session that has none; the bucket count is
-    kept beside the table for that.
+    noted beside the table for that, before the table is written.
     """
     name = "bucketed_" + hashlib.sha256(path.encode()).hexdigest()[:24]
-    if spark.catalog.tableExists(name):
-        return spark.table(name)
-    if not path_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
+    sort = sort or keys
+    note = _stored_note(spark, path, parameters)
+    if note is None:
+        made = build()
         n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        placed = build().repartition(n, *[F.col(k) for k in keys])
-        placed.write.mode("overwrite").option("path", path).option("compression", "zstd").bucketBy(
-            n, *keys).sortBy(*keys).saveAsTable(name)
-        spark.createDataFrame([(n,)], "buckets int").coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}_layout")
-        return spark.table(name)
-    n = spark.read.schema("buckets int").json(f"{path.rstrip('/')}_layout").first()[0]
-    columns = spark.read.parquet(path).schema.toDDL()
-    names = ", ".join(f"`{k}`" for k in keys)
-    spark.sql(
-        f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS (path '{path}') "
-        f"CLUSTERED BY ({names}) SORTED BY ({names}) INTO {n} BUCKETS")
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        _put_note(spark, path, {"parameters": json.loads(json.dumps(parameters or {}, default=str)), "buckets": n, "sort": sort})
+        made.repartition(n, *[F.col(k) for k in keys]).write.mode("overwrite").option("path", path).option(
+            "compression", "zstd").bucketBy(n, *keys).sortBy(*sort).saveAsTable(name)
+    elif not spark.catalog.tableExists(name):
+        columns = spark.read.parquet(path).schema.toDDL()
+        quoted = lambda names: ", ".join(f"`{k}`" for k in names)
+        spark.sql(
+            f"CREATE TABLE {name} ({columns}) USING parquet OPTIONS (path '{path}') "
+            f"CLUSTERED BY ({quoted(keys)}) SORTED BY ({quoted(note['sort'])}) INTO {note['buckets']} BUCKETS")
     return spark.table(name)
 
 
@@ -107,6 +146,8 @@ def run_tiles(
     try:
         attempt(fixed)
         return []
+    except AnalysisException:  # a wrong plan fails for every tile
+        raise
     except Exception:  # noqa: BLE001 - isolate the tile that fails
         log.exception("joint tile job failed; trying %d tiles one by one", len(names))
     failed = []

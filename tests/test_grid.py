@@ -125,3 +125,28 @@ def test_longitude_and_clip_and_bands(spark):
     with pytest.raises(ValueError):
         fn.joules_to_watts(F.lit(1.0), "weekly")
     assert math.isclose(fn.ELLIPSOID_A, 6378137)
+
+
+@pytest.mark.parametrize("box", [(10, 0, 20, 5), (-5, 0, 5, 5), (170, 0, 190, 5)])
+@pytest.mark.parametrize("stored", [0, -180])
+def test_longitude_reaches_the_scan(spark, tmp_path, box, stored):
+    path = str(tmp_path / "lon")
+    spark.range(360).select((F.col("id") + stored).cast("double").alias("longitude"), F.lit(2.0).alias("latitude")).write.parquet(path)
+    out = grid.bbox(spark.read.parquet(path), box)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Or(And(" in plan.split("PushedFilters:")[1].split("ReadSchema")[0].replace("Or(Or(Or(", "Or(").replace("Or(Or(", "Or(")
+    want = {x % 360 for x in range(box[0], box[2])}
+    assert {int(r["longitude"]) % 360 for r in out.collect()} == want
+
+
+def test_nearest_cells_of_finer_and_coarser_source(spark, rows):
+    g = Grid(0.0, 2.0, 1.0, 3, 3)
+    for step, n in ((0.5, 7), (2.0, 3)):
+        source = spark.range(n * n).select(
+            (3.0 - F.floor(F.col("id") / n) * step).alias("latitude"), (F.col("id") % n * step - 0.5).alias("longitude"), "id")
+        out = grid.nearest_cells(source, source, g)
+        got = {(r["lat_i"], r["lon_i"]): (r["latitude"], r["longitude"]) for r in out.collect()}
+        assert len(got) == out.count() == 9
+        lats, lons = [3.0 - k * step for k in range(n)], [k * step - 0.5 for k in range(n)]
+        near = lambda x, axis: min(sorted(axis, reverse=True), key=lambda a: abs(a - x))
+        assert got == {(i, j): (near(2.0 - i, lats), near(float(j), lons)) for i in range(3) for j in range(3)}

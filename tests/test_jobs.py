@@ -28,7 +28,11 @@ def world(spark, tmp_path_factory):
         "wind": 0.1 + F.col("j") * 0.03,
         "built": (F.col("i") * 7 + F.col("j") * 3) % 11 * 1e6 + 1.0,
     }
-    paths = {n: save(fine.select("x", "y", v.cast("float").alias("value")), n) for n, v in value.items()}
+    # Settlement is known around the area too, as the kernel reaches beyond it.
+    around = spark.range((AREA.n_lat + 2) * (AREA.n_lon + 2)).select(
+        (F.floor(F.col("id") / (AREA.n_lon + 2)) - 1).cast("int").alias("i"), (F.col("id") % (AREA.n_lon + 2) - 1).cast("int").alias("j"))
+    around = around.select((F.col("j") * 2.0).alias("x"), (20.0 - F.col("i") * 2).alias("y"), "i", "j")
+    paths = {n: save((around if n == "built" else fine).select("x", "y", v.cast("float").alias("value")), n) for n, v in value.items()}
     day = F.explode(F.sequence(F.to_date(F.lit("2023-01-01")), F.to_date(F.lit("2024-12-31")))).alias("d")
     doy = F.dayofyear("d")
     hours = cells.select("i", "j", day).select("i", "j", "d", F.explode(F.array(F.lit(0), F.lit(12))).alias("h")).select(
@@ -55,10 +59,10 @@ def test_chain(spark, world, rows):
     places, p = world
     abundance = jobs.build_abundance(spark, places, p["solar"], p["wind"], AREA, nodata=-1.0)
     assert abundance.count() == 120 and abundance.filter("solar_CF is null").count() == 12
-    demand = jobs.build_demand(spark, places, p["built"], AREA, boundary="symm")
+    demand = jobs.build_demand(spark, places, p["built"], AREA)
     assert demand.filter("demand is null").count() == 0
 
-    daily = jobs.build_daily(spark, places, p["hourly"], AREA, ["ws100", "ssrd", "t2m"], bounds=(-1, 0, 23, 21))
+    daily = jobs.build_daily(spark, places, p["hourly"], AREA, ["ws100", "ssrd", "t2m"])
     assert daily.count() == 120 * 731
     clim = timeseries.doy_climatology(daily, grid.CELL, ["ws100"])
     sweep = storage.deficit(
@@ -80,7 +84,7 @@ def test_chain(spark, world, rows):
 
     cells = jobs.build_cells(spark, places, p["land"], AREA)
     assert rows(cells.groupBy("land", "offshore").count()) == [(False, True, 30), (True, False, 90)]
-    zoned = jobs.build_zones(spark, places, ssrd_basis="daily_sum")
+    zoned = jobs.build_zones(spark, places)
     assert zoned.filter("zone_detailed is null or base is null").count() == 0
     assert rows(zoned.agg(F.min("resource_availability"), F.max("resource_availability")))[0] == (0.0, 1.0)
 
@@ -99,5 +103,10 @@ def test_chain(spark, world, rows):
     # A second run finds every table and recomputes nothing.
     again = jobs.build_zones(spark, jobs.Places(places.root))
     assert again.count() == 120
+    for other in (lambda: jobs.build_zones(spark, jobs.Places(places.root, "hourly_mean")),
+                  lambda: jobs.build_storage(spark, places, years=(2022, 2023)),
+                  lambda: jobs.build_demand(spark, places, p["built"], AREA, null_window="circle")):
+        with pytest.raises(sinks.OtherParameters):
+            other()
     assert readers.path_exists(spark, places.at("zones") + "/_SUCCESS")
     sinks.write_report(both, places.at("report"), [F.desc("n_pixels")])

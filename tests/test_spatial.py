@@ -140,9 +140,32 @@ def test_constant_field_stays_constant_and_absent_cells_are_missing(spark):
             spatial.kernel_smooth(flat, "v", 2, g, **bad)
 
 
+@pytest.mark.parametrize("wrap", [False, True])
+def test_kernel_on_grid_smaller_than_radius(spark, wrap):
+    g = Grid(0.0, 0.0, 1.0, 5, 3)
+    cells = lattice(spark, g).withColumn("v", (F.col("lat_i") * 5 + F.col("lon_i")).cast("double"))
+    out = spatial.kernel_smooth(cells, "v", 8, g, "symm", wrap).toPandas().sort_values(["lat_i", "lon_i"])
+    field = np.arange(15.0).reshape(3, 5)
+    sides = [(8, 8), (0, 0)], [(0, 0), (8, 8)]
+    wide = np.pad(np.pad(field, sides[0], "symmetric"), sides[1], "wrap" if wrap else "symmetric")
+    w = spatial.kernel_weights(8)
+    want = [[(wide[i : i + 17, j : j + 17] * w).sum() for j in range(5)] for i in range(3)]
+    np.testing.assert_allclose(out["smoothed"].to_numpy().reshape(3, 5), want, atol=1e-9)
+
+
+def test_window_equals_whole_field(spark, rows):
+    g = Grid(0.0, 0.0, 1.0, 20, 18)
+    cells = lattice(spark, g).withColumn("v", F.sin(F.col("lat_i") * 7.0 + F.col("lon_i")))
+    whole = spatial.kernel_smooth(cells, "v", 3, g, "symm").filter("lat_i between 0 and 7 and lon_i between 5 and 12")
+    part = spatial.buffered_smooth(cells, "v", 3, g, (0, 7, 5, 12), boundary="symm")
+    assert rows(part, "lat_i", "lon_i", "smoothed") == rows(whole, "lat_i", "lon_i", "smoothed")
+
+
 def test_demand_proximity_joins_settlement_and_surroundings(spark):
-    g = Grid(0.0, 0.0, 0.5, 12, 12)
-    px = lattice(spark, g).select((F.col("lon_i") * 0.5).alias("x"), (-F.col("lat_i") * 0.5).alias("y"), F.lit(1e6).alias("value"))
-    out = spatial.demand_proximity(px, g, 1.0, boundary="symm")
+    g, wide = Grid(0.0, 0.0, 0.5, 12, 12), Grid(-1.0, 1.0, 0.5, 16, 16)
+    px = lattice(spark, wide).select(
+        (F.col("lon_i") * 0.5 - 1).alias("x"), (1 - F.col("lat_i") * 0.5).alias("y"), F.lit(1e6).alias("value"))
+    out = spatial.demand_proximity(px, g, 1.0)
+    assert out.count() == 144 and out.filter("demand is null").count() == 0
     r = out.filter("lat_i = 0 and lon_i = 0").first()
     assert r["settlement_m2"] == 1e6 and r["demand"] == pytest.approx(1e6 / 3.0777e9, rel=1e-2)
