@@ -27,7 +27,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliogale.llm.blocks import BLOCK_BYTES, block_count, block_of, blocked, by_bucket
@@ -187,8 +187,8 @@ def _sent(key: tuple[pa.Scalar, ...], table: pa.Table, wanted: pa.Table) -> pa.T
                      "text": _column(table, "text").take(pa.array(rows))})
 
 
-def _verified(shingle: int):
-    """Of a block: the sizes of intersection and union of its pairs, one text of which lies in the block."""
+def _verified(shingle: int, percent: int):
+    """Of a block: sizes of intersection and union of its pairs that reach ``percent``, one text of which lies in the block."""
 
     def verify(key: tuple[pa.Scalar, ...], table: pa.Table, asked: pa.Table) -> pa.Table:
         here = {int(d): k for k, d in reversed(list(enumerate(_ids(table))))}
@@ -203,7 +203,8 @@ def _verified(shingle: int):
         both = np.array([
             len(np.intersect1d(own.of(place[here[int(x)]]), other.of(there[int(y)]), assume_unique=True)) for x, y in zip(a, b)], dtype=np.int64)
         size = np.array([own.sizes[place[here[int(x)]]] + other.sizes[there[int(y)]] for x, y in zip(a, b)], dtype=np.int64)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "both": pa.array(both), "either": pa.array(size - both)})
+        found = pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "both": pa.array(both), "either": pa.array(size - both)})
+        return found.filter(pa.array(both * 100 >= (size - both) * percent))
 
     return verify
 
@@ -218,8 +219,8 @@ class Join:
         self.blocks = block_count(self.docs, block_bytes)
         self.base = blocked(self.docs, self.blocks)
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """a, b, both, either of distinct pairs a, b."""
+    def verify(self, pairs: DataFrame, percent: int) -> DataFrame:
+        """a, b, both, either of the distinct pairs a, b that reach ``percent``."""
         pairs = pairs.select("a", "b", block_of(F.col("a"), self.blocks).alias("to"), block_of(F.col("b"), self.blocks).alias("block"))
         wanted = pairs.select("block", "b", "to").distinct().groupBy("block").agg(
             F.collect_list("b").alias("docs"), F.collect_list("to").alias("to"))
@@ -227,7 +228,7 @@ class Join:
         asked = pairs.select(F.col("to").alias("block"), "a", "b", F.lit(None).cast("string").alias("text")).unionByName(
             sent.select("block", F.col("doc").alias("a"), F.lit(None).cast("long").alias("b"), "text"))
         return self.base.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(
-            _verified(self.shingle), "a long, b long, both long, either long")
+            _verified(self.shingle, percent), "a long, b long, both long, either long")
 
     def near(self, pairs: DataFrame) -> DataFrame:
         return pairs.filter(F.col("both") * 100 >= F.col("either") * self.percent)
@@ -251,29 +252,41 @@ class Join:
 
         rows = regions.select("doc", "size", F.explode("keys").alias("key"))
         held = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        kept = stored(rows.join(held, "key"))
+        met = rows.join(held, "key").groupBy("doc", "size").agg(F.collect_list(F.struct("key", "n")).alias("met"))
+        # A leading shingle that no other text holds cannot be shared, so ``cap`` bounds every intersection.
+        heads = F.col("size") - F.floor((self.percent * F.col("size") + 99) / 100) + 1
+        kept = stored(met.select("doc", "size", (F.col("size") - heads + F.size("met")).alias("cap"), F.explode("met").alias("m")).select(
+            "doc", "size", "cap", "m.key", "m.n"))
         pairs = self._small(kept.filter(F.col("n") <= self.small)).distinct()
         large = kept.filter(F.col("n") > self.small).drop("n")
         return members, self._connect(large, pairs)
 
+    def _fits(self, size: Column, cap: Column, other_size: Column, other_cap: Column) -> Column:
+        """Can two sets be linked, by their sizes and the bounds on their intersections?"""
+        both = F.least(cap, other_cap)
+        return both * 100 >= (size + other_size - both) * self.percent
+
     def _small(self, rows: DataFrame) -> DataFrame:
-        """All pairs of sets whose sizes allow a link, inside regions of at most ``small`` sets."""
-        sets = F.array_sort(F.collect_list(F.struct("doc", "size")))
-        fits = lambda x, y: (x["doc"] < y["doc"]) & (F.least(x["size"], y["size"]) * 100 >= F.greatest(x["size"], y["size"]) * self.percent)
+        """All pairs of sets that can be linked, inside regions of at most ``small`` sets."""
+        sets = F.array_sort(F.collect_list(F.struct("doc", "size", "cap")))
+        fits = lambda x, y: (x["doc"] < y["doc"]) & self._fits(x["size"], x["cap"], y["size"], y["cap"])
         inside = lambda x: F.transform(F.filter("sets", lambda y: fits(x, y)), lambda y: F.struct(y["doc"].alias("a"), x["doc"].alias("b")))
         pairs = F.explode(F.flatten(F.transform("sets", inside))).alias("p")
         return rows.groupBy("key").agg(sets.alias("sets")).select(pairs).select("p.a", "p.b")
 
     def _pivots(self, rows: DataFrame) -> DataFrame:
-        """key, pivot, pivot_size: the first ``pivots`` sets of each region under as many hash orders.
+        """key, pivot, pivot_size, pivot_cap: of each region the most central sets, those with the smallest
+        share of shingles of their own; equal shares are told apart by ``pivots`` hash orders.
 
         The orders are the same for all regions, so regions of one group of texts choose the same sets.
         """
-        rank = lambda j: F.struct(F.xxhash64("doc", F.lit(j)), "doc", "size")
+        own = F.floor((F.col("size") - F.col("cap")) * 64 / F.col("size"))
+        rank = lambda j: F.struct(own, F.xxhash64("doc", F.lit(j)), "doc", "size", "cap")
         chosen = rows.groupBy("key").agg(*[F.min(rank(j)).alias(f"p{j}") for j in range(self.pivots)])
         listed = chosen.select("key", F.explode(F.array_distinct(F.array(*[
-            F.struct(F.col(f"p{j}.doc").alias("pivot"), F.col(f"p{j}.size").alias("pivot_size")) for j in range(self.pivots)]))).alias("p"))
-        return listed.select("key", "p.pivot", "p.pivot_size")
+            F.struct(F.col(f"p{j}.doc").alias("pivot"), F.col(f"p{j}.size").alias("pivot_size"), F.col(f"p{j}.cap").alias("pivot_cap"))
+            for j in range(self.pivots)]))).alias("p"))
+        return listed.select("key", "p.*")
 
     def _more_pivots(self, waiting: DataFrame, turn: int) -> DataFrame:
         """As above, from the sets outside each region's largest component; 32 times as many each turn."""
@@ -282,54 +295,62 @@ class Join:
         small = waiting.join(largest, "key").filter("component <> largest").withColumn("share", share)
         first = small.groupBy("key").agg(F.count("*").alias("n"), F.min("share").alias("lowest"))
         chosen = small.join(first, "key").filter((F.col("share") <= F.col("lowest")) | (F.col("share") * F.col("n") < self.pivots * 32**turn))
-        return chosen.select("key", F.col("doc").alias("pivot"), F.col("size").alias("pivot_size"))
+        return chosen.select("key", *[F.col(c).alias("pivot" if c == "doc" else f"pivot_{c}") for c in ("doc", "size", "cap", "home", "height", "component")])
+
+    def _able(self, rows: DataFrame) -> DataFrame:
+        """Without the sets of a region that can be linked to no set as large as its smallest one."""
+        least = rows.groupBy("key").agg(F.min("size").alias("least"))
+        size, cap = F.col("size"), F.col("cap")
+        best = F.greatest(cap, F.col("least"))
+        return rows.join(least, "key").filter(cap * 100 >= (size + best - cap) * self.percent).drop("least")
 
     def _connect(self, large: DataFrame, pairs: DataFrame) -> DataFrame:
-        fits = F.least("size", "pivot_size") * 100 >= F.greatest("size", "pivot_size") * self.percent
+        fits = self._fits(*map(F.col, ("size", "cap", "pivot_size", "pivot_cap")))
+        large = self._able(large)
         pivots = stored(self._pivots(large))
         met = large.join(pivots, "key").filter(fits & (F.col("doc") != F.col("pivot")))
         pairs = pairs.unionByName(met.select(F.col("doc").alias("a"), F.col("pivot").alias("b"))).distinct()
-        tested = stored(self.verify(pairs))
+        tested = stored(self.verify(pairs, 0))
         links = stored(self.near(tested).select("a", "b"))
         labels = components(links)
+        large = stored(large)
         if large.isEmpty():
             return labels
-        done = pivots
-        heights = stored(tested.join(pivots.select(F.col("pivot").alias("b")).distinct(), "b", "left_semi").select(
-            "a", "b", (1 - F.col("both") / F.col("either")).alias("distance")))
+        first = pivots.select(F.col("pivot").alias("b")).distinct()
+        distance = 1 - F.col("both") / F.col("either")
+        homes = tested.join(first, "b", "left_semi").groupBy(F.col("a").alias("doc")).agg(
+            F.min(distance).alias("height"), F.min_by("b", F.struct(distance, "b")).alias("home"))
+        large = stored(large.join(homes, "doc", "left"))
+        done = pivots.select("key", F.col("pivot").alias("doc"))
         turn = 1
         while True:
             weights = labels.groupBy("component").agg(F.count("*").alias("weight"))
             weighed = labels.join(weights, "component")
             marked = stored(large.join(weighed, F.col("doc") == F.col("id"), "left").select(
-                "key", "doc", "size", F.coalesce("component", "doc").alias("component"), F.coalesce("weight", F.lit(1)).alias("weight")))
+                "key", "doc", "size", "cap", "home", "height", F.coalesce("component", "doc").alias("component"), F.coalesce("weight", F.lit(1)).alias("weight")))
             # Sets that have been pivots have met the whole region; the others must not be all connected.
-            waiting = marked.join(done.select("key", F.col("pivot").alias("doc")), ["key", "doc"], "left_anti")
+            waiting = marked.join(done, ["key", "doc"], "left_anti")
             apart = waiting.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
-            open_rows = stored(marked.join(apart, "key"))
-            if open_rows.isEmpty():
+            waiting = stored(waiting.join(apart, "key"))
+            if waiting.isEmpty():
                 return labels
-            pivots = stored(self._more_pivots(waiting.join(apart, "key"), turn))
-            home = open_rows.select("key", F.col("doc").alias("pivot"), F.col("component").alias("pivot_component"))
+            pivots = stored(self._more_pivots(waiting, turn))
+            # A set that has been a pivot has met all others, so only waiting sets meet the new pivots.
             met = (
-                open_rows.join(pivots.join(home, ["key", "pivot"]), "key")
-                .filter(fits & (F.col("component") != F.col("pivot_component")))
+                waiting.join(pivots, "key").filter(fits & (F.col("component") != F.col("pivot_component")) & self._window())
                 .select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
             )
-            fresh = self._window(met, heights).join(tested.select("a", "b"), ["a", "b"], "left_anti")
-            now = stored(self.verify(fresh))
-            tested = tested.unionByName(now)
-            links = links.unionByName(self.near(now).select("a", "b"))
-            done = done.unionByName(pivots)
+            links = links.unionByName(stored(self.verify(met, self.percent)).select("a", "b"))
+            done = done.unionByName(pivots.select("key", F.col("pivot").alias("doc")))
             labels = components(links)
             turn += 1
 
-    def _window(self, pairs: DataFrame, heights: DataFrame) -> DataFrame:
-        """Without the pairs whose distances to a first pivot differ by more than the triangle inequality allows."""
+    def _window(self) -> Column:
+        """Does the triangle inequality let a set near a pivot? In one Voronoi region (the closest first pivot is
+        the same) their distances to its centre must not differ by more than the limit."""
         gap = (100 - self.percent) / 100 + 1e-9
-        of = lambda c: heights.select(F.col("a").alias(c), F.col("b").alias("p"), F.col("distance").alias(f"d{c}"))
-        barred = pairs.join(of("a"), "a").join(of("b"), ["b", "p"]).filter(F.abs(F.col("da") - F.col("db")) > gap)
-        return pairs.join(barred.select("a", "b").distinct(), ["a", "b"], "left_anti")
+        apart = (F.col("home") == F.col("pivot_home")) & (F.abs(F.col("height") - F.col("pivot_height")) > gap)
+        return ~F.coalesce(apart, F.lit(False))
 
 
 def components(links: DataFrame) -> DataFrame:
