@@ -299,12 +299,22 @@ def merge_cells(frames: list[DataFrame], keys: list[str] | None = None) -> DataF
     """Full-outer merge of cell tables with distinct value columns.
 
     A union followed by one group-by shuffles each input once, where a chain of full
-    joins would shuffle the growing result again for every input.
+    joins would shuffle the growing result again for every input. A column in several tables is an
+    error, and so is a cell that one table holds twice; the latter is raised when the result is computed.
     """
     keys = keys or CELL
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    values = [c for c in stacked.columns if c not in keys]
-    return stacked.groupBy(*keys).agg(*[F.max(v).alias(v) for v in values])
+    named = [c for f in frames for c in f.columns if c not in keys]
+    twice = sorted({c for c in named if named.count(c) > 1})
+    if twice:
+        raise ValueError(f"columns {twice} occur in several tables")
+    marked = [f.withColumn("_table", F.lit(k)) for k, f in enumerate(frames)]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), marked)
+    most = F.greatest(*[F.count(F.when(F.col("_table") == k, 1)) for k in range(len(frames))], F.lit(0))
+    merged = stacked.groupBy(*keys).agg(most.alias("_copies"), *[F.max(v).alias(v) for v in named])
+    message = F.format_string("cell (%s) occurs %d times in a table", F.concat_ws(", ", *keys), "_copies")
+    return merged.filter(
+        F.when(F.col("_copies") <= 1, F.lit(True)).otherwise(F.raise_error(message).cast("boolean"))
+    ).drop("_copies")
 
 
 def prefer_filled(raw: DataFrame, filled: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:

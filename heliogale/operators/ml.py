@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from heliogale.config import CLUSTER_ID_BY_POSITION
 from heliogale.functions import columns as fn
+from heliogale.plans.session import pinned
 
 ROWS_PER_TASK = 100_000
 
@@ -79,7 +80,9 @@ def kmeans(
     start = df.withColumns({f"_f{i}": F.col(c).cast("double") for i, c in enumerate(features)}).persist()
     try:
         # Every fit runs many short jobs: a table of countries should not be hundreds of tasks.
-        packed = start.coalesce(max(1, -(-start.count() // ROWS_PER_TASK)))
+        # Seeds draw by row order, so rows are put in the order of their features first.
+        tasks = max(1, -(-start.count() // ROWS_PER_TASK))
+        packed = start.repartitionByRange(tasks, *filled_names).sortWithinPartitions(*filled_names)
         imputer = Imputer(strategy="mean", inputCols=filled_names, outputCols=filled_names).fit(packed)
         assembler = VectorAssembler(inputCols=filled_names, outputCol="_raw")
         assembled = assembler.transform(imputer.transform(packed))
@@ -92,14 +95,15 @@ def kmeans(
 
         with ThreadPoolExecutor(parallel) as pool:
             fitted = list(pool.map(fit, [seed + i for i in range(runs)]))
+        model = min(fitted, key=lambda f: f[:2])[2]
+        # Written while the input is still cached, so that it is not computed again.
+        assigned = pinned(model.transform(ready).withColumnRenamed("prediction", "cluster").select(*df.columns, "cluster"))
     finally:
         start.unpersist()
-    model = min(fitted, key=lambda f: f[:2])[2]
-    assigned = model.transform(ready).withColumnRenamed("prediction", "cluster")
     mean, std = scaler.mean.toArray(), scaler.std.toArray()
     rows = [(i, *map(float, c * std + mean)) for i, c in enumerate(model.clusterCenters())]
     schema = "cluster int, " + ", ".join(f"`{f}` double" for f in features)
-    return assigned.select(*df.columns, "cluster"), df.sparkSession.createDataFrame(rows, schema)
+    return assigned, df.sparkSession.createDataFrame(rows, schema)
 
 
 def canonical_clusters(
