@@ -49,6 +49,7 @@ class Counts:
         self.text_of = np.repeat(np.arange(len(self.counts)), self.counts)
         self.place = np.arange(len(self.words)) - (np.cumsum(self.counts) - self.counts)[self.text_of]
         self.others = np.full(len(self.words), len(self.words), dtype=np.int64)  # order 0, set by ``answer``
+        self.totals: list[np.ndarray] = []  # per order, the answer as it came
         self.seen: list[np.ndarray] = []  # per order, counts in other texts of the n-gram that ends at a word
 
     def ask(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -77,6 +78,14 @@ class Counts:
         if level == 1:
             self.others = total[0] - self.counts[self.text_of]
         self.seen.append(seen)
+        self.totals.append(totals)
+
+    def carried(self, block: int) -> pa.Table:
+        """The answers so far, addressed to the block itself, so that no order is asked for twice."""
+        n = len(self.totals)
+        fixed = lambda value: pa.array(np.full(n, value), pa.int32())
+        return pa.table({"bucket": fixed(-1 - block), "block": fixed(block), "level": pa.array(np.arange(1, n + 1), pa.int32()),
+                         "keys": pa.array([[]] * n, pa.list_(pa.int64())), "counts": pa.array(self.totals, pa.list_(pa.int64()))})
 
     def sent(self, level: int, block: int) -> pa.Table:
         _, keys, counts, _ = self.ask(level)
@@ -117,13 +126,17 @@ def _first(buckets: int):
 
 def _longer(level: int, buckets: int):
     def send(key: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
-        return _answered(table, answers, buckets, level - 1).sent(level, key[0].as_py())
+        counts = _answered(table, answers, buckets, level - 1)
+        return pa.concat_tables([counts.sent(level, key[0].as_py()), counts.carried(key[0].as_py())])
 
     return send
 
 
 def _summed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Of a bucket of one order: the sums of all blocks, joined back to each block's keys."""
+    """Of a bucket: the sums of all blocks, joined back to each block's keys. Carried answers pass as they are."""
+    if key[0].as_py() < 0:
+        return pa.table({"bucket": _column(table, "bucket"), "block": _column(table, "block"), "level": _column(table, "level"),
+                         "totals": _column(table, "counts")})
     asked = _column(table, "keys")
     keys, counts = asked.flatten().to_numpy(), _column(table, "counts").flatten().to_numpy()
     found, which = np.unique(keys, return_inverse=True)
@@ -153,12 +166,10 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block_bytes
     docs = docs.select("doc_id", "text")
     blocks = block_count(docs, block_bytes)
     base = blocked(docs, blocks)
-    answers = None
-    for level in range(1, order + 1):
-        asked = (
-            base.groupBy("block").applyInArrow(_first(blocks), ASKED) if answers is None else
-            base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_longer(level, blocks), ASKED)
-        )
-        summed = asked.groupBy("bucket").applyInArrow(_summed, ANSWER)
-        answers = summed if answers is None else answers.unionByName(summed)
+    # One chain: each order is shuffled once, and what is known goes along with the next order's questions.
+    asked = base.groupBy("block").applyInArrow(_first(blocks), ASKED)
+    for level in range(2, order + 1):
+        answers = asked.groupBy("bucket").applyInArrow(_summed, ANSWER)
+        asked = base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_longer(level, blocks), ASKED)
+    answers = asked.groupBy("bucket").applyInArrow(_summed, ANSWER)
     return base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(order, alpha, blocks), SCORES)
