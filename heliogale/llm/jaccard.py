@@ -39,6 +39,7 @@ PERCENT = 80
 SMALL = 32  # sets of a region that are compared pair by pair
 COMMON = 32  # texts above which a shingle comes last in the order
 PIVOTS = 4  # pivots that a large region takes at once
+BOUNDS = ("size", "last", "cap", "loose")  # of a set in a region: what its links are bounded by
 NO_ID = -(1 << 62)  # ids below stand for null ids, one for each text
 
 
@@ -161,18 +162,23 @@ def _regions(shingle: int, percent: int):
         counted = np.unique(sets.values[sets.heads(percent)])
         heads = sets.heads(percent, _among(sets.values, common))
         value, owner = sets.values[heads], sets.text_of[heads]
+        rank = (np.arange(len(owner)) - np.searchsorted(owner, owner)).astype(np.int32)
+        # Places in the common order, as signed numbers.
+        place = ((value >> np.uint64(1)) ^ np.where(_among(value, common), np.uint64(0), np.uint64(1 << 63))).view(np.int64)
+        last = np.zeros(len(ids), dtype=np.int64)
+        last[owner] = place  # the last head of each text stays
         # A counted shingle that is neither shared nor common occurs once, and a region needs two.
         useful = _among(value, shared) | _among(value, common) | ~_among(value, counted)
         first_row = np.zeros(len(ids), dtype=bool)
         first_row[np.unique(ids, return_index=True)[1]] = True
         useful &= (~np.isin(ids, copies) & first_row)[owner]
-        value, owner = value[useful], owner[useful]
+        value, owner, rank = value[useful], owner[useful], rank[useful]
         order = np.argsort(owner, kind="stable")
         bound = np.searchsorted(owner[order], np.arange(len(ids) + 1))
         used = np.flatnonzero(np.diff(bound))
         return pa.table({
-            "doc": pa.array(ids[used], pa.int64()), "size": pa.array(sets.sizes[used], pa.int64()),
-            "keys": _lists(value[order].view(np.int64), bound, used, pa.int64())})
+            "doc": pa.array(ids[used], pa.int64()), "size": pa.array(sets.sizes[used], pa.int64()), "last": pa.array(last[used], pa.int64()),
+            "keys": _lists(value[order].view(np.int64), bound, used, pa.int64()), "ranks": _lists(rank[order], bound, used, pa.int32())})
 
     return send
 
@@ -248,43 +254,47 @@ class Join:
         copies = members.filter("doc <> rep").select(
             block_of(F.col("doc"), self.blocks).alias("block"), empty.alias("shared"), empty.alias("common"), F.array("doc").alias("copies"))
         regions = stored(self.base.groupBy("block").cogroup(told.unionByName(copies).groupBy("block")).applyInArrow(
-            _regions(self.shingle, self.percent), "doc long, size long, keys array<long>"))
+            _regions(self.shingle, self.percent), "doc long, size long, last long, keys array<long>, ranks array<int>"))
 
-        rows = regions.select("doc", "size", F.explode("keys").alias("key"))
+        rows = regions.select("doc", "size", "last", F.explode(F.arrays_zip("keys", "ranks")).alias("z")).select(
+            "doc", "size", "last", F.col("z.keys").alias("key"), F.col("z.ranks").alias("rank"))
         held = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        met = rows.join(held, "key").groupBy("doc", "size").agg(F.collect_list(F.struct("key", "n")).alias("met"))
-        # A leading shingle that no other text holds cannot be shared, so ``cap`` bounds every intersection.
+        met = rows.join(held, "key").groupBy("doc", "size", "last").agg(F.sort_array(F.collect_list(F.struct("rank", "key", "n"))).alias("met"))
+        # A pair need only be met in the region of its first shared shingle, where both share nothing that comes before:
+        # ``loose`` is what is left of a set from there on. Of two sets, the one whose last head comes first shares
+        # only heads that the other leads with too; without its heads that no other text leads with, ``cap`` is left of it.
         heads = F.col("size") - F.floor((self.percent * F.col("size") + 99) / 100) + 1
-        kept = stored(met.select("doc", "size", (F.col("size") - heads + F.size("met")).alias("cap"), F.explode("met").alias("m")).select(
-            "doc", "size", "cap", "m.key", "m.n"))
+        kept = stored(met.select("doc", "size", "last", (heads - F.size("met")).alias("own"), (F.col("size") - heads + F.size("met")).alias("most"), F.posexplode("met").alias("pos", "m")).select(
+            "doc", "size", "last", "own", (F.col("most") - F.col("pos")).alias("cap"), (F.col("size") - F.col("m.rank")).alias("loose"), "m.key", "m.n"))
         pairs = self._small(kept.filter(F.col("n") <= self.small)).distinct()
         large = kept.filter(F.col("n") > self.small).drop("n")
         return members, self._connect(large, pairs)
 
-    def _fits(self, size: Column, cap: Column, other_size: Column, other_cap: Column) -> Column:
-        """Can two sets be linked, by their sizes and the bounds on their intersections?"""
-        both = F.least(cap, other_cap)
-        return both * 100 >= (size + other_size - both) * self.percent
+    def _fits(self, x, y) -> Column:
+        """Can two sets, given by what names their columns, be linked by their first shared shingle in this region?"""
+        rest = lambda one, two: F.when(one("last") <= two("last"), one("cap")).otherwise(one("loose"))
+        both = F.least(rest(x, y), rest(y, x))
+        return both * 100 >= (x("size") + y("size") - both) * self.percent
 
     def _small(self, rows: DataFrame) -> DataFrame:
         """All pairs of sets that can be linked, inside regions of at most ``small`` sets."""
-        sets = F.array_sort(F.collect_list(F.struct("doc", "size", "cap")))
-        fits = lambda x, y: (x["doc"] < y["doc"]) & self._fits(x["size"], x["cap"], y["size"], y["cap"])
+        sets = F.array_sort(F.collect_list(F.struct("doc", "size", "last", "cap", "loose")))
+        fits = lambda x, y: (x["doc"] < y["doc"]) & self._fits(x.getField, y.getField)
         inside = lambda x: F.transform(F.filter("sets", lambda y: fits(x, y)), lambda y: F.struct(y["doc"].alias("a"), x["doc"].alias("b")))
         pairs = F.explode(F.flatten(F.transform("sets", inside))).alias("p")
         return rows.groupBy("key").agg(sets.alias("sets")).select(pairs).select("p.a", "p.b")
 
     def _pivots(self, rows: DataFrame) -> DataFrame:
-        """key, pivot, pivot_size, pivot_cap: of each region the most central sets, those with the smallest
+        """key, pivot and its columns: of each region the most central sets, those with the smallest
         share of shingles of their own; equal shares are told apart by ``pivots`` hash orders.
 
         The orders are the same for all regions, so regions of one group of texts choose the same sets.
         """
-        own = F.floor((F.col("size") - F.col("cap")) * 64 / F.col("size"))
-        rank = lambda j: F.struct(own, F.xxhash64("doc", F.lit(j)), "doc", "size", "cap")
+        own = F.floor(F.col("own") * 64 / F.col("size"))
+        rank = lambda j: F.struct(own, F.xxhash64("doc", F.lit(j)), "doc", *BOUNDS)
         chosen = rows.groupBy("key").agg(*[F.min(rank(j)).alias(f"p{j}") for j in range(self.pivots)])
         listed = chosen.select("key", F.explode(F.array_distinct(F.array(*[
-            F.struct(F.col(f"p{j}.doc").alias("pivot"), F.col(f"p{j}.size").alias("pivot_size"), F.col(f"p{j}.cap").alias("pivot_cap"))
+            F.struct(F.col(f"p{j}.doc").alias("pivot"), *[F.col(f"p{j}.{c}").alias(f"pivot_{c}") for c in BOUNDS])
             for j in range(self.pivots)]))).alias("p"))
         return listed.select("key", "p.*")
 
@@ -295,17 +305,23 @@ class Join:
         small = waiting.join(largest, "key").filter("component <> largest").withColumn("share", share)
         first = small.groupBy("key").agg(F.count("*").alias("n"), F.min("share").alias("lowest"))
         chosen = small.join(first, "key").filter((F.col("share") <= F.col("lowest")) | (F.col("share") * F.col("n") < self.pivots * 32**turn))
-        return chosen.select("key", *[F.col(c).alias("pivot" if c == "doc" else f"pivot_{c}") for c in ("doc", "size", "cap", "home", "height", "component")])
+        return chosen.select("key", *[F.col(c).alias("pivot" if c == "doc" else f"pivot_{c}") for c in ("doc", *BOUNDS, "home", "height", "component")])
 
     def _able(self, rows: DataFrame) -> DataFrame:
-        """Without the sets of a region that can be linked to no set as large as its smallest one."""
-        least = rows.groupBy("key").agg(F.min("size").alias("least"))
-        size, cap = F.col("size"), F.col("cap")
-        best = F.greatest(cap, F.col("least"))
-        return rows.join(least, "key").filter(cap * 100 >= (size + best - cap) * self.percent).drop("least")
+        """Without the sets of a region that can be linked to none of its sets.
+
+        Of two linked sets the one whose last head comes first is ``good``: its ``cap`` allows a link to a set as
+        large as the region's smallest one. The other is good too, or comes later and is of a size near a good one's.
+        """
+        size, least = F.col("size"), rows.groupBy("key").agg(F.min("size").alias("least"))
+        reach = lambda c: F.col(c) * 100 >= (size + F.greatest(c, "least") - F.col(c)) * self.percent
+        rows = rows.join(least, "key").filter(reach("loose")).withColumn("good", reach("cap")).drop("least")
+        good = rows.filter("good").groupBy("key").agg(F.min("last").alias("from"), F.min("size").alias("low"), F.max("size").alias("high"))
+        near = (size * 100 >= F.col("low") * self.percent) & (F.col("high") * 100 >= size * self.percent)
+        return rows.join(good, "key").filter(F.col("good") | (F.col("last") > F.col("from")) & near).drop("good", "from", "low", "high")
 
     def _connect(self, large: DataFrame, pairs: DataFrame) -> DataFrame:
-        fits = self._fits(*map(F.col, ("size", "cap", "pivot_size", "pivot_cap")))
+        fits = self._fits(F.col, lambda c: F.col(f"pivot_{c}"))
         large = self._able(large)
         pivots = stored(self._pivots(large))
         met = large.join(pivots, "key").filter(fits & (F.col("doc") != F.col("pivot")))
@@ -327,7 +343,7 @@ class Join:
             weights = labels.groupBy("component").agg(F.count("*").alias("weight"))
             weighed = labels.join(weights, "component")
             marked = stored(large.join(weighed, F.col("doc") == F.col("id"), "left").select(
-                "key", "doc", "size", "cap", "home", "height", F.coalesce("component", "doc").alias("component"), F.coalesce("weight", F.lit(1)).alias("weight")))
+                "key", "doc", *BOUNDS, "home", "height", F.coalesce("component", "doc").alias("component"), F.coalesce("weight", F.lit(1)).alias("weight")))
             # Sets that have been pivots have met the whole region; the others must not be all connected.
             waiting = marked.join(done, ["key", "doc"], "left_anti")
             apart = waiting.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1").select("key")
