@@ -38,6 +38,7 @@ SHINGLE = 5
 PERCENT = 80
 SMALL = 32  # sets of a region that are compared pair by pair
 COMMON = 32  # texts above which a shingle comes last in the order
+MOST_COMMON = 1 << 18  # shingles that come last at most, as all tasks know them; others keep their place
 PIVOTS = 4  # pivots that a large region takes at once
 BOUNDS = ("size", "last", "cap", "loose")  # of a set in a region: what its links are bounded by
 NO_ID = -(1 << 62)  # ids below stand for null ids, one for each text
@@ -126,24 +127,45 @@ def _first(shingle: int, percent: int, buckets: int):
     return send
 
 
-TOLD = "block int, shared array<long>, common array<long>, copies array<long>"
+def _common(common: int):
+    """Of a bucket: its shingles that lead more than ``common`` texts, and how many they lead."""
 
+    def count(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        found, which = np.unique(_flat(_column(table, "keys"))[0], return_inverse=True)
+        total = np.bincount(which, _flat(_column(table, "times"))[0], len(found)).astype(np.int64)
+        return pa.table({"key": pa.array(found[total > common], pa.int64()), "n": pa.array(total[total > common])})
 
-def _counted(common: int):
-    """Of a bucket: per block, its shingles that occur twice or more in all, and those over ``common`` times."""
+    return count
 
-    def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        keys, row = _flat(_column(table, "keys"))
-        times, _ = _flat(_column(table, "times"))
-        found, which = np.unique(keys, return_inverse=True)
-        total = np.bincount(which, times, len(found))[which]
-        rows = np.arange(table.num_rows)
-        parts = {}
-        for name, hit in (("shared", (total > 1) & (total <= common)), ("common", total > common)):
-            parts[name] = _lists(keys[hit], np.searchsorted(row[hit], np.arange(len(rows) + 1)), rows, pa.int64())
-        return pa.table({"block": _column(table, "block"), **parts, "copies": pa.array([[]] * len(rows), pa.list_(pa.int64()))})
 
-    return answer
+def _later(shingle: int, percent: int, buckets: int, common: np.ndarray):
+    """Of a block: by bucket, the shingles that lead a text only because ``common`` ones come last."""
+
+    def send(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        sets = Sets(_column(table, "text"), shingle)
+        new = np.setdiff1d(sets.heads(percent, _among(sets.values, common)), sets.heads(percent))
+        keys, times = np.unique(sets.values[new], return_counts=True)
+        order, bound = by_bucket(keys, buckets)
+        used = np.flatnonzero(np.diff(bound))
+        return pa.table({
+            "bucket": pa.array(used, pa.int32()), "block": pa.array(np.full(len(used), key[0].as_py()), pa.int32()),
+            "keys": _lists(keys[order].view(np.int64), bound, used, pa.int64()),
+            "times": _lists(times[order].astype(np.int32), bound, used, pa.int32())})
+
+    return send
+
+
+TOLD = "block int, shared array<long>, copies array<long>"
+
+
+def _counted(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Of a bucket: per block, its shingles that lead two texts or more in all, in one order or the other."""
+    keys, row = _flat(_column(table, "keys"))
+    found, which = np.unique(keys, return_inverse=True)
+    hit = np.bincount(which, _flat(_column(table, "times"))[0], len(found))[which] > 1
+    rows = np.arange(table.num_rows)
+    shared = _lists(keys[hit], np.searchsorted(row[hit], np.arange(len(rows) + 1)), rows, pa.int64())
+    return pa.table({"block": _column(table, "block"), "shared": shared, "copies": pa.array([[]] * len(rows), pa.list_(pa.int64()))})
 
 
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -152,14 +174,13 @@ def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
-def _regions(shingle: int, percent: int):
+def _regions(shingle: int, percent: int, common: np.ndarray):
     """Of a block: per class representative, the shingles whose regions it enters."""
 
     def send(key: tuple[pa.Scalar, ...], table: pa.Table, told: pa.Table) -> pa.Table:
         ids, sets = _ids(table), Sets(_column(table, "text"), shingle)
-        shared, common, copies = (np.sort(_flat(_column(told, c))[0].astype(np.int64)) for c in ("shared", "common", "copies"))
-        shared, common = np.sort(shared.view(np.uint64)), np.sort(common.view(np.uint64))
-        counted = np.unique(sets.values[sets.heads(percent)])
+        shared, copies = (_flat(_column(told, c))[0].astype(np.int64) for c in ("shared", "copies"))
+        shared = np.sort(shared.view(np.uint64))
         heads = sets.heads(percent, _among(sets.values, common))
         value, owner = sets.values[heads], sets.text_of[heads]
         rank = (np.arange(len(owner)) - np.searchsorted(owner, owner)).astype(np.int32)
@@ -167,8 +188,7 @@ def _regions(shingle: int, percent: int):
         place = ((value >> np.uint64(1)) ^ np.where(_among(value, common), np.uint64(0), np.uint64(1 << 63))).view(np.int64)
         last = np.zeros(len(ids), dtype=np.int64)
         last[owner] = place  # the last head of each text stays
-        # A counted shingle that is neither shared nor common occurs once, and a region needs two.
-        useful = _among(value, shared) | _among(value, common) | ~_among(value, counted)
+        useful = _among(value, shared)  # any other leads this text alone, and a region needs two
         first_row = np.zeros(len(ids), dtype=bool)
         first_row[np.unique(ids, return_index=True)[1]] = True
         useful &= (~np.isin(ids, copies) & first_row)[owner]
@@ -249,12 +269,17 @@ class Join:
         reps = sets.filter("size > 0").groupBy(*same).agg(F.min("doc").alias("rep"))
         members = stored(sets.join(reps, same, "left").select("doc", "size", F.coalesce("rep", "doc").alias("rep")))
 
-        told = first.filter("bucket >= 0").groupBy("bucket").applyInArrow(_counted(self.common), TOLD)
+        heads = first.filter("bucket >= 0").select("bucket", "block", "keys", "times")
+        common = self._common(heads)
+        if len(common):
+            heads = heads.unionByName(self.base.groupBy("block").applyInArrow(
+                _later(self.shingle, self.percent, self.blocks, common), heads.schema))
+        told = heads.groupBy("bucket").applyInArrow(_counted, TOLD)
         empty = F.array().cast("array<long>")
         copies = members.filter("doc <> rep").select(
-            block_of(F.col("doc"), self.blocks).alias("block"), empty.alias("shared"), empty.alias("common"), F.array("doc").alias("copies"))
+            block_of(F.col("doc"), self.blocks).alias("block"), empty.alias("shared"), F.array("doc").alias("copies"))
         regions = stored(self.base.groupBy("block").cogroup(told.unionByName(copies).groupBy("block")).applyInArrow(
-            _regions(self.shingle, self.percent), "doc long, size long, last long, keys array<long>, ranks array<int>"))
+            _regions(self.shingle, self.percent, common), "doc long, size long, last long, keys array<long>, ranks array<int>"))
 
         rows = regions.select("doc", "size", "last", F.explode(F.arrays_zip("keys", "ranks")).alias("z")).select(
             "doc", "size", "last", F.col("z.keys").alias("key"), F.col("z.ranks").alias("rank"))
@@ -270,6 +295,13 @@ class Join:
         large = kept.filter(F.col("n") > self.small).drop("n")
         return members, self._connect(large, pairs)
 
+    def _common(self, heads: DataFrame) -> np.ndarray:
+        """The shingles that come last, for all texts alike: those that lead the most texts. Which ones these are
+        decides about the size of regions, not about links."""
+        counts = heads.groupBy("bucket").applyInArrow(_common(self.common), "key long, n long")
+        keys = counts.orderBy(F.desc("n"), "key").limit(MOST_COMMON).select("key").toArrow()
+        return np.sort(_column(keys, "key").to_numpy().view(np.uint64))
+
     def _fits(self, x, y) -> Column:
         """Can two sets, given by what names their columns, be linked by their first shared shingle in this region?"""
         rest = lambda one, two: F.when(one("last") <= two("last"), one("cap")).otherwise(one("loose"))

@@ -46,3 +46,22 @@ def uneven_rows(seed, n=90):
 def test_jaccard_of_unequal_sizes(frame, parameters):
     rows = uneven_rows(21)
     assert joined(frame(rows), common=10**6, **parameters) == order(brute.jaccard_components(rows))
+
+
+def short_rows(seed):
+    """Short texts that share leading parts, so that shingles lie around the limit of common ones."""
+    rng = random.Random(seed)
+    parts = [prose(rng, 6, 60).split() for _ in range(12)]
+    rows = []
+    for _ in range(220):
+        words = sum(rng.sample(parts, rng.randrange(1, 4)), [])[: rng.randrange(5, 18)]
+        for _ in range(rng.randrange(3)):
+            words.insert(rng.choice((0, len(words))), f"n{rng.randrange(400)}")
+        rows.append(" ".join(words))
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("parameters", [{"common": 1}, {"common": 4, "block_bytes": 1000, "small": 4}, {}])
+def test_jaccard_around_the_common_limit(frame, parameters):
+    rows = short_rows(5)
+    assert joined(frame(rows), **parameters) == order(brute.jaccard_components(rows))
