@@ -5,8 +5,9 @@ within ``share`` of the item's token number in edit distance. Candidates come fr
 window reads one token per step and moves on by a random bit of (step, token), which turns edit distance into
 Hamming distance of the tokens read. Bit-sampling LSH keeps a few steps of the walk as a key. A repetition has its own walk and
 steps; it starts at every token of the texts and at every token of an item, so every part of an item-sized
-window is sampled. Repetitions are added until edited copies of the items themselves, at the largest allowed
-distance, are met with at least ``recall`` (at most ``MOST_REPETITIONS``). Candidates are confirmed by exact edit distance.
+window is sampled. Repetitions are added until edited copies of the items of every length, at the largest allowed
+distance, are met with at least ``recall``. Lengths that ``MOST_REPETITIONS`` leave below it are also found by pieces,
+which miss nothing: of one piece more than the allowed edits, one is unedited. Candidates are confirmed by exact edit distance.
 
 Items under ``SHORTEST`` tokens allow no edit and are looked up whole. The items are the stated query set; they
 are taken ``ITEMS_AT_ONCE`` at a time against all texts. Defined results: null and empty texts hold nothing, null and empty
@@ -33,6 +34,9 @@ FEW_STEPS, FEW_SAMPLED = 6, 3  # for shorter ones
 LONG = 12
 SHORTEST = 5
 MOST_REPETITIONS = 6
+MEASURED = 200  # edited copies of the items of a length
+LONGEST_ALONE = 64  # tokens from which lengths are measured together, up to the double
+PIECE = 8  # tokens of a piece that are looked up at most
 ITEMS_AT_ONCE = 20_000
 TABLE = 1 << 20
 
@@ -76,6 +80,14 @@ def distances(items: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return best.min(axis=1)
 
 
+def _table(keys: np.ndarray, items: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted by key, and a bit table of the keys."""
+    order = np.argsort(keys, kind="stable")
+    known = np.zeros(TABLE, dtype=bool)
+    known[(keys % np.uint64(TABLE)).astype(np.int64)] = True
+    return keys[order], items[order], starts[order], known
+
+
 @dataclass
 class Index:
     """Keys of the items for each repetition."""
@@ -85,6 +97,7 @@ class Index:
     walks: list[Walk] = field(default_factory=list)
     tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
     exact: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     def allowed(self, n: int) -> int:
         return int(self.share * n + 1e-9) if n >= SHORTEST else 0
@@ -105,32 +118,57 @@ class Index:
         few = [k for k, t in enumerate(items) if SHORTEST <= len(t) < LONG]
         many = [k for k, t in enumerate(items) if len(t) >= LONG]
         for group, steps, sampled, base in ((many, STEPS, SAMPLED, 1), (few, FEW_STEPS, FEW_SAMPLED, 101)):
-            edited = index._edited(group[:1000])
-            met = np.zeros(len(edited), dtype=bool)
+            lengths = np.array([index._length(k) for k in group], dtype=np.int64)
+            edited = index._edited(group, lengths)
+            of, met, low = np.array([index._length(k) for k, _ in edited], dtype=np.int64), np.zeros(len(edited), dtype=bool), np.unique(lengths)
             for turn in range(MOST_REPETITIONS if group else 0):
                 index._add(Walk.drawn(base + turn, steps, sampled), group)
-                met |= [bool(len(index._met(len(index.walks) - 1, text, item))) for item, text in edited]
-                if not len(met) or met.mean() >= recall:
+                met |= [index._met(len(index.walks) - 1, text, item) for item, text in edited]
+                low = np.array([n for n in low if met[of == n].mean() < recall], dtype=np.int64)
+                if not len(low):
                     break
+            index._cut([k for k, n in zip(group, lengths) if n in low], hasher)
         return index
 
-    def _edited(self, which: list[int]) -> list[tuple[int, np.ndarray]]:
-        """Copies of items with as many random edits as are allowed."""
+    def _length(self, item: int) -> int:
+        """The length whose recall stands for the item's."""
+        n = len(self.items[item])
+        return n if n < LONGEST_ALONE else 1 << (n.bit_length() - 1)
+
+    def _cut(self, which: list[int], hasher: Hasher) -> None:
+        """Look the items up by one piece more than the edits they allow."""
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for k in which:
+            n, parts = len(self.items[k]), self.allowed(len(self.items[k])) + 1
+            for j in range(parts):
+                start, end = j * n // parts, (j + 1) * n // parts
+                size = min(end - start, PIECE)
+                found.setdefault(size, []).append((int(hasher.windows(self.items[k][start : start + size], size)[0]), k, start))
+        for size, rows in found.items():
+            old = self.pieces.get(size)
+            keys = np.array([r[0] for r in rows], dtype=np.uint64)
+            items, starts = (np.array([r[c] for r in rows], dtype=np.int64) for c in (1, 2))
+            self.pieces[size] = _table(*((keys, items, starts) if old is None else (np.concatenate(x) for x in zip(old[:3], (keys, items, starts)))))
+
+    def _edited(self, group: list[int], lengths: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """Copies of items of every length with as many random edits, at different places, as are allowed."""
         rng = np.random.default_rng(5)
+        which = [int(k) for n in np.unique(lengths) for k in np.resize(rng.permutation(np.array(group)[lengths == n]), MEASURED)]
         out = []
         for k in which:
             tokens = list(self.items[k])
-            for _ in range(self.allowed(len(tokens))):
-                at, kind = int(rng.integers(len(tokens))), int(rng.integers(3))
+            for at in sorted(rng.choice(len(tokens), self.allowed(len(tokens)), replace=False).tolist(), reverse=True):
+                kind = int(rng.integers(3))
                 fresh = [np.uint64(rng.integers(1 << 62))] if kind < 2 else []
                 tokens[at : at + (kind != 1)] = fresh
             out.append((k, np.array(tokens, dtype=np.uint64)))
         return out
 
-    def _met(self, walk: int, text: np.ndarray, item: int) -> np.ndarray:
+    def _met(self, walk: int, text: np.ndarray, item: int) -> bool:
         keys, items, _, _ = self.tables[walk]
-        own = keys[items == item]
-        return np.flatnonzero(np.isin(self.walks[walk].keys(text)[0], own))
+        found = self.walks[walk].keys(text)[0]
+        low, high = np.searchsorted(keys, found, "left"), np.searchsorted(keys, found, "right")
+        return any((items[a:b] == item).any() for a, b in zip(low, high) if b > a)
 
     def _add(self, walk: Walk, group: list[int]) -> None:
         keys, items, starts = [], [], []
@@ -140,18 +178,16 @@ class Index:
             keys.append(found[inside])
             items.append(np.full(len(inside), k))
             starts.append(inside)
-        keys, items, starts = (np.concatenate(x) for x in (keys, items, starts))
-        order = np.argsort(keys, kind="stable")
-        known = np.zeros(TABLE, dtype=bool)
-        known[(keys % np.uint64(TABLE)).astype(np.int64)] = True
         self.walks.append(walk)
-        self.tables.append((keys[order], items[order], starts[order], known))
+        self.tables.append(_table(*(np.concatenate(x) for x in (keys, items, starts))))
 
-    def candidates(self, tokens: np.ndarray) -> np.ndarray:
-        """Rows (item, place of the item's first token) that some repetition meets."""
+    def candidates(self, tokens: np.ndarray, hasher: Hasher) -> np.ndarray:
+        """Rows (item, place of the item's first token) that some repetition or piece meets."""
         met = [np.zeros((0, 2), dtype=np.int64)]
-        for walk, (keys, items, starts, known) in zip(self.walks, self.tables):
-            found, _ = walk.keys(tokens)
+        looked = [(lambda walk=walk: walk.keys(tokens)[0], table) for walk, table in zip(self.walks, self.tables)]
+        looked += [(lambda size=size: hasher.windows(tokens, size), table) for size, table in self.pieces.items()]
+        for read, (keys, items, starts, known) in looked:
+            found = read()
             at = np.flatnonzero(known[(found & np.uint64(TABLE - 1)).astype(np.int64)])
             low, high = np.searchsorted(keys, found[at], "left"), np.searchsorted(keys, found[at], "right")
             count = high - low
@@ -170,7 +206,7 @@ class Index:
                     row = int(np.searchsorted(first, at, side="right")) - 1
                     if at + n <= first[row + 1]:
                         best.update({(row, int(item)): 0 for item in items[low[at] : high[at]]})
-            self._confirm(first, tokens, self.candidates(tokens), best)
+            self._confirm(first, tokens, self.candidates(tokens, hasher), best)
             for (row, item), distance in sorted(best.items()):
                 yield int(rows[row]), item, distance
 

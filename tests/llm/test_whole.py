@@ -3,10 +3,12 @@
 import random
 
 import brute
+import pyarrow as pa
 import pytest
 from conftest import prose
 
-from heliogale.llm import jaccard
+from heliogale.llm import decontam, jaccard
+from heliogale.llm.wordhash import Hasher
 
 order = lambda rows: sorted(rows, key=str)
 
@@ -65,3 +67,23 @@ def short_rows(seed):
 def test_jaccard_around_the_common_limit(frame, parameters):
     rows = short_rows(5)
     assert joined(frame(rows), **parameters) == order(brute.jaccard_components(rows))
+
+
+def test_recall_at_every_length():
+    rng = random.Random(12)
+    # Many long items first: they must not stand for the short ones.
+    items = [prose(rng, 60, 10**6) for _ in range(60)] + [prose(rng, n, 10**6) for n in range(5, 61) for _ in range(4)]
+    index = decontam.Index.build(items, decontam.SHARE, decontam.RECALL)
+    texts, held = [], []
+    for k in range(60, len(items)):
+        for _ in range(25):
+            tokens = items[k].split()
+            for at in sorted(rng.sample(range(len(tokens)), len(tokens) // 5), reverse=True):
+                kind = rng.randrange(3)
+                tokens[at : at + (kind != 1)] = [f"n{rng.randrange(10**9)}"] if kind < 2 else []
+            texts.append(" ".join([prose(rng, 15), *tokens, prose(rng, 15)]))
+            held.append(k)
+    found = {(row, item) for row, item, _ in index.find(pa.array(texts), Hasher(tokens=True))}
+    for n in range(5, 61):
+        rows = [row for row, k in enumerate(held) if len(items[k].split()) == n]
+        assert sum((row, held[row]) in found for row in rows) >= 0.97 * len(rows), n
