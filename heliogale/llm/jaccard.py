@@ -235,12 +235,16 @@ def _verified(shingle: int, percent: int):
     return verify
 
 
+def _named(docs: DataFrame) -> Column:
+    """The id of a row; of a null id, one of its text."""
+    return F.coalesce(docs["doc_id"], F.lit(2 * NO_ID) + F.pmod(F.xxhash64(docs["text"]), F.lit(-NO_ID)))
+
+
 class Join:
     """One join; the steps share the shuffle of the texts and the parameters."""
 
     def __init__(self, docs: DataFrame, shingle: int, percent: int, small: int, common: int, pivots: int, block_bytes: int):
-        unnamed = F.lit(2 * NO_ID) + F.pmod(F.xxhash64("text"), F.lit(-NO_ID))
-        self.docs = docs.select(F.coalesce("doc_id", unnamed).alias("doc_id"), "text")
+        self.docs = docs.select(_named(docs).alias("doc_id"), "text")
         self.shingle, self.percent, self.small, self.common, self.pivots = shingle, percent, small, common, pivots
         self.blocks = block_count(self.docs, block_bytes)
         self.base = blocked(self.docs, self.blocks)
@@ -423,14 +427,19 @@ def components(links: DataFrame) -> DataFrame:
 def join(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, small: int = SMALL, common: int = COMMON,
          pivots: int = PIVOTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
+    real = lambda c: F.when(F.col(c) >= NO_ID, F.col(c))
+    return _joined(docs, shingle, percent, small, common, pivots, block_bytes).select(
+        real("doc").alias("doc_id"), F.col("size").alias("n_shingles"), real("lead").alias("component_id"))
+
+
+def _joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, small: int = SMALL, common: int = COMMON,
+            pivots: int = PIVOTS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc, size, lead (smallest id of the component), by ids that tell texts with a null id apart."""
     members, labels = Join(docs, shingle, percent, small, common, pivots, block_bytes).run()
-    joined = members.join(labels, F.col("rep") == F.col("id"), "left")
-    real = lambda c: F.when(c >= NO_ID, c)
-    return joined.select(real(F.col("doc")).alias("doc_id"), F.col("size").alias("n_shingles"),
-                         real(F.coalesce("component", "rep")).alias("component_id"))
+    return members.join(labels, F.col("rep") == F.col("id"), "left").select("doc", "size", F.coalesce("component", "rep").alias("lead"))
 
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` without all but the smallest id of each component; a repeated row stays once."""
-    leads = join(docs, **parameters).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_lead")).distinct()
-    return docs.join(leads, docs["doc_id"].eqNullSafe(leads["_lead"]), "left_semi").dropDuplicates(["doc_id", "text"])
+    leads = _joined(docs, **parameters).filter(F.col("doc") == F.col("lead")).select(F.col("doc").alias("_lead")).distinct()
+    return docs.join(leads, _named(docs) == leads["_lead"], "left_semi").dropDuplicates(["doc_id", "text"])

@@ -87,3 +87,10 @@ def test_recall_at_every_length():
     for n in range(5, 61):
         rows = [row for row, k in enumerate(held) if len(items[k].split()) == n]
         assert sum((row, held[row]) in found for row in rows) >= 0.97 * len(rows), n
+
+
+def test_keep_one_of_near_copies_with_null_ids(frame):
+    text = prose(random.Random(2), 80)
+    rows = [(None, text), (None, text + " more"), (None, "another text"), (5, text + " end")]
+    kept = {r["text"] for r in jaccard.keep_one(frame(rows, True)).collect()}
+    assert len(kept) == 2 and "another text" in kept
