@@ -2,12 +2,12 @@
 
 The kernel of two texts is the number of n-grams of 1 to 3 bytes that both hold (presence, not counts), over
 the geometric mean of their own numbers. ASCII letters are taken in lower case and all other ASCII bytes as
-one gap. ``LANDMARKS`` training texts span the Nystroem approximation; n-grams outside all landmarks are
+one gap. ``LANDMARKS`` training texts (one of each language at least) span the Nystroem approximation; n-grams outside all landmarks are
 left out of the kernel. Kernel ridge regression, one language against the rest, gives a weight per landmark
 and language. A task turns texts into presence rows and multiplies them, a batch at a time, with the
 landmarks' rows and those weights.
 
-Training takes at most ``TRAIN_ROWS`` texts, none over ``MAX_TRAIN_BYTES``; every whole text is scored.
+Training takes at most ``TRAIN_ROWS`` texts or one of each language, none over ``MAX_TRAIN_BYTES``; every whole text is scored.
 Defined results: null texts and texts without a letter are ``und`` with score 0; so is everything if there is
 nothing to learn from. Null langs are not used; extra columns are ignored; an empty table gives an empty
 result. Equal scores go to the language that comes first by code point.
@@ -145,9 +145,10 @@ def fit(texts: list[str], truth: list[str], landmarks: int = LANDMARKS) -> Langu
 
 def train(docs: DataFrame, usable: Column) -> LanguageModel:
     """Learn from text and lang of the rows whose id meets ``usable``; each language gets an equal part."""
-    known = docs.select("doc_id", "lang").filter(usable).filter(F.col("lang").isNotNull())
-    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANDMARKS).collect()]
-    fitting = docs.select("doc_id", "text").filter(F.octet_length("text").between(1, MAX_TRAIN_BYTES))
+    fits = F.octet_length("text").between(1, MAX_TRAIN_BYTES)
+    known = docs.select("doc_id", "lang", "text").filter(usable).filter(F.col("lang").isNotNull() & fits).select("doc_id", "lang")
+    langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
+    fitting = docs.select("doc_id", "text").filter(fits)
     each = max(1, TRAIN_ROWS // max(1, len(langs)))
     texts: list[str] = []
     truth: list[str] = []

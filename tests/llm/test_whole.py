@@ -7,7 +7,9 @@ import pyarrow as pa
 import pytest
 from conftest import prose
 
-from heliogale.llm import decontam, jaccard
+from pyspark.sql import functions as F
+
+from heliogale.llm import decontam, jaccard, langid
 from heliogale.llm.wordhash import Hasher
 
 order = lambda rows: sorted(rows, key=str)
@@ -94,3 +96,12 @@ def test_keep_one_of_near_copies_with_null_ids(frame):
     rows = [(None, text), (None, text + " more"), (None, "another text"), (5, text + " end")]
     kept = {r["text"] for r in jaccard.keep_one(frame(rows, True)).collect()}
     assert len(kept) == 2 and "another text" in kept
+
+
+def test_every_language_is_learned(frame, monkeypatch):
+    for name, value in (("LANDMARKS", 2), ("TRAIN_ROWS", 8), ("MAX_TRAIN_BYTES", 200)):
+        monkeypatch.setattr(langid, name, value)
+    # Language 0 has many texts that are too long to learn from, and one that is not.
+    rows = [(k, f"l{k % 4} " * (100 if k % 4 == 0 and k else 9)) for k in range(200)]
+    docs = frame(rows).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 4))
+    assert langid.train(docs, F.lit(True)).langs == ["l0", "l1", "l2", "l3"]
