@@ -60,9 +60,8 @@ def build_daily(spark: SparkSession, places: Places, hourly: str, area: Grid, va
 
     def make() -> DataFrame:
         rows = readers.read_reanalysis(spark, hourly, variables, box, years)
-        first = rows.agg(F.min("valid_time")).first()[0]
-        axes = rows.filter(F.col("valid_time") == F.lit(first).cast(dict(rows.dtypes)["valid_time"]))
-        return timeseries.daily_variables(grid.nearest_cells(rows, axes, area), CELL, variables)
+        # The lattice of all hours: the first one may lack rows or columns of it.
+        return timeseries.daily_variables(grid.nearest_cells(rows, rows, area), CELL, variables)
 
     made_with = {"hourly": hourly, "area": area, "variables": variables, "years": years, "bounds": box}
     return sinks.bucketed_once(spark, places.at("daily"), make, CELL, buckets, [*CELL, "date"], made_with)
