@@ -8,9 +8,9 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliogale.llm import decontam, jaccard, langid, linerules, lm, merkle, mixing, quality, sharding, substrings, toxicity
+from heliogale.llm import decontam, jaccard, langid, linerules, lm, merkle, mixing, quality, resample, sharding, substrings, toxicity
 from heliogale.llm.samples import fold
-from heliogale.llm.twins import MERKLE_SQL
+from heliogale.llm.twins import MERKLE_SQL, RESAMPLE_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,6 +136,11 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_check(table(spark, sf_dir, "documents"))
 
 
+@query("op12_importance_resampling", RESAMPLE_SQL)
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -53,3 +53,37 @@ proofs AS (SELECT id, string_agg(before || after, '' ORDER BY step) AS siblings
 SELECT l.doc_id, l.leaf, s.subroot, r.root, sha256(coalesce(p.siblings, '')) AS proof_sha256, e.folded_root, e.folded_root = r.root AS verified
 FROM leaves l JOIN subroots s USING (tree) CROSS JOIN roots r JOIN ends e USING (id) LEFT JOIN proofs p USING (id)
 """.replace("{crc}", CRC32.format("id_text"))
+
+RESAMPLE_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}') AS w
+  FROM documents),
+target_words AS (
+  SELECT regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{word}') AS w
+  FROM benchmark),
+numbered AS (SELECT row_number() OVER () AS id, doc_id, coalesce(w, []) AS w FROM words),
+places AS (SELECT id, w, unnest(range(len(w))) AS p FROM numbered),
+target_places AS (SELECT w, unnest(range(len(w))) AS p FROM target_words),
+features AS (
+  SELECT id, array_to_string(w[p + 1:p + k], ' ') AS feature, count(*) AS n
+  FROM places, (VALUES (1), (2), (3)) sizes(k) WHERE p + k <= len(w) GROUP BY ALL),
+target_features AS (
+  SELECT array_to_string(w[p + 1:p + k], ' ') AS feature, count(*) AS n
+  FROM target_places, (VALUES (1), (2), (3)) sizes(k) WHERE p + k <= len(w) GROUP BY ALL),
+distinct_features AS (SELECT feature FROM features UNION SELECT feature FROM target_features),
+hashed AS (SELECT feature, (4294967295 - {crc}) % 10000 AS bucket FROM distinct_features),
+counts AS (SELECT bucket, sum(n) AS s FROM features JOIN hashed USING (feature) GROUP BY bucket),
+target_counts AS (SELECT bucket, sum(n) AS t FROM target_features JOIN hashed USING (feature) GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(s), 0) FROM counts) + 10000)
+      / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM target_counts) + 10000)))) AS BIGINT) AS gain
+  FROM counts FULL JOIN target_counts USING (bucket)),
+weights AS (SELECT id, sum(n) AS n_features, sum(n * gain) AS weight FROM features JOIN hashed USING (feature) JOIN gains USING (bucket) GROUP BY id),
+scored AS (
+  SELECT doc_id, len(w) AS n_words, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+      / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM numbered LEFT JOIN weights USING (id)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= n * 5 // 100 THEN place END AS rank FROM ranked
+""".replace("{word}", r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").replace("{crc}", CRC32.format("feature"))
