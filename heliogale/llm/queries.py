@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliogale.llm import decontam, jaccard, langid, linerules, lm, merkle, mixing, quality, resample, sharding, substrings, toxicity
+from heliogale.llm import decontam, jaccard, langid, linerules, lm, merkle, mixing, quality, resample, sharding, substrings, tokens, toxicity
 from heliogale.llm.samples import fold
 from heliogale.llm.twins import MERKLE_SQL, RESAMPLE_SQL
 
@@ -141,6 +142,11 @@ def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op13_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
