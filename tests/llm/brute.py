@@ -109,3 +109,68 @@ def edit_distance_to_run(item, text):
             row.append(min(best[j - 1] + (token != other), best[j] + 1, row[j - 1] + 1))
         best = row
     return min(best)
+
+
+def merkle_tamper(rows):
+    """tamper_check over (doc_id, source, lang, n_chars, text) rows."""
+    import zlib
+
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    leaf = lambda r: digest("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in r))
+
+    def levels(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([digest("".join(out[-1][k : k + 3])) for k in range(0, len(out[-1]), 3)])
+        return out
+
+    def steps(tree, k):
+        for nodes in tree[:-1]:
+            first = k // 3 * 3
+            yield "".join(nodes[first:k]), "".join(nodes[k + 1 : first + 3])
+            k //= 3
+
+    by_source = collections.defaultdict(list)
+    for r in rows:
+        by_source[r[1]].append((r[0], leaf(r), r))
+    sources = sorted(by_source, key=lambda s: (s is not None, (s or "").encode()))
+    for s in sources:
+        by_source[s].sort(key=lambda e: (e[0] is not None, e[0] or 0, e[1]))
+    trees = {s: levels([e[1] for e in by_source[s]]) for s in sources}
+    top = levels([trees[s][-1][0] for s in sources])
+    out = []
+    for k, s in enumerate(sources):
+        for at, (i, own, r) in enumerate(by_source[s]):
+            path = [*steps(trees[s], at), *steps(top, k)]
+            h = own
+            if i is not None and r[4] is not None and zlib.crc32(str(i).encode()) % 2 == 0:
+                h = leaf((*r[:4], r[4].replace("\n", "")))
+            for left, right in path:
+                h = digest(left + h + right)
+            proof = digest("".join(a + b for a, b in path))
+            out.append((i, own, trees[s][-1][0], top[-1][0], proof, h, h == top[-1][0]))
+    return out
+
+
+def resample(rows, targets, percent=5, min_words=20, buckets=10_000):
+    import zlib
+
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+    def features(text):
+        w = word.findall((text or "").translate(LOWER))
+        return len(w), [zlib.crc32(" ".join(w[p : p + k]).encode()) % buckets for k in (1, 2, 3) for p in range(len(w) - k + 1)]
+
+    own = [(i, *features(t)) for i, t in rows]
+    raw = collections.Counter(b for _, _, f in own for b in f)
+    target = collections.Counter(b for t in targets for b in features(t)[1])
+    all_raw, all_target = raw.total(), target.total()
+    gain = lambda b: math.floor(1000 * math.log((target[b] + 1) * (all_raw + buckets) / ((raw[b] + 1) * (all_target + buckets))))
+    out = []
+    for i, n, f in own:
+        h = int(hashlib.sha256(f"42:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = sum(map(gain, f))
+        out.append([i, n, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 2**32)))])
+    able = sorted((r for r in out if r[1] >= min_words), key=lambda r: (-r[4], r[0] is None, r[0] or 0))
+    rank = {id(r): k + 1 for k, r in enumerate(able[: percent * len(able) // 100])}
+    return [(r[0], *r[2:], rank.get(id(r))) for r in out]
