@@ -41,9 +41,10 @@ from pyspark.sql import functions as F
 CHUNK = 16_384  # characters
 OVERLAP = 256
 LIMIT = 2048  # tokens
-BATCH = 1 << 18  # characters of short texts that are encoded in one call
+BATCH = 1 << 14  # characters of short texts that are encoded in one call; what they make should stay in the cache
 AHEAD = 3  # characters that a rule of the word pattern looks at before it knows what it matches
-# Fixed value: the word pattern whose words the proof above is about.
+# A normalizer's step that joins spaces, and the word pattern whose words the proof above is about.
+SPACES = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -100,13 +101,17 @@ class Encoder:
 
         with open(path, encoding="utf-8") as file:
             said = json.load(file)
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
         model, suffix = said["model"], said["model"].get("end_of_word_suffix")
         patterns = [p["pattern"].get("Regex") for p in (said.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"]
         proven = model["type"] == "BPE" and suffix and not model.get("dropout") and not model.get("continuing_subword_prefix")
         self.chunk = chunk if proven and patterns == [WORDS] else None
+        if self.chunk is not None and (said.get("normalizer") or {}).get("type") == "Sequence":
+            # Spaces belong to no word, so a step that only replaces them changes no token.
+            steps = said["normalizer"]["normalizers"]
+            said["normalizer"]["normalizers"] = [s for s in steps if s != SPACES]
+        self.tokenizer = Tokenizer.from_str(json.dumps(said))
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.overlap = overlap
         self.special = tuple(token["content"] for token in said.get("added_tokens", []))
         self.word_end = {i for token, i in model["vocab"].items() if token.endswith(suffix)} if proven else set()
