@@ -138,15 +138,24 @@ def nearest_axis(source: list[float], start: float, step: float, n: int) -> dict
     return out
 
 
+def axis_values(axes: DataFrame, lon: str = "longitude", lat: str = "latitude") -> dict[str, list[float]]:
+    """Distinct longitudes and latitudes of a lattice from one aggregate over its rows; both lists are as long as
+    the lattice's edges."""
+    row = axes.agg(F.collect_set(lon).alias("lon"), F.collect_set(lat).alias("lat")).first()
+    return {lon: sorted(row["lon"]), lat: sorted(row["lat"])}
+
+
 def nearest_cells(rows: DataFrame, axes: DataFrame, grid: Grid, lon: str = "longitude", lat: str = "latitude") -> DataFrame:
     """``rows`` on the cells of ``grid``: every cell takes the rows of its nearest source cell, no others.
 
     ``axes`` holds the coordinates of the regular source lattice, such as one time step. Its distinct
-    latitudes and longitudes are two short lists, bounded by the lattice's edges and not by its rows;
+    latitudes and longitudes, found by one aggregate, are bounded by the lattice's edges and not by its rows;
     they become literal maps in a projection, so the hours are neither joined nor shuffled.
     """
+    held = axis_values(axes, lon, lat)
+
     def keys(axis: str, start: float, step: float, n: int) -> Column:
-        found = nearest_axis([r[0] for r in axes.select(axis).filter(F.col(axis).isNotNull()).distinct().collect()], start, step, n)
+        found = nearest_axis(held[axis], start, step, n)
         pairs = [x for at, cells in found.items() for x in (fn.dbl(at), F.array(*[F.lit(c) for c in cells]))]
         return F.explode(F.try_element_at(F.create_map(*pairs), F.col(axis).cast("double")) if pairs else F.array().cast("array<int>"))
 

@@ -162,6 +162,44 @@ def climate_overlay(
     )
 
 
+def overlay(land: DataFrame, climate: DataFrame | None, grid: Grid) -> DataFrame:
+    """Land and climate of every covered cell from one rasterisation: ``(lat_i, lon_i, on_land, climate_code)``.
+
+    ``land`` is an edge table; ``climate`` one whose rows also have ``climate_code``, with whole numbers as region
+    ids, of which the highest wins. Both go through the rows of the grid together, and one group-by makes the cells.
+    """
+    tag = lambda layer, order, code: F.struct(
+        F.lit(layer).alias("layer"), order.cast("long").alias("order"), code.cast("int").alias("code"))
+    columns = ["part", "ring", "x1", "y1", "x2", "y2"]
+    edges_of = land.select(tag("land", F.xxhash64("region_id"), F.lit(None)).alias("region_id"), *columns)
+    if climate is not None:
+        known = climate.filter("climate_code is not null")
+        edges_of = edges_of.unionByName(known.select(tag("climate", F.col("region_id"), F.col("climate_code")).alias("region_id"), *columns))
+    layer = F.col("region_id.layer")
+    return rasterise(edges_of, grid).groupBy(*CELL).agg(
+        F.coalesce(F.max(layer == "land"), F.lit(False)).alias("on_land"),
+        F.coalesce(F.max(F.when(layer == "climate", F.struct("region_id.order", "region_id.code")))["code"], F.lit(0)).alias("climate_code"),
+    )
+
+
+def masked_by(cells: DataFrame, covered: DataFrame, value: str) -> DataFrame:
+    """:func:`with_masks` and the climate code (0 = none) from a table of :func:`overlay`."""
+    data, inside = fn.has_data(value), F.coalesce("on_land", F.lit(False))
+    return cells.join(covered.select(*CELL, "on_land", "climate_code"), CELL, "left").withColumns({
+        "land": data & inside, "offshore": data & ~inside, "climate_code": F.coalesce("climate_code", F.lit(0)),
+    }).drop("on_land")
+
+
+def climate_edges(polygons: DataFrame, gridcodes: DataFrame) -> DataFrame:
+    """Edge table with ``climate_code`` of polygons ``(region_id, gridcode, rings)`` and a lookup of grid codes."""
+    letter = F.substring("climate", 1, 1)
+    code = F.lit(None).cast("int")
+    for k, v in CLIMATE_CODE.items():
+        code = F.when(letter == k, v).otherwise(code)
+    coded = polygons.join(gridcodes, "gridcode").select("region_id", code.alias("climate_code"))
+    return edges(polygons).join(coded, "region_id")
+
+
 # ---- kernel -----------------------------------------------------------------
 def kernel_weights(radius: int) -> np.ndarray:
     """Inverse-distance weights in a circle of ``radius`` cells, centre distance 1, sum 1."""

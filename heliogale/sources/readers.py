@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from heliogale.functions import columns as fn
 from heliogale.operators import grid, timeseries
+from heliogale.sources.notes import finished, path_exists  # noqa: F401 - part of this module's interface
 
 COMPONENTS = {"ws100": ["u100", "v100"]}
 
@@ -86,19 +87,6 @@ def read_surface(spark: SparkSession, path: str, value: str, ts: str = "valid_ti
     )
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists in whatever file system it names."""
-    jvm = spark.sparkContext._jvm
-    location = jvm.org.apache.hadoop.fs.Path(path)
-    files = location.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(files.exists(location))
-
-
-def finished(spark: SparkSession, path: str) -> bool:
-    """Whether a table has been written and committed."""
-    return path_exists(spark, f"{path.rstrip('/')}/_SUCCESS")
-
-
 def read_preferred(spark: SparkSession, preferred: str, fallback: str) -> DataFrame:
     """The gap-filled table when it has been written to the end, else the raw one."""
     return spark.read.parquet(preferred if finished(spark, preferred) else fallback)

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliogale.functions import columns as fn
-from heliogale.sources.readers import finished, path_exists
+from heliogale.sources import notes
+from heliogale.sources.notes import path_exists
 
 log = logging.getLogger(__name__)
 TILE = ["tile_lon", "tile_lat"]
@@ -31,77 +31,92 @@ def write_tiles(df: DataFrame, path: str, tile: list[str] | None = None) -> None
 
 
 def write_report(df: DataFrame, path: str, order: list, n: int | None = None, digits: int = 2) -> None:
-    """Small sorted CSV with rounded numbers, at most ``n`` rows."""
+    """Sorted CSV with rounded numbers: one file of the first ``n`` rows, or without ``n`` all rows, in files
+    that follow each other in order."""
     doubles = [c for c, t in df.dtypes if t == "double"]
-    ordered = df.orderBy(*order) if n is None else df.orderBy(*order).limit(n)
-    fn.round_cols(ordered, digits, *doubles).coalesce(1).write.mode("overwrite").csv(path, header=True)
+    ordered = df.orderBy(*order)
+    ordered = ordered if n is None else ordered.limit(n).coalesce(1)
+    fn.round_cols(ordered, digits, *doubles).write.mode("overwrite").csv(path, header=True)
 
 
 class OtherParameters(ValueError):
     """A stored table was made with other parameters than are asked for now."""
 
 
-def _note(spark: SparkSession, path: str) -> dict | None:
-    """What was noted beside a table before it was written."""
-    place = f"{path.rstrip('/')}_made_with"
-    if not finished(spark, place):
-        return None
-    return json.loads(spark.read.text(place).first()[0])
+class OutdatedInput(RuntimeError):
+    """A table that is to be read no longer follows from what it was made from."""
 
 
-def _put_note(spark: SparkSession, path: str, note: dict) -> None:
-    line = spark.createDataFrame([(json.dumps(note, sort_keys=True),)], "value string")
-    line.coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}_made_with")
+def _answer(spark: SparkSession, path: str, parameters: dict | None, inputs: Iterable[str]) -> tuple[dict | None, dict[str, str]]:
+    """The note of a table that answers this request, or None if it must be built; and the marks of its inputs.
 
-
-def _stored_note(spark: SparkSession, path: str, parameters: dict | None) -> dict | None:
-    """The note of a finished table made with ``parameters``; None if it must be built.
-
-    ``parameters=None`` takes the table as it is. The note is written first, so a table without one
-    was stopped or is foreign, and is built again.
+    ``parameters=None`` takes the table as it is, if it still follows from its inputs.
     """
-    note = _note(spark, path) if finished(spark, path) else None
+    marks = notes.Marks(spark)
+    inputs = list(inputs)
+    for source in inputs:
+        why = marks.outdated(source)
+        if why:
+            raise OutdatedInput(f"{path} reads {source}, which is to be made again: {why}")
+    note = marks.note(path)
+    now = marks.of_all(inputs)
     if note is None:
-        return None
-    wanted = None if parameters is None else json.loads(json.dumps(parameters, default=str))
-    if wanted is not None and note["parameters"] != wanted:
+        return None, now
+    if parameters is None:
+        why = marks.outdated(path)
+        if why:
+            raise OutdatedInput(f"{path} is to be made again: {why}")
+        return note, now
+    wanted = notes.plain(parameters)
+    if note["parameters"] != wanted:
         raise OtherParameters(f"{path} was made with {note['parameters']}, not with {wanted}; use another place")
-    return note
+    if note["inputs"] != now:
+        log.info("%s is made again: its inputs have changed", path)
+        return None, now
+    return note, now
 
 
 def computed_once(
     spark: SparkSession, path: str, build: Callable[[], DataFrame], parameters: dict | None = None,
+    inputs: Iterable[str] = (),
 ) -> DataFrame:
-    """Read the table when it exists, else build and write it first. A table that was made with other
-    ``parameters`` is an error, never an answer."""
-    if _stored_note(spark, path, parameters) is None:
+    """Read the table when it answers the request, else build and write it first.
+
+    A table made with other ``parameters`` is an error, never an answer. One made from ``inputs`` (paths of
+    sources or stored tables) that have changed since is built again; an input that itself should be is an error.
+    """
+    note, marks = _answer(spark, path, parameters, inputs)
+    if note is None:
         made = build()
-        _put_note(spark, path, {"parameters": json.loads(json.dumps(parameters or {}, default=str))})
+        notes.begin(spark, path)
         made.write.mode("overwrite").parquet(path)
+        notes.write(spark, path, {"parameters": notes.plain(parameters or {}), "inputs": marks})
     return spark.read.parquet(path)
 
 
 def bucketed_once(
     spark: SparkSession, path: str, build: Callable[[], DataFrame], keys: list[str],
     buckets: int | None = None, sort: list[str] | None = None, parameters: dict | None = None,
+    inputs: Iterable[str] = (),
 ) -> DataFrame:
     """Like :func:`computed_once`, stored in ``buckets`` buckets of ``keys``, sorted by ``sort``.
 
     Later group-bys, windows and joins on these keys (or on more columns) read the buckets
     in place and shuffle nothing. One task writes one bucket, so there are ``buckets``
     files. The catalog entry is made anew in a session that has none; the bucket count is
-    noted beside the table for that, before the table is written.
+    noted beside the table for that.
     """
     name = "bucketed_" + hashlib.sha256(path.encode()).hexdigest()[:24]
     sort = sort or keys
-    note = _stored_note(spark, path, parameters)
+    note, marks = _answer(spark, path, parameters, inputs)
     if note is None:
         made = build()
         n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        notes.begin(spark, path)
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-        _put_note(spark, path, {"parameters": json.loads(json.dumps(parameters or {}, default=str)), "buckets": n, "sort": sort})
         made.repartition(n, *[F.col(k) for k in keys]).write.mode("overwrite").option("path", path).option(
             "compression", "zstd").bucketBy(n, *keys).sortBy(*sort).saveAsTable(name)
+        notes.write(spark, path, {"parameters": notes.plain(parameters or {}), "inputs": marks, "buckets": n, "sort": sort})
     elif not spark.catalog.tableExists(name):
         columns = spark.read.parquet(path).schema.toDDL()
         quoted = lambda names: ", ".join(f"`{k}`" for k in names)
