@@ -11,7 +11,7 @@ from checks.views import (
 )
 from heliogale.config import Grid
 from heliogale.functions import columns as fn
-from heliogale.operators import grid, ml, spatial, stats
+from heliogale.operators import grid, ml, nearest, spatial, stats
 
 # ---- generation -------------------------------------------------------------
 _TILES_SQL = f"""
@@ -206,6 +206,33 @@ def nearest_align(spark, sf):
     return fn.round_cols(out.select("cell", "coarse"), 6, "coarse")
 
 
+# Scattered places: customers and suppliers over the globe, with a crowd at one place and exact ties.
+def _scattered(df, key):
+    crowd = F.col(key) % 10 == 3
+    return df.withColumns({
+        "longitude": F.when(crowd, fn.dbl(20)).otherwise((F.col(key) * 7919 % 3600).cast("double") / 10 - 180),
+        "latitude": F.when(crowd, fn.dbl(10)).otherwise((F.col(key) * 104729 % 280).cast("double") / 2 - 60),
+    })
+
+
+_SCATTERED = """CASE WHEN {k} % 10 = 3 THEN 20.0::DOUBLE ELSE (({k}::BIGINT * 7919) % 3600)::DOUBLE / 10 - 180 END AS {a}lon,
+  CASE WHEN {k} % 10 = 3 THEN 10.0::DOUBLE ELSE (({k}::BIGINT * 104729) % 280)::DOUBLE / 2 - 60 END AS {a}lat"""
+
+
+@query("nearest_scattered", f"""
+WITH t AS (SELECT c_custkey, {_SCATTERED.format(k="c_custkey", a="t")} FROM customer),
+s AS (SELECT s_suppkey, s_acctbal, {_SCATTERED.format(k="s_suppkey", a="s")} FROM supplier),
+d AS (SELECT *, least(abs(slon - tlon), 360 - abs(slon - tlon)) AS dx, slat - tlat AS dy FROM t, s),
+r AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY dx * dx + dy * dy, slat, slon, s_suppkey, s_acctbal) AS k FROM d)
+SELECT c_custkey AS cell, s_suppkey AS site, s_acctbal AS balance, round(dx * dx + dy * dy, 9) AS distance2 FROM r WHERE k = 1""")
+def nearest_scattered(spark, sf):
+    """Every customer's nearest supplier, around the seam as well."""
+    target = _scattered(table(spark, sf, "customer").select(F.col("c_custkey").alias("cell")), "cell")
+    source = _scattered(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("site"), F.col("s_acctbal").alias("balance")), "site")
+    out = nearest.nearest_scattered(target, source, ["site", "balance"])
+    return fn.round_cols(out.select("cell", "site", "balance", "distance2"), 9, "distance2")
+
+
 @query("bilinear", _COARSE_SQL + """,
 v_pos AS (SELECT cell, (79.9::DOUBLE - latitude) / 0.5 AS y, (longitude + 179.9::DOUBLE) / 0.5 AS x, n FROM v_grid, v_n),
 v_sq AS (SELECT *, least(floor(y), n - 2) AS i, least(floor(x), 18) AS j FROM v_pos

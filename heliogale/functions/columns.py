@@ -83,6 +83,21 @@ def in_box(lon, lat, bounds) -> Column:
     return keep & reduce(or_, images, F.lit(False))
 
 
+def morton(x, y, low: tuple[float, float], span: float, bits: int = 20) -> Column:
+    """Z-order key of a point in the square of side ``span`` at ``low``: the bits of both axes in turn."""
+    # Shifts and masks that put one empty bit before each bit of a 32-bit number.
+    steps = ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555))
+
+    def spread(c: Column, start: float) -> Column:
+        cell = F.floor((c - dbl(start)) / dbl(span) * dbl(1 << bits))
+        v = F.least(F.greatest(cell, F.lit(0)), F.lit((1 << bits) - 1)).cast("long")
+        for shift, mask in steps:
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("long"))
+        return v
+
+    return spread(as_col(x), low[0]).bitwiseOR(F.shiftleft(spread(as_col(y), low[1]), 1))
+
+
 # ---- physics / units --------------------------------------------------------
 def wind_speed(u, v) -> Column:
     return F.hypot(as_col(u), as_col(v))
