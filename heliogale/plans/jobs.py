@@ -66,7 +66,12 @@ def build_daily(spark: SparkSession, places: Places, hourly: str, area: Grid, va
     """Hourly reanalysis to daily values per cell: the one pass over the largest input,
     with all variables reduced together. Every cell of ``area`` takes its nearest source cell; ``bounds``
     (default: the area and one source step around it) limits what is read. Stored bucketed by cell and
-    sorted by day, so that the climatology, the correlation and the storage sweep need no shuffle of it."""
+    sorted by day, so that the climatology, the correlation and the storage sweep need no shuffle of it.
+
+    The lattice's axes come from one aggregate over the hours' coordinates; then the hours are read once and dealt
+    out once, as daily sums by cell. ``buckets`` follows from the bytes of the result if it is not given."""
+    days = 366 * (years[1] - years[0] + 1)
+    n = buckets or sinks.pieces(area.n_lat * area.n_lon * days, 8 * len(variables) + 12)
     edge = max(area.res, 1.0)
     box = bounds or (area.lon0 - edge, area.lat0 - area.res * area.n_lat - edge,
                      area.lon0 + area.res * area.n_lon + edge, area.lat0 + edge)
@@ -74,10 +79,10 @@ def build_daily(spark: SparkSession, places: Places, hourly: str, area: Grid, va
     def make() -> DataFrame:
         rows = readers.read_reanalysis(spark, hourly, variables, box, years)
         # The lattice of all hours: the first one may lack rows or columns of it.
-        return timeseries.daily_variables(grid.nearest_cells(rows, rows, area), CELL, variables)
+        return timeseries.daily_in_place(grid.nearest_cells(rows, rows, area), CELL, variables, n)
 
     made_with = {"hourly": hourly, "area": area, "variables": variables, "years": years, "bounds": box}
-    return sinks.bucketed_once(spark, places.at("daily"), make, CELL, buckets, [*CELL, "date"], made_with, [hourly])
+    return sinks.bucketed_once(spark, places.at("daily"), make, CELL, n, [*CELL, "date"], made_with, [hourly], True)
 
 
 def _daily(spark: SparkSession, places: Places) -> DataFrame:

@@ -16,6 +16,12 @@ from heliogale.sources.notes import path_exists
 
 log = logging.getLogger(__name__)
 TILE = ["tile_lon", "tile_lat"]
+FILE_BYTES = 128 << 20  # a file of stored tables is about this large
+
+
+def pieces(rows: int, row_bytes: int, file_bytes: int = FILE_BYTES) -> int:
+    """How many files of ``file_bytes`` a table of ``rows`` makes."""
+    return max(1, -(-rows * row_bytes // file_bytes))
 
 
 def write_tiles(df: DataFrame, path: str, tile: list[str] | None = None) -> None:
@@ -97,14 +103,15 @@ def computed_once(
 def bucketed_once(
     spark: SparkSession, path: str, build: Callable[[], DataFrame], keys: list[str],
     buckets: int | None = None, sort: list[str] | None = None, parameters: dict | None = None,
-    inputs: Iterable[str] = (),
+    inputs: Iterable[str] = (), placed: bool = False,
 ) -> DataFrame:
     """Like :func:`computed_once`, stored in ``buckets`` buckets of ``keys``, sorted by ``sort``.
 
     Later group-bys, windows and joins on these keys (or on more columns) read the buckets
     in place and shuffle nothing. One task writes one bucket, so there are ``buckets``
     files. The catalog entry is made anew in a session that has none; the bucket count is
-    noted beside the table for that.
+    noted beside the table for that. ``placed`` says that ``build`` already deals its rows out by ``keys`` to
+    that many partitions, so that they are not dealt out again.
     """
     name = "bucketed_" + hashlib.sha256(path.encode()).hexdigest()[:24]
     sort = sort or keys
@@ -114,7 +121,8 @@ def bucketed_once(
         n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         notes.begin(spark, path)
         spark.sql(f"DROP TABLE IF EXISTS {name}")
-        made.repartition(n, *[F.col(k) for k in keys]).write.mode("overwrite").option("path", path).option(
+        dealt = made if placed else made.repartition(n, *[F.col(k) for k in keys])
+        dealt.write.mode("overwrite").option("path", path).option(
             "compression", "zstd").bucketBy(n, *keys).sortBy(*sort).saveAsTable(name)
         notes.write(spark, path, {"parameters": notes.plain(parameters or {}), "inputs": marks, "buckets": n, "sort": sort})
     elif not spark.catalog.tableExists(name):

@@ -73,7 +73,12 @@ def test_chain(spark, world, rows):
     demand = jobs.build_demand(spark, places, p["built"], AREA)
     assert demand.filter("demand is null").count() == 0
 
-    daily = jobs.build_daily(spark, places, p["hourly"], AREA, ["ws100", "ssrd", "t2m"])
+    aggregates = []
+    keep = grid.axis_values
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(grid, "axis_values", lambda *a: aggregates.append(a) or keep(*a))
+        daily = jobs.build_daily(spark, places, p["hourly"], AREA, ["ws100", "ssrd", "t2m"], buckets=4)
+    assert len(aggregates) == 1
     assert daily.count() == 120 * 731
     clim = timeseries.doy_climatology(daily, grid.CELL, ["ws100"])
     sweep = storage.deficit(

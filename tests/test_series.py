@@ -176,3 +176,20 @@ def test_share_sweep_adds_no_shuffle(spark):
 
     assert shuffles((0.5,)) == shuffles(tuple(i / 10 for i in range(11))) == 1
     assert fn.season_year("date") is not None
+
+
+def test_daily_in_place_is_the_same_from_one_exchange(spark, rows):
+    import datetime
+
+    hours = [(datetime.datetime(2023, 1, 1 + h // 24, h % 24), c, float(h % 5), 1.0, None if h % 3 else float(h), None if c == 2 else h * 1.5)
+             for h in range(72) for c in range(4)]
+    df = spark.createDataFrame(hours, "valid_time timestamp_ntz, cell int, u100 float, v100 float, ssrd float, t2m double").repartition(5)
+    names = ["ws100", "ssrd", "t2m"]
+    want = rows(timeseries.daily_variables(df, ["cell"], names), "cell", "date", *names)
+    for gather in (1, 7, 1 << 20):
+        out = timeseries.daily_in_place(df, ["cell"], names, 3, gather=gather)
+        assert rows(out, "cell", "date", *names) == want
+    plan = timeseries.daily_in_place(df, ["cell"], names, 3)._jdf.queryExecution().executedPlan().toString()
+    by_cell = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(by_cell) == 1 and "date" not in by_cell[0]
+    assert timeseries.daily_in_place(df.limit(0), ["cell"], names, 3).count() == 0
