@@ -3,6 +3,8 @@ that they reach the parquet scan."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,24 @@ def read_reanalysis(
     )
 
 
+def read_tiles(spark: SparkSession, path: str, bounds, low: tuple[float, float], tile_deg: float,
+               lon: str = "longitude", lat: str = "latitude") -> DataFrame:
+    """Rows of a table partitioned by ``tile_lon`` and ``tile_lat`` inside a half-open box.
+
+    ``low`` is the corner the tiles are counted from: longitudes in [low, low + size), latitudes in
+    (low, low + size] make tile 0. The box becomes ranges of tile numbers, so only the folders it meets are
+    listed, and ranges of the stored places, which skip files and row groups. Boxes across the seam are not cut.
+    """
+    west, south, east, north = bounds
+    first = lambda at, start: math.floor((at - start) / tile_deg)
+    last = lambda at, start: math.ceil((at - start) / tile_deg) - 1
+    return grid.bbox(
+        spark.read.parquet(path).filter(
+            F.col("tile_lon").between(first(west, low[0]), last(east, low[0]))
+            & F.col("tile_lat").between(first(south, low[1]), last(north, low[1]))),
+        bounds, lon, lat)
+
+
 def read_raster(spark: SparkSession, path: str, nodata: float | None = None, value: str = "value") -> DataFrame:
     """Pixels ``(x, y, value)``; the nodata marker and NaN become null."""
     v = fn.finite(value)

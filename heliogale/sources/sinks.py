@@ -7,10 +7,11 @@ import logging
 from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliogale.functions import columns as fn
+from heliogale.plans.session import pinned
 from heliogale.sources import notes
 from heliogale.sources.notes import path_exists
 
@@ -24,16 +25,42 @@ def pieces(rows: int, row_bytes: int, file_bytes: int = FILE_BYTES) -> int:
     return max(1, -(-rows * row_bytes // file_bytes))
 
 
-def write_tiles(df: DataFrame, path: str, tile: list[str] | None = None) -> None:
-    """Partitioned by tile; a rerun replaces only the tiles it holds.
+# Bytes of a value as stored, before compression; other types count as 16.
+_BYTES = {"double": 8, "bigint": 8, "timestamp": 8, "timestamp_ntz": 8, "float": 4, "int": 4, "date": 4, "smallint": 2, "tinyint": 1, "boolean": 1}
+#: Columns that say where a row lies, the square they lie in, and its side.
+_PLACES = {("lon_i", "lat_i"): ((0.0, 0.0), float(1 << 20)), ("longitude", "latitude"): ((-180.0, -180.0), 540.0)}
 
-    Rows are placed by tile and a hash of their own content, so a tile makes a few even
-    files rather than one per task, and a crowded tile is not written by one task.
+
+def _z_order(df: DataFrame) -> Column:
+    """Where a row lies along the Z-order curve, or 0 if it has no place."""
+    for (x, y), (low, span) in _PLACES.items():
+        if x in df.columns and y in df.columns:
+            return F.coalesce(fn.morton(F.col(x).cast("double"), F.col(y).cast("double"), low, span), F.lit(-1))
+    return F.lit(0)
+
+
+def write_tiles(df: DataFrame, path: str, tile: list[str] | None = None, file_bytes: int = FILE_BYTES) -> None:
+    """Partitioned by tile, in files of about ``file_bytes``; a rerun replaces only the tiles it holds.
+
+    The rows of every tile are counted. A tile that fits one file is one file; a larger one is cut along the
+    Z-order of its places (rows at one place by their content), so each of its files covers a compact part of
+    it. Files are sorted by place, so a box filter skips tiles by their names, and files and row groups by
+    their ranges. Tiles are packed into tasks by value ranges: neither a crowded tile nor many empty ones
+    make an uneven task.
     """
     tile = tile or TILE
+    rows = pinned(df)
     rest = [c for c in df.columns if c not in tile]
-    spread = df.repartition(*[F.col(t) for t in tile], F.pmod(F.xxhash64(*rest), F.lit(8)))
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*tile).parquet(path)
+    per_file = max(1, file_bytes // max(1, sum(_BYTES.get(t, 16) for c, t in df.dtypes if c in rest)))
+    counts = rows.groupBy(*[F.col(t).alias(f"_{t}") for t in tile]).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    same = [F.col(t).eqNullSafe(F.col(f"_{t}")) for t in tile]
+    cut = F.col("_n") > per_file
+    placed = rows.join(counts, same).withColumn("_z", _z_order(df)).withColumns(
+        {"_part": F.when(cut, F.col("_z")), "_row": F.when(cut, F.xxhash64(*rest)) if rest else F.lit(0)})
+    ranges = placed.repartitionByRange(-(-total // per_file) or 1, *tile, "_part", "_row")
+    ordered = ranges.sortWithinPartitions(*tile, "_z").select(*df.columns)
+    ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*tile).parquet(path)
 
 
 def write_report(df: DataFrame, path: str, order: list, n: int | None = None, digits: int = 2) -> None:
@@ -149,38 +176,34 @@ def run_tiles(
 ) -> list[tuple]:
     """Build and write every tile not yet done; return the tiles that failed.
 
-    All open tiles run as one job. Only if that job fails are they tried one by one, so
-    that a bad tile does not hold back the others. The write is committed by Spark's
-    committer before the tile enters the manifest; a stopped run resumes from there.
+    All open tiles run as one job. If it fails, its tiles are halved and each half runs again, so ``k`` bad ones
+    of ``n`` are told apart in about ``k * log2(n)`` jobs. What succeeds enters the manifest after Spark's
+    committer has written it; a stopped run resumes from there. A plan that is wrong for every tile and a
+    session that is lost are errors, not failed tiles.
     """
     tile = tile or TILE
-    todo = pending(spark, tiles, manifest, tile)
-    if todo.isEmpty():
-        return []
-
-    def attempt(some: DataFrame) -> None:
-        write_tiles(build(some), path, tile)
-        some.select(*tile).write.mode("append").parquet(manifest)
-
-    # The tile list is small, and must not change while the manifest grows below.
-    rows = todo.select(*tile).distinct().toLocalIterator()
-    names = [tuple(r) for r in rows]
-    fixed = tiles.join(F.broadcast(spark.createDataFrame(names, todo.select(*tile).schema)), tile)
-    try:
-        attempt(fixed)
-        return []
-    except AnalysisException:  # a wrong plan fails for every tile
-        raise
-    except Exception:  # noqa: BLE001 - isolate the tile that fails
-        log.exception("joint tile job failed; trying %d tiles one by one", len(names))
-    failed = []
-    for name in names:
-        one = fixed
-        for column, value in zip(tile, name):
-            one = one.filter(F.col(column) == F.lit(value))
+    todo = pending(spark, tiles, manifest, tile).select(*tile).distinct()
+    schema = todo.schema
+    # The list of tiles is small, and must not change while the manifest grows below.
+    names = sorted((tuple(r) for r in todo.toLocalIterator()), key=str)
+    failed: list[tuple] = []
+    waiting = [names] if names else []
+    while waiting:
+        some = waiting.pop()
+        listed = spark.createDataFrame(some, schema)
         try:
-            attempt(one)
-        except Exception:  # noqa: BLE001
-            log.exception("tile %s failed", name)
-            failed.append(name)
+            write_tiles(build(tiles.join(listed, tile)), path, tile)
+            listed.write.mode("append").parquet(manifest)
+        except AnalysisException:
+            raise
+        except Exception:  # noqa: BLE001 - halve until the tiles that fail are alone
+            if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+                raise
+            if len(some) == 1:
+                log.exception("tile %s failed", some[0])
+                failed += some
+            else:
+                log.warning("a job of %d tiles failed; trying its halves", len(some))
+                half = len(some) // 2
+                waiting += [some[half:], some[:half]]
     return failed

@@ -62,6 +62,60 @@ def test_tile_sink_replaces_only_its_tiles(spark, tmp_path, rows):
     assert rows(spark.read.parquet(path), "tile_lon", "v") == [(0, 1.0), (1, 9.0)]
 
 
+def test_tile_files_follow_their_rows(spark, tmp_path, rows):
+    path = str(tmp_path / "sized")
+    hot = spark.range(4000).select(F.lit(0).alias("tile_lon"), F.lit(0).alias("tile_lat"), (F.col("id") % 64).cast("int").alias("lon_i"),
+                                   (F.col("id") / 64).cast("int").alias("lat_i"), F.col("id").cast("double").alias("v"))
+    cold = spark.range(60).select((F.col("id") % 6 + 1).cast("int").alias("tile_lon"), F.lit(0).alias("tile_lat"),
+                                  F.lit(0).alias("lon_i"), F.col("id").cast("int").alias("lat_i"), F.lit(1.0).alias("v"))
+    piled = spark.range(2000).select(F.lit(9).alias("tile_lon"), F.lit(0).alias("tile_lat"), F.lit(5).alias("lon_i"), F.lit(5).alias("lat_i"), F.col("id").cast("double").alias("v"))
+    every = hot.unionByName(cold).unionByName(piled)
+    sinks.write_tiles(every, path, file_bytes=16 * 250)
+    files = {int(d.name.split("=")[1]): len(list(d.rglob("*.parquet"))) for d in (tmp_path / "sized").glob("tile_lon=*")}
+    assert all(files[t] == 1 for t in range(1, 7)) and 10 <= files[0] <= 24 and files[9] >= 4
+    back = spark.read.parquet(path)
+    assert rows(back.groupBy("tile_lon").agg(F.count("*"), F.sum("v"))) == rows(every.groupBy("tile_lon").agg(F.count("*"), F.sum("v")))
+    # Each file of the crowded tile is a compact part of it.
+    spans = back.filter("tile_lon = 0").groupBy(F.input_file_name()).agg((F.max("lon_i") - F.min("lon_i")).alias("w"), (F.max("lat_i") - F.min("lat_i")).alias("h"))
+    assert spans.agg(F.avg(F.col("w") * F.col("h"))).first()[0] < 64 * 63 / 4
+
+
+def test_a_box_reads_only_its_tiles(spark, tmp_path):
+    path = str(tmp_path / "world")
+    df = spark.range(40 * 40).select((F.col("id") % 40 * 0.5).alias("longitude"), (F.floor(F.col("id") / 40) * 0.5 + 0.5).alias("latitude"))
+    df = df.withColumns({"tile_lon": F.floor(F.col("longitude") / 5).cast("int"), "tile_lat": (F.ceil(F.col("latitude") / 5) - 1).cast("int")})
+    sinks.write_tiles(df, path)
+    box = (5.0, 5.0, 10.0, 15.0)
+    out = readers.read_tiles(spark, path, box, (0.0, 0.0), 5.0)
+    assert out.count() == df.filter("longitude >= 5 and longitude < 10 and latitude > 5 and latitude <= 15").count() == 200
+    assert out.select(F.input_file_name()).distinct().count() == 2 and len(list((tmp_path / "world").rglob("*.parquet"))) == 16
+    assert "PartitionFilters: [isnotnull(tile_lon" in out._jdf.queryExecution().executedPlan().toString()
+    sinks.write_tiles(df.limit(0), str(tmp_path / "none"))
+
+
+def test_bad_tiles_are_found_by_halving(spark, tmp_path, monkeypatch):
+    tiles = spark.range(64).select(F.col("id").cast("int").alias("tile_lon"), F.lit(0).alias("tile_lat"))
+    jobs, keep = [], sinks.write_tiles
+    monkeypatch.setattr(sinks, "write_tiles", lambda *a, **k: jobs.append(1) or keep(*a, **k))
+
+    def build(some):
+        bad = F.col("tile_lon").isin(7, 40)
+        return some.withColumn("v", F.when(bad, F.raise_error(F.lit("bad")).cast("int")).otherwise(F.col("tile_lon")))
+
+    path, manifest = str(tmp_path / "out"), str(tmp_path / "done")
+    assert sorted(sinks.run_tiles(spark, tiles, build, path, manifest)) == [(7, 0), (40, 0)]
+    assert len(jobs) <= 4 * 6 + 3 and spark.read.parquet(path).count() == 62
+    assert sorted(r[0] for r in sinks.pending(spark, tiles, manifest).collect()) == [7, 40]
+
+    def wrong(some):
+        return some.select("no_such_column")
+
+    from pyspark.errors import AnalysisException
+
+    with pytest.raises(AnalysisException):
+        sinks.run_tiles(spark, tiles, wrong, path, manifest)
+
+
 def test_report_is_sorted_rounded_and_cut(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.234), ("b", 9.999), ("c", 5.0)], "k string, v double")
     sinks.write_report(df, str(tmp_path / "csv"), [F.desc("v")], n=2)
