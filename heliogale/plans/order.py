@@ -37,3 +37,28 @@ def numbered(rows: DataFrame, group: Sequence[str], order: Sequence[Column]) ->
         .withColumn("pos", F.col("_before") + F.col("_at") - F.col("_first"))
         .select(*rows.columns, "pos", "n")
     )
+
+
+def running(rows: DataFrame, group: Sequence[str], value: str, weight: str) -> DataFrame:
+    """``rows`` with ``before``, the weight of the smaller values of the group, and ``whole``, that of the group.
+
+    ``rows`` has one row per group and value. Like :func:`numbered`, it deals rows out by value ranges whose
+    bounds follow the rows, so a large group has many ranges and small groups share one; whole weights are
+    summed inside a range and per range. There is one path for groups of every size.
+    """
+    keys = [F.col(c) for c in group]
+    placed = pinned(rows.repartitionByRange(*keys, F.col(value)).withColumn("_range", F.spark_partition_id()))
+    sums = placed.groupBy(*group, "_range").agg(F.sum(weight).alias("_sum"))
+    all_ranges = Window.partitionBy(*group)
+    earlier = all_ranges.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
+        *[F.col(c).alias(f"_{c}") for c in group], F.col("_range").alias("_part"),
+        F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"), F.sum("_sum").over(all_ranges).alias("whole"))
+    inside = Window.partitionBy(*group, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in group]
+    return (
+        placed.withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+        .join(offsets, [*same, F.col("_range") == F.col("_part")])
+        .withColumn("before", F.col("_before") + F.col("_inside"))
+        .select(*rows.columns, "before", "whole")
+    )

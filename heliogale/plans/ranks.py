@@ -1,68 +1,21 @@
-"""Average ranks inside groups, without ever sorting a whole group in one task.
-
-Ties collapse first (one row per group and distinct value). Each large group is then cut into
-value ranges at sketched quantiles; a running count inside a range plus the size of the
-ranges below it is the exact rank, whatever the quality of the cuts.
-"""
+"""Average ranks inside groups, without ever sorting a whole group in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliogale.plans.joins import dim_join
-from heliogale.plans.session import pinned
-
-BLOCKS, STEPS = 8, 16  # a large group is cut into BLOCKS * STEPS value ranges
-WHOLE = 200_000  # a group of at most this many rows stays one range
+from heliogale.plans.order import running
 
 
-def rank_table(df: DataFrame, keys: list[str], value: str, weight: str, whole: int = WHOLE) -> DataFrame:
+def rank_table(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
     """Distinct ``(keys, value)`` with ``ties`` (rows sharing it), ``avg_rank`` (1-based)
     and ``group_n``. ``df`` has ``weight`` equal rows per row; ``value`` is a double.
 
-    The cut points are pinned so that both uses of them below see the same cuts.
+    Ties collapse first, so a value that a third of the rows share is one row; the rest is a running
+    count over value ranges (:func:`heliogale.plans.order.running`), whatever the size of a group.
     """
-    rows = df.filter(F.col(value).isNotNull())
-    ties = rows.groupBy(*keys, value).agg(F.sum(weight).alias("ties"))
-    n = BLOCKS * STEPS
-    probs = F.array(*[F.lit((i + 1) / n) for i in range(n - 1)])
-    cuts = pinned(
-        rows.groupBy(*keys).agg(
-            F.percentile_approx(value, probs, 2048).alias("_all"), F.sum(weight).alias("group_n")
-        )
-        .withColumn("_fine", F.when(F.col("group_n") > whole, F.col("_all")).otherwise(F.slice("_all", 1, 0)))
-        .withColumn("_coarse", F.filter("_fine", lambda _, i: (i + 1) % STEPS == 0))
-        .drop("_all")
-    )
-
-    def at_or_below(cut_points) -> Column:
-        return F.size(F.filter(cut_points, lambda cut: cut <= F.col(value)))
-
-    # A range is the number of cuts at or below the value: first the block, then the step.
-    placed = (
-        dim_join(ties, cuts, keys, "inner", spread=[value])
-        .withColumn("_block", at_or_below("_coarse"))
-        .withColumn("_step", at_or_below(F.slice("_fine", F.col("_block") * STEPS + 1, F.lit(STEPS - 1))))
-        .withColumn("_range", F.col("_block") * STEPS + F.col("_step"))
-        .drop("_coarse", "_fine", "_block", "_step")
-    )
-
-    below = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (  # at most BLOCKS * STEPS rows per large group, none for the others
-        placed.filter(F.col("group_n") > whole)
-        .groupBy(*keys, "_range")
-        .agg(F.sum("ties").alias("_n"))
-        .withColumn("_below", F.sum("_n").over(below))
-        .drop("_n")
-    )
-    upto = W.partitionBy(*keys, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    ranked = (
-        placed.withColumn("_upto", F.sum("ties").over(upto))
-        .join(offsets, [*keys, "_range"], "left")
-        .withColumn(
-            "avg_rank", F.coalesce("_below", F.lit(0)) + F.col("_upto") - (F.col("ties") - 1) / F.lit(2.0)
-        )
-    )
-    return ranked.select(*keys, value, "ties", "avg_rank", "group_n")
+    ties = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(weight).alias("ties"))
+    counted = running(ties, keys, value, "ties")
+    return counted.select(
+        *keys, value, "ties", (F.col("before") + (F.col("ties") + 1) / F.lit(2.0)).alias("avg_rank"), F.col("whole").alias("group_n"))
