@@ -12,6 +12,7 @@ from checks.views import (
 from heliogale.config import Grid
 from heliogale.functions import columns as fn
 from heliogale.operators import grid, ml, nearest, spatial, stats
+from heliogale.plans.quantiles import exact_quantiles, grouped_quantiles
 
 # ---- generation -------------------------------------------------------------
 _TILES_SQL = f"""
@@ -507,6 +508,29 @@ def distribution(spark, sf):
     return fn.round_cols(out, 4, "mean", "p33", "p67")
 
 
+@query("country_quantiles", """
+SELECT c_nationkey AS country, count(c_acctbal) AS n, round(quantile_cont(c_acctbal, 0.05), 6) AS p5,
+  round(quantile_cont(c_acctbal, 1.0::DOUBLE / 3), 6) AS p33, round(quantile_cont(c_acctbal, 0.5), 6) AS p50, round(quantile_cont(c_acctbal, 0.95), 6) AS p95
+FROM customer GROUP BY 1""")
+def country_quantiles(spark, sf):
+    """Exact quantiles of every country at once."""
+    out = grouped_quantiles(table(spark, sf, "customer"), ["c_nationkey"], "c_acctbal", [0.05, 1 / 3, 0.5, 0.95])
+    columns = [F.col("quantiles")[k].alias(n) for k, n in enumerate(("p5", "p33", "p50", "p95"))]
+    return fn.round_cols(out.select(F.col("c_nationkey").alias("country"), "n", *columns), 6, "p5", "p33", "p50", "p95")
+
+
+@query("mask_quantiles", """
+SELECT o_orderstatus AS status, CASE WHEN o_totalprice > 150000 THEN 'large' END AS mask, count(*) AS n,
+  round(quantile_cont(o_totalprice, 0.33), 4) AS p33, round(quantile_cont(o_totalprice, 0.67), 4) AS p67
+FROM orders GROUP BY ALL""")
+def mask_quantiles(spark, sf):
+    """Exact quantiles per status and mask, a null mask included."""
+    rows = table(spark, sf, "orders").withColumn("mask", F.when(F.col("o_totalprice") > 150000, F.lit("large")))
+    out = grouped_quantiles(rows, ["o_orderstatus", "mask"], "o_totalprice", [0.33, 0.67])
+    return fn.round_cols(out.select(F.col("o_orderstatus").alias("status"), "mask", "n", F.col("quantiles")[0].alias("p33"),
+                                    F.col("quantiles")[1].alias("p67")), 4, "p33", "p67")
+
+
 @query("quantiles", """
 SELECT round(quantile_cont(l_extendedprice, 0.05), 4) AS p5, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50,
   round(quantile_cont(l_extendedprice, 0.99), 4) AS p99, quantile_cont(l_quantity, 0.5) AS q50, count(*) AS n
@@ -514,8 +538,6 @@ FROM lineitem""")
 def quantiles(spark, sf):
     """Exact quantiles of a continuous and of a heavily tied column over the largest table."""
     rows = table(spark, sf, "lineitem")
-    from heliogale.plans.quantiles import exact_quantiles
-
     cut = exact_quantiles(rows, {"price": (F.col("l_extendedprice"), [0.05, 0.5, 0.99]), "qty": (F.col("l_quantity"), [0.5])})
     names = [("p5", cut["price"][0]), ("p50", cut["price"][1]), ("p99", cut["price"][2])]
     return rows.agg(F.count(F.lit(1)).alias("n")).select(

@@ -49,10 +49,21 @@ def country_corr_pearson(spark, sf):
         _xys(grid_cells(spark, sf), "wind_CF"), "country", "x", "y", ("s",), method="pearson", p_value=False))
 
 
-@query("country_corr_p_value")
+# The two-sided tail of Student's t for whole degrees of freedom, as the finite sums of even and of odd ones.
+_P_SQL = """CASE WHEN df % 2 = 0 THEN 1 - abs(r) * coalesce(list_sum(list_transform(range(df // 2),
+    lambda j: exp(lgamma(j + 0.5::DOUBLE) - lgamma(j + 1)) / sqrt(pi()) * (1 - r * r) ** j)), 0)
+  ELSE 1 - 2 / pi() * (asin(abs(r)) + abs(r) * sqrt(1 - r * r) * coalesce(list_sum(list_transform(range((df - 1) // 2),
+    lambda j: sqrt(pi()) / 2 * exp(lgamma(j + 1) - lgamma(j + 1.5::DOUBLE)) * (1 - r * r) ** j)), 0)) END"""
+
+
+@query("country_corr_p_value", f"""
+WITH {GRID_SQL}, {_complete_sql('"wind_CF"', 'v_grid')}, {_RANK_SQL},
+v_corr AS (SELECT country, {_CORR_OUT}, corr(rx, ry) AS r, count(*) - 2 AS df FROM v_rank GROUP BY country HAVING count(*) >= 50)
+SELECT country, n_pixels, avg_x, avg_y, avg_s, round(r, 6) AS corr, round({_P_SQL}, 9) AS p_value FROM v_corr""")
 def country_corr_p_value(spark, sf):
-    """With the p-value, which SQL has no function for."""
-    return country.correlate(_xys(grid_cells(spark, sf), "wind_CF"), "country", "x", "y", ("s",))
+    """With the two-sided p-value of each country's rank correlation."""
+    out = country.correlate(_xys(grid_cells(spark, sf), "wind_CF"), "country", "x", "y", ("s",))
+    return fn.round_cols(_rounded(out), 9, "p_value")
 
 
 GROUPS = {"pair": ["3", "7"], "large": ["1", "2", "3", "4", "5", "6"]}

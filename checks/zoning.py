@@ -271,10 +271,18 @@ def cramers_v(spark, sf):
     return fn.round_cols(out, 6, "chi2", "cramers_v")
 
 
-@query("cramers_v_p")
+@query("cramers_v_p", CLIMATE_ZONE_SQL + """,
+v_e AS (SELECT n, sum(n) OVER (PARTITION BY base) * sum(n) OVER (PARTITION BY climate_code) / sum(n) OVER ()::DOUBLE AS e,
+  sum(n) OVER () AS total FROM v_count WHERE climate_code > 0),
+v_x AS (SELECT sum((n - e) ^ 2 / e) AS chi2, CAST(max(total) AS BIGINT) AS n FROM v_e WHERE e > 0)
+SELECT round(chi2, 6) AS chi2, n, 20 AS dof, round(sqrt(chi2 / (n * 4)), 6) AS cramers_v,
+  -- 20 degrees of freedom: ten terms of a Poisson sum
+  round(list_sum(list_transform(range(10), lambda j: exp(j * ln(chi2 / 2) - chi2 / 2 - lgamma(j + 1)))), 9) AS p_value
+FROM v_x""")
 def cramers_v_p(spark, sf):
-    """With the p-value, which SQL has no function for."""
-    return stats.cramers_v(climate_zones(spark, sf), "base", "climate_code", list(config.LAND_BASES), CODES)
+    """With the p-value of the link between climate and base zone."""
+    out = stats.cramers_v(climate_zones(spark, sf), "base", "climate_code", list(config.LAND_BASES), CODES)
+    return fn.round_cols(fn.round_cols(out, 6, "chi2", "cramers_v"), 9, "p_value")
 
 
 @query("climate_share", CLIMATE_ZONE_SQL + """
