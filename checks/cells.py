@@ -124,6 +124,39 @@ def raster_average(spark, sf):
     return fn.round_cols(grid.raster_reduce(px, _coarse(px, 4), ["value"]), 6, "value")
 
 
+# Classes in fine pixels, with whole cells of nodata and with ties.
+_CLASSES_SQL = """v_class AS (
+  SELECT CAST(p_partkey // 40 // 8 AS INTEGER) AS lat_i, CAST(p_partkey % 40 // 8 AS INTEGER) AS lon_i,
+    CASE WHEN p_partkey % 29 <> 0 AND (p_partkey // 40 // 8 + p_partkey % 40 // 8) % 4 <> 3 THEN (p_size % 7)::DOUBLE END AS value FROM part)"""
+
+
+def _classes(spark, sf):
+    k = F.col("p_partkey")
+    nodata = (k % 29 == 0) | ((F.floor(F.floor(k / 40) / 8) + F.floor(k % 40 / 8)) % 4 == 3)
+    return table(spark, sf, "part").select(
+        (k % 40).cast("double").alias("x"), (-F.floor(k / 40)).cast("double").alias("y"),
+        F.when(~nodata, (F.col("p_size") % 7).cast("double")).alias("value"))
+
+
+@query("raster_mode", f"""
+WITH {_CLASSES_SQL},
+v_n AS (SELECT lat_i, lon_i, value, count(value) AS n FROM v_class GROUP BY ALL),
+v_r AS (SELECT *, row_number() OVER (PARTITION BY lat_i, lon_i ORDER BY n DESC, value) AS k FROM v_n)
+SELECT lat_i, lon_i, value FROM v_r WHERE k = 1""")
+def raster_mode(spark, sf):
+    """The most frequent class of each cell; the smallest of equally frequent ones."""
+    px = _classes(spark, sf)
+    return grid.raster_reduce(px, _coarse(px, 8), ["value"], "mode")
+
+
+@query("raster_median", f"""
+WITH {_CLASSES_SQL}
+SELECT lat_i, lon_i, quantile_cont(value, 0.5) AS value FROM v_class GROUP BY ALL""")
+def raster_median(spark, sf):
+    px = _classes(spark, sf)
+    return grid.raster_reduce(px, _coarse(px, 8), ["value"], "median")
+
+
 @query("raster_weighted", f"""
 WITH {PIXELS_SQL},
 v_part AS (

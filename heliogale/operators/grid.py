@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from heliogale.config import RESOLUTION_DEG, TILE_DEG, Grid
 from heliogale.functions import columns as fn
 from heliogale.plans.joins import dim_join
+from heliogale.plans.order import running
+from heliogale.plans.session import pinned
 
 CELL = ["lat_i", "lon_i"]
 
@@ -235,18 +237,59 @@ def raster_reduce(
     """Fine pixels -> coarse cells centred on the grid points; nodata (null) is skipped and
     a cell with only nodata is null. Pixels off the grid are dropped.
 
-    A pixel belongs to the cell that holds its centre. One group-by with map-side partial
-    aggregation, so dense cells cost no more than sparse ones.
+    A pixel belongs to the cell that holds its centre. ``how`` is avg, sum, min, max, mode or median. One
+    group-by with map-side partial aggregation (for mode and median of counts per value), so dense cells cost no
+    more than sparse ones.
     """
     reducers = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max}
-    if how not in reducers:
-        raise ValueError(f"how must be one of {sorted(reducers)}; got {how!r}")
+    by_value = {"mode": _most_frequent, "median": _middle}
+    if how not in reducers and how not in by_value:
+        raise ValueError(f"how must be one of {sorted([*reducers, *by_value])}; got {how!r}")
     keyed = pixels.withColumns(snap(grid, x, y, clamp=False)).filter(
         F.col("lat_i").between(0, grid.n_lat - 1) & F.col("lon_i").between(0, grid.n_lon - 1)
     )
+    if how in by_value:
+        return by_value[how](keyed, values)
     return keyed.groupBy(*CELL).agg(*[reducers[how](F.col(v)).alias(v) for v in values])
 
 
+def _value_counts(keyed: DataFrame, values: list[str]) -> DataFrame:
+    """cell, name, value, n: how often each value of each column occurs in a cell, and n = 0 for a null value.
+
+    Counts merge next to the scan, so a cell or a value that holds a third of all pixels is a few rows.
+    """
+    pairs = F.array(*[F.struct(F.lit(v).alias("name"), fn.finite(v).alias("value")) for v in values])
+    return keyed.select(*CELL, F.inline(pairs)).groupBy(*CELL, "name", "value").agg(F.count("value").alias("n"))
+
+
+def _spread_out(chosen: DataFrame, values: list[str]) -> DataFrame:
+    """One row per cell with a column for each name of ``chosen`` (cell, name, value)."""
+    return chosen.groupBy(*CELL).agg(*[F.max(F.when(F.col("name") == v, F.col("value"))).alias(v) for v in values])
+
+
+def _most_frequent(keyed: DataFrame, values: list[str]) -> DataFrame:
+    """The most frequent value of a cell, the smallest of equally frequent ones; null in a cell of nodata."""
+    best = _value_counts(keyed, values).groupBy(*CELL, "name").agg(
+        (-F.max(F.when(F.col("n") > 0, F.struct("n", (-F.col("value")).alias("v"))))["v"]).alias("value"))
+    return _spread_out(best, values)
+
+
+def _middle(keyed: DataFrame, values: list[str]) -> DataFrame:
+    """The median of a cell, the mean of the two middle values of an even number; null in a cell of nodata.
+
+    Running counts over value ranges say which values hold the middle ranks, whatever the size of a cell.
+    """
+    counts = pinned(_value_counts(keyed, values))
+    placed = running(counts.filter("n > 0"), [*CELL, "name"], "value", "n")
+    holds = lambda rank: (rank >= F.col("before")) & (rank < F.col("before") + F.col("n"))
+    last = F.col("whole") - 1
+    low, high = F.floor(last / 2), F.ceil(last / 2)
+    middle = placed.groupBy(*CELL, "name").agg(
+        ((F.max(F.when(holds(low), F.col("value"))) + F.max(F.when(holds(high), F.col("value")))) / 2).alias("value"))
+    nothing = counts.filter("n = 0").select(*CELL, "name", F.lit(None).cast("double").alias("value"))
+    return _spread_out(middle.unionByName(nothing), values)
+
+
 def raster_average_weighted(
     pixels: DataFrame, grid: Grid, value: str, pixel_size: float, x: str = "x", y: str = "y"
 ) -> DataFrame:

@@ -95,7 +95,35 @@ def test_raster_average_skips_nodata_and_keeps_all_null_cells_null(spark, rows):
     assert rows(grid.raster_reduce(px, g, ["value"])) == [(0, 0, 2.0), (0, 1, None)]
     assert rows(grid.raster_reduce(px, g, ["value"], "sum")) == [(0, 0, 4.0), (0, 1, None)]
     with pytest.raises(ValueError):
-        grid.raster_reduce(px, g, ["value"], "mode")
+        grid.raster_reduce(px, g, ["value"], "first")
+
+
+def test_mode_and_median_of_cells(spark, rows):
+    import random
+    import statistics
+
+    g = Grid(1.5, -1.5, 4.0, 3, 3)
+    rng = random.Random(4)
+    px, held = [], {}
+    for k in range(3000):  # one cell with most of the pixels, one of nodata only, one of a single value
+        i, j = (0, 0) if k % 2 else (rng.randrange(3), rng.randrange(3))
+        v = None if (i, j) == (2, 2) or rng.random() < 0.05 else 7.0 if (i, j) == (1, 1) else float(rng.randrange(-4, 9))
+        px.append((j * 4.0 + rng.randrange(4), -i * 4.0 - rng.randrange(4), v, float("nan") if v == 3 else v))
+        held.setdefault((i, j), []).append((px[-1][2], None if v == 3 else v))
+    df = spark.createDataFrame(px, "x double, y double, a double, b double")
+
+    def want(of):
+        out = []
+        for (i, j), some in held.items():
+            columns = [[v[c] for v in some if v[c] is not None] for c in (0, 1)]
+            out.append((i, j, *[of(c) if c else None for c in columns]))
+        return sorted(out)
+
+    mode = lambda c: min(v for v in set(c) if c.count(v) == max(map(c.count, set(c))))
+    assert rows(grid.raster_reduce(df, g, ["a", "b"], "mode"), "lat_i", "lon_i", "a", "b") == want(mode)
+    assert rows(grid.raster_reduce(df, g, ["a", "b"], "median"), "lat_i", "lon_i", "a", "b") == want(statistics.median)
+    for how in ("mode", "median"):
+        assert grid.raster_reduce(df.limit(0), g, ["a"], how).count() == 0
 
 
 def test_weighted_average_splits_a_pixel_over_cells(spark, rows):
