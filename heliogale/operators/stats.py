@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -203,35 +207,67 @@ def histogram(df: DataFrame, value: str, bins: int, limits: tuple[float, float]
     )
 
 
+KDE_TERMS = 14  # moments kept of a bin
+KDE_BINS = 2  # bins per bandwidth, so a value lies within 1/4 bandwidth of its bin's centre
+KDE_REACH = 9  # bandwidths beyond which a kernel is below 3e-18 of its peak
+
+
+def _hermite(terms: int) -> list[list[int]]:
+    """Coefficients of the polynomials He_0 .. He_terms, lowest power first: He_k+1 = z He_k - k He_k-1."""
+    rows = [[1], [0, 1]]
+    for k in range(1, terms):
+        longer = [0, *rows[k]]
+        for power, c in enumerate(rows[k - 1]):
+            longer[power] -= k * c
+        rows.append(longer)
+    return rows
+
+
 def kde(df: DataFrame, value: str, by: str, points: int = 200, cut: float = 3.0,
         support: tuple[float, float] | None = None) -> DataFrame:
     """Gaussian density per class, Scott bandwidth, scaled by the class's share of rows.
 
-    The support is each class's range widened by ``cut`` bandwidths, or one shared
-    ``support``. Equal values collapse first; each remaining value meets the ``points``
-    grid positions inside the partial aggregation, so nothing of size rows x points is
-    ever shuffled. Classes without spread have no density.
+    The support is each class's range widened by ``cut`` bandwidths, or one shared ``support``. Classes without
+    spread have no density.
+
+    Rows never meet the grid. They collapse to bins of half a bandwidth with the moments of their distances to the
+    bin's centre, next to the scan; the sum of a bin's kernels at a point is the Hermite series of those moments, and
+    a bin meets only the points within its reach. With distances of at most 1/4 bandwidth, ``KDE_TERMS`` moments leave
+    less than 1e-13 of a kernel's peak per row, so the result is that of the plain sum to about 12 digits.
     """
-    rows = df.filter(F.col(value).isNotNull() & F.col(by).isNotNull())
+    rows = df.filter(F.col(value).isNotNull() & F.col(by).isNotNull()).select(by, F.col(value).cast("double").alias("_v"))
     stats = rows.groupBy(by).agg(
-        F.count(F.lit(1)).alias("_n"), F.stddev_samp(value).alias("_sd"),
-        F.min(value).alias("_min"), F.max(value).alias("_max"),
+        F.count(F.lit(1)).alias("_n"), F.stddev_samp("_v").alias("_sd"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
     ).withColumn("_all", _grand_total("_n"))
-    band = F.col("_sd") * F.pow(F.col("_n"), fn.dbl(-0.2))
-    stats = stats.withColumn("_h", band).filter(F.col("_h") > 0)
+    stats = stats.withColumn("_h", F.col("_sd") * F.pow(F.col("_n"), fn.dbl(-0.2))).filter(F.col("_h") > 0)
     lo = fn.dbl(support[0]) if support else F.col("_min") - cut * F.col("_h")
     hi = fn.dbl(support[1]) if support else F.col("_max") + cut * F.col("_h")
-    stats = stats.select(by, "_all", "_h", lo.alias("_lo"), ((hi - lo) / (points - 1)).alias("_step"))
-    weighted = rows.groupBy(by, value).agg(F.count(F.lit(1)).alias("_w"))
-    placed = dim_join(weighted, stats, [by], "inner", spread=[value]).withColumn(
-        "point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
-    )
-    x = F.col("_lo") + F.col("point") * F.col("_step")
-    z = (x - F.col(value)) / F.col("_h")
-    bell = F.col("_w") * F.exp(-z * z / 2) / (F.col("_h") * F.sqrt(fn.dbl(2) * F.pi()))
-    return placed.groupBy(by, "point").agg(
-        F.max(x).alias("x"), (F.sum(bell) / F.max("_all")).alias("density")
-    )
+    scale = [by, "_all", "_h", "_min"]
+    stats = stats.select(*scale, lo.alias("_lo"), ((hi - lo) / (points - 1)).alias("_step"))
+    position = (F.col("_v") - F.col("_min")) / F.col("_h") * KDE_BINS
+    binned = dim_join(rows, stats, [by], "inner", spread=["_v"]).withColumn("_bin", F.floor(position))
+    u = (position - F.col("_bin") - 0.5) / KDE_BINS
+    moments = binned.withColumn("_u", u).groupBy(*scale, "_lo", "_step", "_bin").agg(
+        *[F.sum(F.pow("_u", fn.dbl(k)) / fn.dbl(math.factorial(k))).alias(f"_m{k}") for k in range(KDE_TERMS + 1)])
+    hermite = _hermite(KDE_TERMS)
+    series = {
+        f"_p{power}": reduce(add, [F.col(f"_m{k}") * fn.dbl(hermite[k][power]) for k in range(power, KDE_TERMS + 1) if hermite[k][power]])
+        for power in range(KDE_TERMS + 1)}
+    centre = F.col("_min") + (F.col("_bin") + 0.5) / KDE_BINS * F.col("_h")
+    reach = KDE_REACH * F.col("_h")
+    first = F.greatest(F.ceil((F.col("_c") - reach - F.col("_lo")) / F.col("_step")), F.lit(0))
+    last = F.least(F.floor((F.col("_c") + reach - F.col("_lo")) / F.col("_step")), F.lit(points - 1))
+    near = moments.withColumns({"_c": centre, **series}).withColumn(
+        "point", F.explode(F.when(first <= last, F.sequence(first, last))))
+    z = (F.col("_lo") + F.col("point") * F.col("_step") - F.col("_c")) / F.col("_h")
+    polynomial = reduce(lambda total, power: total * F.col("_z") + F.col(f"_p{power}"), range(KDE_TERMS - 1, -1, -1), F.col(f"_p{KDE_TERMS}"))
+    bell = polynomial * F.exp(-F.col("_z") * F.col("_z") / 2)
+    sums = near.withColumn("_z", z).groupBy(by, "point").agg(F.sum(bell).alias("_sum"))
+    # Points out of every bin's reach have density 0.
+    grid = stats.withColumn("point", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points - 1).cast("long"))))
+    density = F.greatest(F.coalesce("_sum", fn.dbl(0)), fn.dbl(0)) / (F.col("_h") * F.sqrt(fn.dbl(2) * F.pi()) * F.col("_all"))
+    return grid.join(sums, [by, "point"], "left").select(
+        by, F.col("point").cast("int").alias("point"), (F.col("_lo") + F.col("point") * F.col("_step")).alias("x"), density.alias("density"))
 
 
 def distribution(df: DataFrame, value: str, masks: dict[str, Column], probs=(0.33, 0.67)) -> DataFrame:
