@@ -326,10 +326,41 @@ def cluster_table(spark, sf):
     return country.summary_table(summary, [0, 1, 2, 3], rows=("cluster_name", "large_countries", "small_countries"))
 
 
-@query("kmeans_clusters")
+# Lloyd's rounds as a recursion over lists of centres, from the same starts.
+_DISTANCE = "(({c}[1] - p[1]) * ({c}[1] - p[1]) + ({c}[2] - p[2]) * ({c}[2] - p[2]) + ({c}[3] - p[3]) * ({c}[3] - p[3]))"
+_KMEANS_SQL = COUNTRY_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""",
+v_m AS (SELECT country, country_name, n_pixels, resource_demand_corr AS f2, avg_resource AS f3,
+  (avg_storage - min(avg_storage) OVER ()) / nullif(max(avg_storage) OVER () - min(avg_storage) OVER (), 0) AS f1 FROM v_country),
+v_s AS (SELECT avg(f1) AS m1, avg(f2) AS m2, avg(f3) AS m3, sqrt(var_pop(f1) * count(f1) / (count(*) - 1)) AS s1,
+  sqrt(var_pop(f2) * count(f2) / (count(*) - 1)) AS s2, sqrt(var_pop(f3) * count(f3) / (count(*) - 1)) AS s3 FROM v_m),
+v_p AS (SELECT v_m.*, [coalesce((f1 - m1) / s1, 0), coalesce((f2 - m2) / s2, 0), coalesce((f3 - m3) / s3, 0)] AS p FROM v_m, v_s),
+v_d AS (SELECT p, row_number() OVER (ORDER BY p) - 1 AS pos, count(*) OVER () AS m FROM (SELECT DISTINCT p FROM v_p)),
+v_start(run, centres) AS (
+  SELECT r, [p] FROM v_d, range(10) t(r) WHERE pos = r * m // 10
+  UNION ALL
+  SELECT run, list_append(any_value(centres), first(p ORDER BY list_min(list_transform(centres, lambda c: {_DISTANCE.format(c="c")})) DESC, p))
+  FROM v_start, v_p WHERE len(centres) < 4 GROUP BY run, len(centres)),
+v_lloyd(run, it, centres) AS (
+  SELECT run, 0, centres FROM v_start WHERE len(centres) = 4
+  UNION ALL
+  SELECT run, it + 1, list(c ORDER BY i) FROM (
+    SELECT run, it, i, [avg(p[1]), avg(p[2]), avg(p[3])] AS c FROM (
+      SELECT run, it, p, list_position(ds, list_min(ds)) AS i FROM (
+        SELECT run, it, p, list_transform(centres, lambda c: {_DISTANCE.format(c="c")}) AS ds FROM v_lloyd, v_p WHERE it < 30))
+    GROUP BY run, it, i) GROUP BY run, it),
+v_cost AS (SELECT run, any_value(centres) AS centres, sum(list_min(list_transform(centres, lambda c: {_DISTANCE.format(c="c")}))) AS cost
+  FROM v_lloyd, v_p WHERE it = 30 GROUP BY run),
+v_best AS (SELECT centres FROM v_cost WHERE cost <= (SELECT min(cost) FROM v_cost) * (1 + 1e-9) ORDER BY run LIMIT 1),
+v_order AS (SELECT i, row_number() OVER (ORDER BY centres[i][2], i) AS position FROM v_best, range(1, 5) t(i)),
+v_in AS (SELECT country, list_transform(centres, lambda c: {_DISTANCE.format(c="c")}) AS ds FROM v_p, v_best)
+SELECT v_m.country, country_name, n_pixels, round(f1, 6) AS avg_storage, round(f2, 6) AS resource_demand_corr, round(f3, 6) AS avg_resource,
+  [2, 0, 1, 3][position]::INTEGER AS cluster
+FROM v_m JOIN v_in USING (country) JOIN v_order ON i = list_position(ds, list_min(ds))"""
+
+
+@query("kmeans_clusters", _KMEANS_SQL)
 def kmeans_clusters(spark, sf):
-    """Depends on random starts, so there is no SQL twin."""
+    """Four clusters of countries with canonical ids."""
     metrics = stats.min_max(country_metrics(spark, sf), "avg_storage", "avg_storage")
-    assigned, centroids = ml.kmeans(metrics, METRICS)
-    rows, _ = ml.canonical_clusters(assigned, centroids)
-    return rows.select("country", "country_name", "n_pixels", *METRICS, "cluster")
+    rows, _ = ml.canonical_clusters(*ml.kmeans(metrics, METRICS))
+    return fn.round_cols(rows.select("country", "country_name", "n_pixels", *METRICS, "cluster"), 6, *METRICS)

@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+import math
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heliogale.config import CLUSTER_ID_BY_POSITION
 from heliogale.functions import columns as fn
+from heliogale.plans.order import numbered
 from heliogale.plans.session import pinned
 
-ROWS_PER_TASK = 100_000
-
 
 # ---- least squares ----------------------------------------------------------
 def ols_fit(df: DataFrame, target: str, predictors: list[str], mask: Column | None = None) -> tuple[list[float], float]:
@@ -67,42 +64,94 @@ def ols_fill(
 
 
 # ---- k-means ----------------------------------------------------------------
-def kmeans(
-    df: DataFrame, features: list[str], k: int = 4, seed: int = 42, runs: int = 10,
-    parallel: int = 8, max_iter: int = 50,
-) -> tuple[DataFrame, DataFrame]:
-    """Cluster rows on mean-imputed, standardised features; best of ``runs`` seeds.
-
-    Returns (rows with ``cluster``, centroids in original units with ``cluster``). The input
-    is evaluated once for all fits, which run a few at a time.
+def _scaling(df: DataFrame, features: list[str]) -> list[tuple[float, float]]:
+    """Mean and sample deviation of each feature after missing values have taken the mean, from one aggregate."""
+    values = {f"_f{i}": fn.finite(f) for i, f in enumerate(features)}
+    row = df.agg(F.count("*").alias("rows"), *[f(c).alias(f"{n}{k}") for k, c in values.items() for n, f in (
+        ("n", F.count), ("m", F.avg), ("v", F.var_pop))]).first()
+    out = []
+    for k in values:
+        if row[f"n{k}"]:
+            # An imputed row adds nothing to the squares, but counts.
+            spread = math.sqrt(row[f"v{k}"] * row[f"n{k}"] / max(1, row["rows"] - 1))
+            out.append((row[f"m{k}"], spread))
+        else:
+            out.append((0.0, 0.0))
+    return out
+
+
+def _distance(p: Column, c: Column) -> Column:
+    return F.aggregate(F.zip_with(p, c, lambda a, b: (a - b) * (a - b)), fn.dbl(0), lambda total, x: total + x)
+
+
+def _nearest(centres: list[list[list[float]]]) -> Column:
+    """Per run the squared distance to the nearest centre and its number (the lowest of equally near ones)."""
+    point = F.col("_p")
+    # The centres are one literal of runs x k x features numbers, so every round runs the same compiled code.
+    return F.transform(F.lit(centres), lambda run: F.array_min(
+        F.transform(run, lambda c, i: F.struct(_distance(point, c).alias("d"), i.alias("i")))))
+
+
+def _starts(points: DataFrame, k: int, runs: int) -> list[list[list[float]]]:
+    """``runs`` sets of ``k`` starting centres that depend on the points alone.
+
+    The first centre of a run is one of ``runs`` points spread evenly along the order of all distinct points; each
+    further one is the point farthest from the run's centres so far, the first in order of equally far ones.
+    """
+    places = numbered(pinned(points.select("_p").distinct()), [], [F.col("_p")])
+    spread = F.array(*[F.floor(F.col("n") * r / runs) for r in range(runs)])
+    firsts = places.filter(F.array_contains(spread, F.col("pos"))).orderBy("pos").collect()  # at most ``runs``
+    centres = [[list(r["_p"])] for r in firsts]
+    for _ in range(min(k, firsts[0]["n"] if firsts else 0) - 1):
+        backwards = F.transform("_p", lambda x: -x)
+        nearest = points.select(backwards.alias("_b"), _nearest(centres).alias("_near"))
+        row = nearest.agg(*[F.max(F.struct(F.col("_near")[r]["d"], F.col("_b"))).alias(f"r{r}") for r in range(len(centres))]).first()
+        centres = [c + [[-x for x in row[f"r{r}"]["_b"]]] for r, c in enumerate(centres)]
+    return centres
+
+
+def _lloyd(points: DataFrame, centres: list[list[list[float]]], width: int, max_iter: int) -> list[list[float]] | None:
+    """The centres of the cheapest run after all runs have settled; None without points."""
+    best = centres[0] if centres else None
+    for _ in range(max_iter if centres else 0):
+        near = points.select("_p", F.posexplode(_nearest(centres)).alias("run", "near"))
+        means = near.groupBy("run", F.col("near.i").alias("i")).agg(
+            F.sum("near.d").alias("cost"), F.array(*[F.avg(F.col("_p")[f]) for f in range(width)]).alias("mean")).collect()
+        costs = [0.0] * len(centres)
+        moved = [[list(c) for c in run] for run in centres]
+        for r in means:
+            costs[r["run"]] += r["cost"]
+            moved[r["run"]][r["i"]] = list(r["mean"])
+        best = centres[next(r for r, cost in enumerate(costs) if cost <= min(costs) * (1 + 1e-9))]
+        shift = max(abs(x - y) for a, b in zip(centres, moved) for c, d in zip(a, b) for x, y in zip(c, d))
+        centres = moved
+        if shift <= 1e-12:
+            break
+    return best
+
+
+def kmeans(df: DataFrame, features: list[str], k: int = 4, runs: int = 10, max_iter: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Cluster rows on mean-imputed, standardised features; best of ``runs`` deterministic starts.
+
+    Returns (rows with ``cluster``, centroids in original units with ``cluster``). All runs take their rounds
+    together: one aggregate over the rows gives the means of every cluster of every run, and only those runs x k
+    centres reach the driver. The same rows give the same clusters on every run and cluster layout; of runs that
+    cost the same (to 1e-9) the first is taken. With fewer than ``k`` distinct points there are as many clusters.
     """
-    filled_names = [f"_f{i}" for i in range(len(features))]
-    start = df.withColumns({f"_f{i}": F.col(c).cast("double") for i, c in enumerate(features)}).persist()
+    held = pinned(df)
+    scaling = _scaling(held, features)
+    scaled = [F.coalesce((fn.finite(f) - fn.dbl(m)) / fn.dbl(s), fn.dbl(0)) if s > 0 else fn.dbl(0) for f, (m, s) in zip(features, scaling)]
+    points = held.withColumn("_p", F.array(*scaled))
+    cached = points.select("_p").persist()  # over the pinned table, so a lost part is read again
     try:
-        # Every fit runs many short jobs: a table of countries should not be hundreds of tasks.
-        # Seeds draw by row order, so rows are put in the order of their features first.
-        tasks = max(1, -(-start.count() // ROWS_PER_TASK))
-        packed = start.repartitionByRange(tasks, *filled_names).sortWithinPartitions(*filled_names)
-        imputer = Imputer(strategy="mean", inputCols=filled_names, outputCols=filled_names).fit(packed)
-        assembler = VectorAssembler(inputCols=filled_names, outputCol="_raw")
-        assembled = assembler.transform(imputer.transform(packed))
-        scaler = StandardScaler(withMean=True, withStd=True, inputCol="_raw", outputCol="features").fit(assembled)
-        ready = scaler.transform(assembled)
-
-        def fit(s: int):
-            model = KMeans(k=k, seed=s, maxIter=max_iter, tol=1e-6).fit(ready)
-            return model.summary.trainingCost, s, model
-
-        with ThreadPoolExecutor(parallel) as pool:
-            fitted = list(pool.map(fit, [seed + i for i in range(runs)]))
-        model = min(fitted, key=lambda f: f[:2])[2]
-        # Written while the input is still cached, so that it is not computed again.
-        assigned = pinned(model.transform(ready).withColumnRenamed("prediction", "cluster").select(*df.columns, "cluster"))
+        best = _lloyd(cached, _starts(cached, k, runs), len(features), max_iter)
     finally:
-        start.unpersist()
-    mean, std = scaler.mean.toArray(), scaler.std.toArray()
-    rows = [(i, *map(float, c * std + mean)) for i, c in enumerate(model.clusterCenters())]
+        cached.unpersist()
     schema = "cluster int, " + ", ".join(f"`{f}` double" for f in features)
+    if best is None:
+        return held.withColumn("cluster", F.lit(None).cast("int")), df.sparkSession.createDataFrame([], schema)
+    assigned = points.withColumn("cluster", _nearest([best])[0]["i"]).select(*df.columns, "cluster")
+    rows = [(i, *[x * s + m for x, (m, s) in zip(c, scaling)]) for i, c in enumerate(best)]
     return assigned, df.sparkSession.createDataFrame(rows, schema)
 
 

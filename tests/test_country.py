@@ -150,3 +150,31 @@ def test_kmeans_recovers_separated_groups_in_original_units(spark, rows):
     by_id = {r["cluster"]: r for r in centres_out.collect()}
     assert by_id[0]["resource_demand_corr"] == pytest.approx(0.0, abs=0.02)
     assert by_id[3]["avg_storage"] == pytest.approx(0.2, abs=0.02)
+
+
+def test_kmeans_certificates(spark):
+    """Every row is in its nearest cluster, every centroid is the mean of its rows, and reruns agree."""
+    rng = np.random.default_rng(11)
+    data = [(k, *map(float, rng.normal(size=3))) for k in range(200)] + [(300 + k, 1.0, 1.0, None) for k in range(100)]
+    data += [(500, None, float("nan"), 2.0)]
+    features = ["a", "b", "c"]
+    df = spark.createDataFrame(data, "k int, a double, b double, c double")
+    assigned, centroids = ml.kmeans(df, features, k=5)
+    centre = {r["cluster"]: np.array([r[f] for f in features]) for r in centroids.collect()}
+    x = np.array([[np.nan if v is None else v for v in r[1:]] for r in data], dtype=float)
+    mean = np.nanmean(x, axis=0)
+    x = np.where(np.isnan(x), mean, x)
+    std = x.std(axis=0, ddof=1)
+    cluster = {r["k"]: r["cluster"] for r in assigned.collect()}
+    z = lambda v: (v - mean) / std
+    for r, row in zip(data, x):
+        d = {c: float(((z(row) - z(m)) ** 2).sum()) for c, m in centre.items()}
+        assert d[cluster[r[0]]] <= min(d.values()) + 1e-9
+    for c, m in centre.items():
+        assert np.allclose(m, x[[cluster[r[0]] == c for r in data]].mean(axis=0), atol=1e-9)
+    again = {r["k"]: r["cluster"] for r in ml.kmeans(df.repartition(9), features, k=5)[0].collect()}
+    assert again == cluster
+    few = spark.createDataFrame([(k, float(k % 2), 0.0, 0.0) for k in range(9)], "k int, a double, b double, c double")
+    rows_, centres_ = ml.kmeans(few, features, k=4)
+    assert centres_.count() == 2 and {(r["k"] % 2, r["cluster"]) for r in rows_.collect()} in ({(0, 0), (1, 1)}, {(0, 1), (1, 0)})
+    assert ml.kmeans(few.limit(0), features)[0].count() == 0

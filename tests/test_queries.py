@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="driver tables not
 
 def test_registry_is_consistent():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(QUERIES) - set(ORACLES) == {"kmeans_clusters"}
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_flagship(spark):
