@@ -13,6 +13,8 @@ region. So the far space is first cut by single-shingle pivots:
    linked to it. Whatever is left apart joins recursively: new pivots are taken from the parts not yet
    connected (32 times as many each turn) and meet the region's sets of other parts that the triangle
    inequality lets near them, until every region is connected or all its sets have been pivots. Sets known to be connected need no test.
+   Every set also has a sketch of ``SKETCH`` bits, the parities of its shingles. Sketches differ in at most as many bits as
+   the sets in shingles, so this map into Hamming space contracts the distance: pairs it keeps apart are apart.
 
 Equal sets are one class, compared once. Candidate pairs are verified on whole sets; to do so a text is
 sent at most once to a block of texts, whatever the number of its partners there. Sets hold 64-bit hashes.
@@ -40,7 +42,8 @@ SMALL = 32  # sets of a region that are compared pair by pair
 COMMON = 32  # texts above which a shingle comes last in the order
 MOST_COMMON = 1 << 18  # shingles that come last at most, as all tasks know them; others keep their place
 PIVOTS = 4  # pivots that a large region takes at once
-BOUNDS = ("size", "last", "cap", "loose")  # of a set in a region: what its links are bounded by
+BOUNDS = ("size", "last", "cap", "loose", "sketch")  # of a set in a region: what its links are bounded by
+SKETCH = 512  # bits of a set's sketch: for each, whether an odd number of its shingles falls there
 NO_ID = -(1 << 62)  # ids below stand for null ids, one for each text
 
 
@@ -83,6 +86,17 @@ class Sets:
         return order[rank < length[self.text_of]]
 
 
+    def sketches(self, rows: np.ndarray) -> pa.Array:
+        """Sketch of each text in ``rows``. Two sketches differ in at most as many bits as the sets in shingles."""
+        wanted = np.zeros(len(self.sizes), dtype=bool)
+        wanted[rows] = True
+        of = wanted[self.text_of]
+        place = (np.cumsum(wanted) - 1)[self.text_of[of]] * SKETCH + (mix(self.values[of]) % np.uint64(SKETCH)).astype(np.int64)
+        odd = (np.bincount(place, minlength=len(rows) * SKETCH) & 1).astype(bool).reshape(len(rows), SKETCH)
+        words = np.packbits(odd, axis=1).view(np.int64)
+        return pa.FixedSizeListArray.from_arrays(pa.array(words.ravel()), SKETCH // 64).cast(pa.list_(pa.int64()))
+
+
 def _column(table: pa.Table, name: str) -> pa.Array:
     column = table.column(name)
     return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
@@ -198,7 +212,7 @@ def _regions(shingle: int, percent: int, common: np.ndarray):
         used = np.flatnonzero(np.diff(bound))
         return pa.table({
             "doc": pa.array(ids[used], pa.int64()), "size": pa.array(sets.sizes[used], pa.int64()), "last": pa.array(last[used], pa.int64()),
-            "keys": _lists(value[order].view(np.int64), bound, used, pa.int64()), "ranks": _lists(rank[order], bound, used, pa.int32())})
+            "sketch": sets.sketches(used), "keys": _lists(value[order].view(np.int64), bound, used, pa.int64()), "ranks": _lists(rank[order], bound, used, pa.int32())})
 
     return send
 
@@ -283,7 +297,7 @@ class Join:
         copies = members.filter("doc <> rep").select(
             block_of(F.col("doc"), self.blocks).alias("block"), empty.alias("shared"), F.array("doc").alias("copies"))
         regions = stored(self.base.groupBy("block").cogroup(told.unionByName(copies).groupBy("block")).applyInArrow(
-            _regions(self.shingle, self.percent, common), "doc long, size long, last long, keys array<long>, ranks array<int>"))
+            _regions(self.shingle, self.percent, common), "doc long, size long, last long, sketch array<long>, keys array<long>, ranks array<int>"))
 
         rows = regions.select("doc", "size", "last", F.explode(F.arrays_zip("keys", "ranks")).alias("z")).select(
             "doc", "size", "last", F.col("z.keys").alias("key"), F.col("z.ranks").alias("rank"))
@@ -296,7 +310,7 @@ class Join:
         kept = stored(met.select("doc", "size", "last", (heads - F.size("met")).alias("own"), (F.col("size") - heads + F.size("met")).alias("most"), F.posexplode("met").alias("pos", "m")).select(
             "doc", "size", "last", "own", (F.col("most") - F.col("pos")).alias("cap"), (F.col("size") - F.col("m.rank")).alias("loose"), "m.key", "m.n"))
         pairs = self._small(kept.filter(F.col("n") <= self.small)).distinct()
-        large = kept.filter(F.col("n") > self.small).drop("n")
+        large = kept.filter(F.col("n") > self.small).drop("n").join(regions.select("doc", "sketch"), "doc")
         return members, self._connect(large, pairs)
 
     def _common(self, heads: DataFrame) -> np.ndarray:
@@ -356,8 +370,13 @@ class Join:
         near = (size * 100 >= F.col("low") * self.percent) & (F.col("high") * 100 >= size * self.percent)
         return rows.join(good, "key").filter(F.col("good") | (F.col("last") > F.col("from")) & near).drop("good", "from", "low", "high")
 
+    def _alike(self) -> Column:
+        """Do the sketches of a set and a pivot differ in no more bits than linked sets of their sizes may in shingles?"""
+        differ = F.aggregate(F.zip_with("sketch", "pivot_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+        return differ * (100 + self.percent) <= (F.col("size") + F.col("pivot_size")) * (100 - self.percent)
+
     def _connect(self, large: DataFrame, pairs: DataFrame) -> DataFrame:
-        fits = self._fits(F.col, lambda c: F.col(f"pivot_{c}"))
+        fits = self._fits(F.col, lambda c: F.col(f"pivot_{c}")) & self._alike()
         large = self._able(large)
         pivots = stored(self._pivots(large))
         met = large.join(pivots, "key").filter(fits & (F.col("doc") != F.col("pivot")))
