@@ -42,7 +42,7 @@ SMALL = 32  # sets of a region that are compared pair by pair
 COMMON = 32  # texts above which a shingle comes last in the order
 MOST_COMMON = 1 << 18  # shingles that come last at most, as all tasks know them; others keep their place
 PIVOTS = 4  # pivots that a large region takes at once
-BOUNDS = ("size", "last", "cap", "loose", "sketch")  # of a set in a region: what its links are bounded by
+BOUNDS = ("size", "last", "cap", "loose")  # of a set in a region: what its links are bounded by
 SKETCH = 512  # bits of a set's sketch: for each, whether an odd number of its shingles falls there
 NO_ID = -(1 << 62)  # ids below stand for null ids, one for each text
 
@@ -310,7 +310,8 @@ class Join:
         kept = stored(met.select("doc", "size", "last", (heads - F.size("met")).alias("own"), (F.col("size") - heads + F.size("met")).alias("most"), F.posexplode("met").alias("pos", "m")).select(
             "doc", "size", "last", "own", (F.col("most") - F.col("pos")).alias("cap"), (F.col("size") - F.col("m.rank")).alias("loose"), "m.key", "m.n"))
         pairs = self._small(kept.filter(F.col("n") <= self.small)).distinct()
-        large = kept.filter(F.col("n") > self.small).drop("n").join(regions.select("doc", "sketch"), "doc")
+        large = kept.filter(F.col("n") > self.small).drop("n")
+        self.sketches = regions.select("doc", "sketch")
         return members, self._connect(large, pairs)
 
     def _common(self, heads: DataFrame) -> np.ndarray:
@@ -370,16 +371,24 @@ class Join:
         near = (size * 100 >= F.col("low") * self.percent) & (F.col("high") * 100 >= size * self.percent)
         return rows.join(good, "key").filter(F.col("good") | (F.col("last") > F.col("from")) & near).drop("good", "from", "low", "high")
 
+    def _met(self, rows: DataFrame, pivots: DataFrame) -> DataFrame:
+        """The sets of every region beside its pivots, where their bounds and sketches let them be linked.
+
+        Sketches are long, so they are only looked up here and not kept with the rows of every region.
+        """
+        bounds = self._fits(F.col, lambda c: F.col(f"pivot_{c}"))
+        of_pivots = self.sketches.select(F.col("doc").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
+        return rows.join(self.sketches, "doc").join(pivots.join(of_pivots, "pivot"), "key").filter(bounds & self._alike())
+
     def _alike(self) -> Column:
         """Do the sketches of a set and a pivot differ in no more bits than linked sets of their sizes may in shingles?"""
         differ = F.aggregate(F.zip_with("sketch", "pivot_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
         return differ * (100 + self.percent) <= (F.col("size") + F.col("pivot_size")) * (100 - self.percent)
 
     def _connect(self, large: DataFrame, pairs: DataFrame) -> DataFrame:
-        fits = self._fits(F.col, lambda c: F.col(f"pivot_{c}")) & self._alike()
         large = self._able(large)
         pivots = stored(self._pivots(large))
-        met = large.join(pivots, "key").filter(fits & (F.col("doc") != F.col("pivot")))
+        met = self._met(large, pivots).filter(F.col("doc") != F.col("pivot"))
         pairs = pairs.unionByName(met.select(F.col("doc").alias("a"), F.col("pivot").alias("b"))).distinct()
         tested = stored(self.verify(pairs, 0))
         links = stored(self.near(tested).select("a", "b"))
@@ -408,7 +417,7 @@ class Join:
             pivots = stored(self._more_pivots(waiting, turn))
             # A set that has been a pivot has met all others, so only waiting sets meet the new pivots.
             met = (
-                waiting.join(pivots, "key").filter(fits & (F.col("component") != F.col("pivot_component")) & self._window())
+                self._met(waiting, pivots).filter((F.col("component") != F.col("pivot_component")) & self._window())
                 .select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
             )
             links = links.unionByName(stored(self.verify(met, self.percent)).select("a", "b"))
