@@ -169,14 +169,14 @@ def resumed_tiles(spark, sf):
 
 
 @query("report_rows", """
-SELECT c_mktsegment AS segment, c_nationkey AS country, round(avg(c_acctbal), 2) AS balance, count(*) AS n
+SELECT c_mktsegment AS segment, c_nationkey AS country, max(c_acctbal) AS balance, count(*) AS n
 FROM customer GROUP BY ALL ORDER BY balance DESC, segment, country LIMIT 20""")
 def report_rows(spark, sf):
-    """The first rows of a sorted report, read back from its CSV."""
+    """The first rows of a sorted report, read back from its CSV; its balances have two digits, so rounding leaves them."""
     path = _place(spark)
-    means = table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("country")).agg(
-        F.round(F.avg("c_acctbal"), 2).alias("balance"), F.count("*").alias("n"))
-    sinks.write_report(means, path, [F.desc("balance"), "segment", "country"], 20)
+    largest = table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("country")).agg(
+        F.max("c_acctbal").alias("balance"), F.count("*").alias("n"))
+    sinks.write_report(largest, path, [F.desc("balance"), "segment", "country"], 20)
     return spark.read.csv(path, header=True, schema="segment string, country int, balance double, n bigint")
 
 
