@@ -4,13 +4,15 @@ A word scores ``c(its n-gram) / c(the n-gram's context)`` for the longest n-gram
 document, times ``ALPHA`` for each order given up; a word seen nowhere else scores as half a count at the
 lowest order. Counts are those of the whole table less the document's own, so no text vouches for itself.
 
-The count tables are partitioned by the hash of the n-gram: a block of texts sends its distinct n-grams and
-their counts, one array per bucket; a bucket adds up the counts of all blocks and joins the sums back, in the
+The count tables are partitioned by ranges of the n-gram's hash: a block of texts sends its distinct n-grams, ascending,
+and their counts, one row per bucket; a bucket adds up the counts of all blocks and joins the sums back, in the
 order in which each block asked. Orders go from short to long, and an n-gram is only asked for if both n-grams one
-word shorter occur in other texts, as it cannot occur there otherwise. N-grams are 64-bit hashes.
+word shorter occur in other texts, as it cannot occur there otherwise. N-grams are 64-bit hashes; keys travel as steps
+and counts as planes of bytes (``packed``).
 
-Defined results: a null or empty text has no words, sum 0 and mean null; repeated rows are documents of their
-own; null ids are carried along; extra columns are ignored; an empty table gives an empty result.
+Defined results: a null or empty text has no words, sum 0 and mean null; repeated rows are documents of
+their own; null ids are carried along, and a block takes texts by id and text, so that rows without an id spread;
+extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,15 +20,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from heliogale.llm.blocks import BLOCK_BYTES, block_count, blocked, by_bucket
+from heliogale.llm.blocks import block_count
+from heliogale.llm.packed import pack, pack_ascending, unpack, unpack_ascending
 from heliogale.llm.wordhash import Hasher, mix, text_words
 
 ORDER = 3
 ALPHA = 0.4
+BLOCK_BYTES = 8 << 20  # a block's distinct n-grams are sent once, so larger blocks send less; about 30 bytes held per byte
 TOTAL = np.uint64(0)  # the key of the empty n-gram: it counts all words
-ASKED = "bucket int, block int, level int, keys array<long>, counts array<long>"
-ANSWER = "bucket int, block int, level int, totals array<long>"
+ASKED = "bucket int, block int, level int, keys binary, counts binary"
+ANSWER = "bucket int, block int, level int, totals binary"
 SCORES = "doc_id long, n_words long, n_unseen long, log_score double, mean_log_score double"
 
 
@@ -35,6 +40,12 @@ def _column(table: pa.Table, name: str) -> pa.Array:
     return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
+def _bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """First place of each bucket in ascending ``keys``: buckets are ranges of hashes, so this order is theirs."""
+    edges = np.array([-(-(b << 64) // buckets) for b in range(1, buckets)], dtype=np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
+
+
 class Counts:
     """The n-grams of a block: per order, the distinct hashes and their counts, and where they stand."""
 
@@ -66,35 +77,38 @@ class Counts:
             number = number + 1
         return ends, keys, counts, number
 
+    def own(self, ends: np.ndarray, keys: np.ndarray, counts: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """How often the n-gram that ends at each of ``ends`` occurs in its own text."""
+        own = np.ones(len(ends), dtype=np.int64)
+        several = np.flatnonzero(counts[number] > 1)
+        in_text = mix(self.text_of[ends[several]].astype(np.uint64) + np.uint64(1)) + mix(keys[number[several]])
+        _, which, times = np.unique(in_text, return_inverse=True, return_counts=True)
+        own[several] = times[which]
+        return own
+
     def answer(self, level: int, totals: np.ndarray) -> None:
-        """Take the sums over all texts, in the order of :meth:`sent`, and leave out each text's own counts."""
-        ends, keys, _, number = self.ask(level)
-        order, _ = by_bucket(keys, self.buckets)
-        total = np.empty(len(keys), dtype=np.int64)
-        total[order] = totals
-        _, own, times = np.unique(mix(self.text_of[ends].astype(np.uint64) + np.uint64(1)) + mix(keys[number]), return_inverse=True, return_counts=True)
+        """Take the sums over all texts, in the order of the keys, and leave out each text's own counts."""
+        ends, keys, counts, number = self.ask(level)
         seen = np.zeros(len(self.words), dtype=np.int64)
-        seen[ends] = total[number] - times[own]
+        seen[ends] = totals[number] - self.own(ends, keys, counts, number)
         if level == 1:
-            self.others = total[0] - self.counts[self.text_of]
+            self.others = totals[0] - self.counts[self.text_of]
         self.seen.append(seen)
         self.totals.append(totals)
 
     def carried(self, block: int) -> pa.Table:
         """The answers so far, addressed to the block itself, so that no order is asked for twice."""
         n = len(self.totals)
-        fixed = lambda value: pa.array(np.full(n, value), pa.int32())
-        return pa.table({"bucket": fixed(-1 - block), "block": fixed(block), "level": pa.array(np.arange(1, n + 1), pa.int32()),
-                         "keys": pa.array([[]] * n, pa.list_(pa.int64())), "counts": pa.array(self.totals, pa.list_(pa.int64()))})
+        return pa.table({"bucket": _fixed(-1 - block, n), "block": _fixed(block, n), "level": pa.array(np.arange(1, n + 1), pa.int32()),
+                         "keys": pa.array([b""] * n, pa.binary()), "counts": pa.array([pack(t) for t in self.totals], pa.binary())})
 
     def sent(self, level: int, block: int) -> pa.Table:
         _, keys, counts, _ = self.ask(level)
-        order, bound = by_bucket(keys, self.buckets)
+        bound = _bounds(keys, self.buckets)
         used = np.flatnonzero(np.diff(bound))
-        part = lambda values: pa.array([values[order[bound[b] : bound[b + 1]]] for b in used], pa.list_(pa.int64()))
-        fixed = lambda value: pa.array(np.full(len(used), value), pa.int32())
-        return pa.table({"bucket": pa.array(used, pa.int32()), "block": fixed(block), "level": fixed(level),
-                         "keys": part(keys.view(np.int64)), "counts": part(counts)})
+        part = lambda packed, values: pa.array([packed(values[bound[b] : bound[b + 1]]) for b in used], pa.binary())
+        return pa.table({"bucket": pa.array(used, pa.int32()), "block": _fixed(block, len(used)), "level": _fixed(level, len(used)),
+                         "keys": part(pack_ascending, keys), "counts": part(pack, counts)})
 
     def scores(self, alpha: float) -> tuple[np.ndarray, np.ndarray]:
         """Log score of every word, and whether it occurs in no other text."""
@@ -106,6 +120,10 @@ class Counts:
         return out, self.seen[0] == 0 if self.seen else np.zeros(0, dtype=bool)
 
 
+def _fixed(value: int, n: int) -> pa.Array:
+    return pa.array(np.full(n, value), pa.int32())
+
+
 def _answered(table: pa.Table, answers: pa.Table, buckets: int, upto: int) -> Counts:
     counts = Counts(_column(table, "text"), buckets)
     level, bucket = answers.column("level").to_numpy(), answers.column("bucket").to_numpy()
@@ -113,7 +131,8 @@ def _answered(table: pa.Table, answers: pa.Table, buckets: int, upto: int) -> Co
     for k in range(1, upto + 1):
         rows = np.flatnonzero(level == k)
         rows = rows[np.argsort(bucket[rows])]
-        counts.answer(k, totals.take(pa.array(rows)).flatten().to_numpy())
+        parts = [unpack(totals[r].as_py()).astype(np.int64) for r in rows.tolist()]
+        counts.answer(k, np.concatenate([np.zeros(0, np.int64), *parts]))
     return counts
 
 
@@ -137,13 +156,13 @@ def _summed(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     if key[0].as_py() < 0:
         return pa.table({"bucket": _column(table, "bucket"), "block": _column(table, "block"), "level": _column(table, "level"),
                          "totals": _column(table, "counts")})
-    asked = _column(table, "keys")
-    keys, counts = asked.flatten().to_numpy(), _column(table, "counts").flatten().to_numpy()
-    found, which = np.unique(keys, return_inverse=True)
-    totals = np.bincount(which, counts, len(found)).astype(np.int64)[which]
-    bound = np.concatenate([[0], np.cumsum(asked.value_lengths().to_numpy())])
+    asked = [unpack_ascending(k.as_py()) for k in table.column("keys")]
+    counts = np.concatenate([unpack(c.as_py()) for c in table.column("counts")])
+    found, which = np.unique(np.concatenate(asked), return_inverse=True)
+    totals = np.bincount(which, counts, len(found)).astype(np.uint64)[which]
+    bound = np.concatenate([[0], np.cumsum([len(keys) for keys in asked])])
     return pa.table({"bucket": _column(table, "bucket"), "block": _column(table, "block"), "level": _column(table, "level"),
-                     "totals": pa.array([totals[bound[k] : bound[k + 1]] for k in range(len(asked))], pa.list_(pa.int64()))})
+                     "totals": pa.array([pack(totals[bound[k] : bound[k + 1]]) for k in range(len(asked))], pa.binary())})
 
 
 def _scored(order: int, alpha: float, buckets: int):
@@ -165,7 +184,8 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, block_bytes
     """doc_id, n_words, n_unseen, log_score, mean_log_score of every row of ``docs``."""
     docs = docs.select("doc_id", "text")
     blocks = block_count(docs, block_bytes)
-    base = blocked(docs, blocks)
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+    base = docs.select(block.alias("block"), "doc_id", "text").repartition("block")
     # One chain: each order is shuffled once, and what is known goes along with the next order's questions.
     asked = base.groupBy("block").applyInArrow(_first(blocks), ASKED)
     for level in range(2, order + 1):
