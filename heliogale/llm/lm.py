@@ -8,7 +8,7 @@ The count tables are partitioned by ranges of the n-gram's hash: a block of text
 and their counts, one row per bucket; a bucket adds up the counts of all blocks and joins the sums back, in the
 order in which each block asked. Orders go from short to long, and an n-gram is only asked for if both n-grams one
 word shorter occur in other texts, as it cannot occur there otherwise. N-grams are 64-bit hashes; keys travel as steps
-and counts as planes of bytes (``packed``).
+and counts as compressed planes of bytes (``packed``).
 
 Defined results: a null or empty text has no words, sum 0 and mean null; repeated rows are documents of
 their own; null ids are carried along, and a block takes texts by id and text, so that rows without an id spread;

@@ -17,8 +17,8 @@ def test_round_trip(values):
 
 def test_narrow():
     keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 100_000, dtype=np.uint64))
-    assert len(pack_ascending(keys)) < 6.5 * len(keys)
-    assert len(pack(np.ones(1000, dtype=np.uint64))) == 1008
+    assert len(pack_ascending(keys)) < 6.25 * len(keys)
+    assert len(pack(np.ones(1000, dtype=np.uint64))) < 50
 
 
 @pytest.mark.parametrize("buckets", [1, 2, 7, 1000])
