@@ -7,11 +7,13 @@ are bytes, so shards come out near equal, and another shard moves little: its ow
 lower limit pushes on.
 
 The walk is done on the loads of the cells, a table whose size is fixed by ``CELLS`` and not by the
-data; documents only look up their cell. A cell heavier than ``1 / PARTS`` of a shard (a text with very
-many copies) is cut by document id into parts of about that weight, at most ``shards * PARTS`` more rows.
+data; documents only look up their cell. Rows with the same id, size and crc at a cell are counted before they are
+placed, and such a stack is cut into chunks of at most ``1 / PARTS`` of a shard. A cell heavier than that is cut
+into parts of about that weight, at most ``shards * PARTS`` more rows, and chunks are dealt out to its parts. So
+loads stay near equal whatever the ids: null, repeated or all the same.
 
-Defined results: a null text has size 1, no crc and its own point; repeated rows are rows of their own;
-an empty table gives an empty result. Extra columns are ignored, whatever their names.
+Defined results: a null text has size 1, no crc and its own point; repeated rows are rows of their own, each with
+a slot; a null id is a value of its own; an empty table gives an empty result. Extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from heliogale.llm.store import stored
 
 CELLS = 1 << 16
 PARTS = 64
+ROWS_PER_CHUNK = 10_000  # equal rows that are written out from one row
 VIRTUAL_NODES = 1024
 SLACK = 0.001
 
@@ -82,24 +85,35 @@ def place(cells: DataFrame, shards: int, virtual_nodes: int = VIRTUAL_NODES, sla
 def shard(docs: DataFrame, shards: int = 16, virtual_nodes: int = VIRTUAL_NODES, slack: float = SLACK) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of ``docs``."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    rows = stored(docs.select(
-        "doc_id", size.alias("size"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"),
-        F.pmod(F.xxhash64("text"), F.lit(CELLS)).cast("int").alias("cell"),
-    ))
-    weights = stored(rows.groupBy("cell").agg(F.sum("size").alias("load")))
+    rows = stored(
+        docs.select(
+            "doc_id", size.alias("size"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"),
+            F.pmod(F.xxhash64("text"), F.lit(CELLS)).cast("int").alias("cell"))
+        .groupBy("doc_id", "size", "text_crc32", "cell").agg(F.count("*").alias("copies"))
+    )
+    weights = stored(rows.groupBy("cell").agg(F.sum(F.col("size") * F.col("copies")).alias("load")))
     total = weights.agg(F.sum("load")).first()[0] or 0
-    heavy = F.greatest(F.lit(1), F.ceil(F.col("load") * (shards * PARTS) / max(1, total))).cast("int")
+    units = lambda load: F.ceil(load * (shards * PARTS) / max(1, total))  # noqa: E731  of 1 / PARTS of a shard
     # One row per cell: at most CELLS of two ints, so the lookup may be broadcast.
-    parts = weights.select("cell", heavy.alias("parts"))
-    rows = rows.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
-    cells = stored(rows.groupBy("cell", "part").agg(F.sum("size").alias("load"), F.count("*").alias("n")))
+    parts = weights.select("cell", F.greatest(F.lit(1), units(F.col("load"))).cast("int").alias("parts"))
+    chunks = F.greatest(F.ceil(F.col("copies") / ROWS_PER_CHUNK), F.least("copies", units(F.col("size") * F.col("copies"))))
+    chunked = (
+        rows.withColumn("chunks", chunks.cast("long"))
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+        .withColumn("m", F.expr("copies * (chunk + 1) div chunks - copies * chunk div chunks"))
+        .join(F.broadcast(parts), "cell")
+        .withColumn("part", F.pmod(F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("parts")) + F.col("chunk"), F.col("parts")).cast("int"))
+    )
+    cells = stored(chunked.groupBy("cell", "part").agg(F.sum(F.col("size") * F.col("m")).alias("load"), F.sum("m").alias("n")))
     placed = place(cells, shards, virtual_nodes, slack)
     earlier = Window.partitionBy("shard").orderBy("cell", "part").rowsBetween(Window.unboundedPreceding, -1)
     lookup = placed.select("cell", "part", "shard", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    # At most CELLS + shards * PARTS rows, as above. A part is ranked alone, so no task gets a whole shard.
-    inside = Window.partitionBy("cell", "part").orderBy("doc_id", "text_crc32", "size")
+    # At most CELLS + shards * PARTS rows, as above. A part is numbered alone, so no task gets a whole shard.
+    inside = Window.partitionBy("cell", "part").orderBy("doc_id", "text_crc32", "size", "chunk").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        rows.join(F.broadcast(lookup), ["cell", "part"])
+        chunked.join(F.broadcast(lookup), ["cell", "part"])
+        .withColumn("first", F.col("before") + F.coalesce(F.sum("m").over(inside), F.lit(0)))
         .select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
-                (F.col("before") + F.row_number().over(inside) - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+                F.explode(F.sequence(F.col("first"), F.col("first") + F.col("m") - 1)).alias("slot"),
+                F.lit(None).cast("int").alias("grown_shard"))
     )

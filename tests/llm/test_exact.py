@@ -140,6 +140,50 @@ def test_shards(hard_rows, frame):
     assert max(loads.values()) <= sum(loads.values()) / 16 * 1.001 + longest
 
 
+@pytest.mark.parametrize("same_id", [None, 5])
+def test_shards_of_equal_rows(frame, same_id, monkeypatch):
+    monkeypatch.setattr(sharding, "ROWS_PER_CHUNK", 100)
+    rng = random.Random(9)
+    rows = [(same_id, "thirty bytes of an equal text")] * 1000 + [(k, prose(rng, 5)) for k in range(1000)] + [(None, None)] * 7
+    out = sharding.shard(frame(rows, True)).collect()
+    assert order((r["doc_id"], r["size"]) for r in out) == order((i, len(t or "") + 1) for i, t in rows)
+    slots, loads = {}, dict.fromkeys(range(16), 0)
+    for r in out:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+        loads[r["shard"]] += r["size"]
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    mean = sum(loads.values()) / 16
+    assert max(loads.values()) <= mean * (1.001 + 2 / sharding.PARTS) + 31
+
+
+def test_ring_walk_by_hand(spark):
+    """The walk of :func:`sharding.place`, item by item along a list of nodes."""
+    rng = random.Random(10)
+    items = [(rng.randrange(sharding.CELLS), 0, rng.randrange(1, 50)) for _ in range(300)] + [(77, p, 400) for p in range(5)]
+    items = list({i[:2]: i for i in items}.values())
+    got = {(r["cell"], r["part"]): r["shard"] for r in sharding.place(
+        spark.createDataFrame(items, "cell int, part int, load long"), 5, 20, 0.01).collect()}
+    nodes = sorted((r["cell"], r["shard"]) for r in sharding.ring(spark, 5, 20).collect())
+    limit, loads, want, left = sum(i[2] for i in items) / 5 * 1.01, dict.fromkeys(range(5), 0), {}, items
+    while left:
+        is_open = {s for s in loads if loads[s] < limit}
+        waiting = {}
+        for cell, part, load in left:
+            on = [s for at, s in nodes if at >= cell and s in is_open] or [s for _, s in nodes if s in is_open]
+            waiting.setdefault(on[0], []).append((-load, cell, part))
+        left = []
+        for s, queue in waiting.items():
+            ahead = loads[s]
+            for load, cell, part in sorted(queue):
+                if ahead < limit:
+                    want[cell, part] = s
+                    loads[s] -= load
+                else:
+                    left.append((cell, part, -load))
+                ahead -= load
+    assert got == want
+
+
 def test_shard_movement(frame):
     rng = random.Random(7)
     docs = frame([(k, prose(rng, 10)) for k in range(4000)])
