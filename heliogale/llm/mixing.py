@@ -10,7 +10,9 @@ Weighing the entropy by words, not by documents, keeps long documents as likely
 
 Defined results: a null or empty text has size 0 and takes 0 words; a null source is a source of its
 own, last in order; repeated rows are mixed as the rows they are; an empty table gives an empty
-result. Extra columns are ignored, whatever their names.
+result. Extra columns are ignored, whatever their names. Rows of one source and size are ordered by id (null
+first), then by a digest of id and text, so reruns draw the same texts where ids are null or repeated; only rows
+equal in both are interchangeable.
 """
 
 from __future__ import annotations
@@ -25,13 +27,19 @@ from heliogale.llm.store import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 NEWTON_STEPS = 64  # one step lowers the multiplier by up to 1, so rates down to exp(-60) are reached
-ROWS_PER_RANK = 50_000  # rows that are ranked together; larger groups of one size are cut
+ROWS_PER_RANK = 50_000  # rows that are ranked together, about; groups of one size are cut by digest into parts of so many
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_mark(doc_id: Column, text: Column) -> Column:
+    """60 bits of a digest of id and text."""
+    whole = F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(":"), F.coalesce(F.concat(F.lit("t"), text), F.lit("")))
+    return F.conv(F.substring(F.md5(whole), 1, 15), 16, 10).cast("long")
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float], cap: float) -> DataFrame:
     """One row per source: source, source_size, target.
 
@@ -97,7 +105,8 @@ def extra_copies(groups: DataFrame) -> DataFrame:
 
 def _planned(docs: DataFrame, weights: Sequence[float], cap: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The sizes of all rows, the parts of each (source, size) and the copies of each (source, size, part)."""
-    sizes = stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    sizes = stored(docs.select(
+        "doc_id", "source", word_count(F.col("text")).alias("size"), row_mark(F.col("doc_id"), F.col("text")).alias("mark")))
     counts = sizes.groupBy("source", "size").agg(F.count("*").alias("n"))
     parts = counts.select("source", "size", F.ceil(F.col("n") / ROWS_PER_RANK).cast("long").alias("parts"))
     tilt = F.exp(dual_multiplier(F.col("source_size"), F.col("target")))
@@ -107,14 +116,13 @@ def _planned(docs: DataFrame, weights: Sequence[float], cap: float) -> tuple[Dat
 
 
 def _placed(rows: DataFrame, parts: DataFrame) -> DataFrame:
-    part = F.pmod(F.coalesce("doc_id", F.lit(0)), F.col("parts"))
-    return _same(rows, parts, "source", "size").withColumn("part", part).drop("parts")
+    return _same(rows, parts, "source", "size").withColumn("part", F.pmod("mark", "parts")).drop("parts")
 
 
 def _copied(rows: DataFrame, parts: DataFrame, plan: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, source, size, ...) with their copies: ``extra`` of a group's ``n`` rows, evenly along
+    """``rows`` (doc_id, source, size, mark, ...) with their copies: ``extra`` of a group's ``n`` rows, evenly along
     their ids, get one copy over the whole number."""
-    number = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("doc_id"))
+    number = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("doc_id", "mark"))
     share = lambda k: F.floor(F.col("extra") * k / F.col("n"))
     return _same(_placed(rows, parts).withColumn("number", number), plan, "source", "size", "part").withColumn(
         "copies", (F.col("whole") + share(F.col("number")) - share(F.col("number") - 1)).cast("long"))
@@ -136,7 +144,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0)
 def take(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: float = 3.0) -> DataFrame:
     """The rows of ``docs`` with all their columns, each as often as the mix takes it."""
     _, parts, plan = _planned(docs, weights, cap)
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct(*docs.columns).alias("row"))
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"),
+                       row_mark(F.col("doc_id"), F.col("text")).alias("mark"), F.struct(*docs.columns).alias("row"))
     return _copied(rows, parts, plan).select("row", F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int"))).alias("_")).select("row.*")
 
 

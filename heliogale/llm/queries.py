@@ -32,9 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 MIX_SQL = r"""
-WITH sizes AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
+WITH counted_words AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || coalesce('t' || text, '')), 1, 15))::BIGINT AS mark
   FROM documents),
+sizes AS (
+  SELECT *, mark % CAST(ceil(count(*) OVER (PARTITION BY source, size) / 50000.0) AS BIGINT) AS part FROM counted_words),
 per_source AS (
   SELECT source, CAST(sum(size) AS DOUBLE) AS source_size FROM sizes GROUP BY source),
 ordered AS (
@@ -52,27 +55,27 @@ rates AS (
          CASE WHEN source_size > 0 THEN round(least(ceil3, weight * level) / source_size, 9) ELSE 0.0 END AS rate
   FROM levels, level),
 groups AS (
-  SELECT s.source, s.size, count(*) AS n, any_value(source_size) AS source_size, any_value(target) AS target, any_value(rate) AS rate
-  FROM sizes s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source GROUP BY s.source, s.size),
+  SELECT s.source, s.size, s.part, count(*) AS n, any_value(source_size) AS source_size, any_value(target) AS target, any_value(rate) AS rate
+  FROM sizes s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source GROUP BY s.source, s.size, s.part),
 counted AS (
   SELECT *, floor(rate) AS whole, rate - floor(rate) AS frac,
-         coalesce(sum(n) OVER (PARTITION BY source ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+         coalesce(sum(n) OVER (PARTITION BY source ORDER BY size, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM groups),
 evened AS (SELECT *, floor(frac * (before + n) + 0.5) - floor(frac * before + 0.5) AS even FROM counted),
 lacking AS (SELECT *, target - sum(size * (n * whole + even)) OVER (PARTITION BY source) AS lacks FROM evened),
 rooms AS (
   SELECT *, CASE WHEN lacks < 0 THEN even WHEN rate > whole THEN n - even ELSE 0 END AS free FROM lacking),
 used AS (
-  SELECT *, coalesce(sum(free * size) OVER (PARTITION BY source ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used
+  SELECT *, coalesce(sum(free * size) OVER (PARTITION BY source ORDER BY size, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used
   FROM rooms),
 changes AS (
   SELECT *, greatest(0, least(CASE WHEN size > 0 THEN floor((abs(lacks) - used) / size) ELSE 0 END, free)) AS change FROM used),
 plan AS (SELECT *, even + CASE WHEN lacks < 0 THEN -change ELSE change END AS extra FROM changes),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY source, size ORDER BY doc_id) AS k FROM sizes)
+numbered AS (SELECT *, row_number() OVER (PARTITION BY source, size, part ORDER BY doc_id NULLS FIRST, mark) AS k FROM sizes)
 SELECT d.doc_id, d.size, CAST(p.source_size AS BIGINT) AS source_size, round(p.target, 6) AS target,
        CAST(p.whole + floor(p.extra * k / p.n) - floor(p.extra * (k - 1) / p.n) AS BIGINT) * d.size AS taken,
        CAST(p.whole + floor(p.extra * k / p.n) - floor(p.extra * (k - 1) / p.n) AS BIGINT) AS copies, p.rate
-FROM numbered d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source AND d.size = p.size
+FROM numbered d JOIN plan p ON d.source IS NOT DISTINCT FROM p.source AND d.size = p.size AND d.part = p.part
 """
 
 

@@ -122,6 +122,21 @@ def test_mix(frame):
     assert order(map(tuple, mixing.mix(docs).collect())) == order(map(tuple, out))
 
 
+@pytest.mark.parametrize("limit", [1, 10])
+def test_mix_ranks_in_parts_like_its_twin(spark, monkeypatch, limit):
+    monkeypatch.setattr(mixing, "ROWS_PER_RANK", limit)
+    df = QUERIES["op3_entropy_mix"](spark, SF)
+    names, want = sql_rows(SF, ORACLES["op3_entropy_mix"].replace("50000", str(limit)))
+    assert difference(df.columns, [tuple(r) for r in df.collect()], names, want) is None
+
+
+def test_mix_draws_the_same_texts_for_equal_ids(frame):
+    rows = [(7 if k % 2 else None, f"word{k} and two") for k in range(300)] + [(k, "a b") for k in range(50)]
+    drawn = [order((r["doc_id"], r["text"]) for r in mixing.take(frame(data, True).repartition(n)).select("doc_id", "text").collect())
+             for data, n in ((rows, 3), (rows, 7))]
+    assert drawn[0] == drawn[1]
+
+
 def test_shards(hard_rows, frame):
     import zlib
 
