@@ -3,7 +3,7 @@
 A line with a word fails when it is
 * navigation: over ``NAV_SHARE`` of its words are separators standing alone,
 * badly punctuated: over ``MARKS_PER_WORD`` punctuation bytes per word, or at most ``SHORT_LINE`` words
-  and no closing mark at its end,
+  and no closing mark of any script (``CLOSING``) at its end,
 * boilerplate: it holds one of ``BOILERPLATE``, whatever the case.
 
 Texts also have base counts (words, symbols, repeated lines and windows) and a base verdict. A text is
@@ -33,6 +33,16 @@ BOILERPLATE = (
     b"cookie", b"privacy policy", b"terms of use", b"terms of service", b"all rights reserved", b"javascript",
     b"lorem ipsum", b"subscribe to", b"sign in to", b"log in to", b"click here", b"licensed under", b"released under the",
 )
+# Marks that end a sentence, a quotation or a bracket, by script.
+CLOSING = (
+    ".!?:;\"')]}"  # ASCII
+    "…»«›”“’‘"  # European quotations and the ellipsis
+    "。！？：；」』）】》〉．｡｣"  # Chinese and Japanese
+    "؟؛۔"  # Arabic and Urdu
+    "।॥"  # Indic
+    "·։՞״׃"  # Greek, Armenian, Hebrew
+    "።፧፨៖។៕၊။"  # Ethiopic, Khmer, Burmese
+)
 WINDOW = 8
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
@@ -48,7 +58,7 @@ def _table(marks: bytes) -> np.ndarray:
 
 _SYMBOL = _table(b"#*$%&|<>")
 _ALONE = _table(b"|>/~\xc2\xbb\xb7")  # separators, with the UTF-8 bytes of two common ones
-_CLOSING = _table(b".!?:;\"')\x9d\x99\xa6\xbb")  # the last four end closing quotes and the ellipsis
+_CLOSING = np.array(sorted(map(ord, CLOSING)))
 _MARK = _table(bytes(c for c in range(33, 127) if not chr(c).isalnum()))
 _SPACE = _table(b" \t\n\x0b\x0c\r")
 
@@ -70,6 +80,19 @@ def _repeated(keys: np.ndarray) -> np.ndarray:
     return twice
 
 
+def _code_points(raw: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The characters whose last bytes stand at ``last``."""
+    point, at, open_ = np.zeros(len(last), dtype=np.int64), last.copy(), np.ones(len(last), dtype=bool)
+    for step in range(4):
+        byte = raw[at].astype(np.int64)
+        inner = (byte & 0xC0) == 0x80
+        lead = np.select([byte < 0x80, byte < 0xE0, byte < 0xF0], [byte, byte & 0x1F, byte & 0x0F], byte & 0x07)
+        point += np.where(open_, np.where(inner, byte & 0x3F, lead) << (6 * step), 0)
+        open_ &= inner
+        at = np.maximum(at - open_, 0)
+    return point
+
+
 class Lines:
     """Lines, words and verdicts of a block of texts."""
 
@@ -116,7 +139,8 @@ class Lines:
         n_marks = marks[line_end] - marks[line_start]
         last = np.zeros(len(first), dtype=np.int64)
         last[wordy] = end[first[wordy] + self.line_words[wordy] - 1] - 1
-        unclosed = wordy & (self.line_words <= SHORT_LINE) & ~_CLOSING[raw[last]] if len(raw) else wordy
+        unclosed = wordy & (self.line_words <= SHORT_LINE)
+        unclosed[unclosed] = ~np.isin(_code_points(raw, last[unclosed]), _CLOSING)
         boiler = np.zeros(len(first), dtype=bool)
         low = raw.tobytes().lower()
         for phrase in BOILERPLATE:

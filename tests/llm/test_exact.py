@@ -68,6 +68,14 @@ def test_line_verdicts(frame):
     assert {r["doc_id"]: r["text"] for r in linerules.clean(frame(rows)).collect()} == {1: text, 3: text}
 
 
+@pytest.mark.parametrize("line, lost", [
+    ("stój ę", 2), ("стой мой", 2), ("стой л", 2), ("Стой!", 0), ("这是一句话。", 0), ("这是一句话", 1), ("ما هذا؟", 0), ("ما هذا", 2),
+    ("यह एक वाक्य है।", 0), ("यह एक वाक्य है", 4), ("« Oui, bien sûr »", 0), ("он сказал…", 0), ("日本語」", 0), ("an end \U0001f600", 3), ("é", 1), ("\n\n", 0)])
+def test_closing_marks_of_scripts(frame, line, lost):
+    out = linerules.judge(frame([(1, line), (2, "plain words.\n" + line)])).collect()
+    assert [r["n_lost_words"] for r in out] == [lost, lost]
+
+
 def test_edit_distance():
     import numpy as np
 
