@@ -148,13 +148,14 @@ def train(docs: DataFrame, usable: Column) -> LanguageModel:
     fits = F.octet_length("text").between(1, MAX_TRAIN_BYTES)
     known = docs.select("doc_id", "lang", "text").filter(usable).filter(F.col("lang").isNotNull() & fits).select("doc_id", "lang")
     langs = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
-    fitting = docs.select("doc_id", "text").filter(fits)
+    fitting = docs.select("doc_id", "lang", "text").filter(usable).filter(fits)
     each = max(1, TRAIN_ROWS // max(1, len(langs)))
     texts: list[str] = []
     truth: list[str] = []
     for lang in langs:
         ids = drawn(known.filter(F.col("lang") == lang).select("doc_id"), F.col("doc_id"), each)
-        for r in fitting.join(F.broadcast(ids), "doc_id", "left_semi").sort("doc_id", "text").limit(each).collect():
+        # By id and language: a repeated id may stand for texts of several languages.
+        for r in fitting.filter(F.col("lang") == lang).join(F.broadcast(ids), "doc_id", "left_semi").sort("doc_id", "text").limit(each).collect():
             texts.append(r["text"])
             truth.append(lang)
     return fit(texts, truth)

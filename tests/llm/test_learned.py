@@ -37,6 +37,16 @@ def test_language(spark):
     assert out.filter("lang = lang_pred").count() >= 0.97 * out.count()
 
 
+def test_language_of_repeated_ids(spark):
+    """Texts of two languages, and of none, under the same ids."""
+    texts = [(0, "en", "plain words of a calm text"), (100, "ru", "простые слова"), (200, None, "otras cosas")]
+    learned = [(k % 7, lang, f"{text} {k}") for k in range(60) for _, lang, text in texts]
+    asked = spark.createDataFrame([(first + k, f"{text} {k}") for k in range(60) for first, lang, text in texts if lang], "doc_id long, text string")
+    model = langid.train(spark.createDataFrame(learned, "doc_id long, lang string, text string"), F.lit(True))
+    got = {(r["doc_id"] // 100, r["lang_pred"]) for r in model.predict(asked).collect()}
+    assert got == {(0, "en"), (1, "ru")}
+
+
 def test_odd_texts(frame, hard_rows, spark):
     docs = frame(hard_rows, True)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
