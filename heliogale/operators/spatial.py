@@ -311,13 +311,13 @@ def buffered_smooth(
 
 
 def settlement_density(pixels: DataFrame, grid: Grid, value: str = "value", how: str = "avg") -> DataFrame:
-    """Built-up area per cell and its share of the cell's ellipsoidal area."""
+    """Built-up area per cell and its share of the cell's ellipsoidal area, null for a cell without area (centred on a pole)."""
     from heliogale.operators.grid import raster_reduce
 
     lat = fn.dbl(grid.lat0) - fn.dbl(grid.res) * F.col("lat_i")
     return raster_reduce(pixels, grid, [value], how).select(
         *CELL, F.col(value).alias("settlement_m2"),
-        (F.col(value) / fn.pixel_area_m2(lat, grid.res)).alias("settlement_share"),
+        fn.safe_ratio(F.col(value), fn.pixel_area_m2(lat, grid.res)).alias("settlement_share"),
     )
 
 

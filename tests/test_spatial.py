@@ -169,3 +169,11 @@ def test_demand_proximity_joins_settlement_and_surroundings(spark):
     assert out.count() == 144 and out.filter("demand is null").count() == 0
     r = out.filter("lat_i = 0 and lon_i = 0").first()
     assert r["settlement_m2"] == 1e6 and r["demand"] == pytest.approx(1e6 / 3.0777e9, rel=1e-2)
+
+
+def test_settlement_density_of_a_cell_on_the_pole(spark, rows):
+    grid = Grid(0.0, 90.0, 1.0, 1, 2)  # centres at 90 and 89
+    pixels = spark.createDataFrame([(0.0, 90.0, 5.0), (0.0, 89.0, 5.0)], "x double, y double, value double")
+    got = rows(spatial.settlement_density(pixels, grid), "lat_i", "settlement_m2", "settlement_share")
+    assert got[0] == (0, 5.0, None)
+    assert got[1][:2] == (1, 5.0) and got[1][2] > 0
