@@ -18,6 +18,7 @@ from heliogale.sources.notes import path_exists
 log = logging.getLogger(__name__)
 TILE = ["tile_lon", "tile_lat"]
 FILE_BYTES = 128 << 20  # a file of stored tables is about this large
+TASK_FILES = 32  # tiles of one file each that a task writes, about
 
 
 def pieces(rows: int, row_bytes: int, file_bytes: int = FILE_BYTES) -> int:
@@ -45,21 +46,25 @@ def write_tiles(df: DataFrame, path: str, tile: list[str] | None = None, file_by
     The rows of every tile are counted. A tile that fits one file is one file; a larger one is cut along the
     Z-order of its places (rows at one place by their content), so each of its files covers a compact part of
     it. Files are sorted by place, so a box filter skips tiles by their names, and files and row groups by
-    their ranges. Tiles are packed into tasks by value ranges: neither a crowded tile nor many empty ones
-    make an uneven task.
+    their ranges. Whole tiles are dealt out to as many tasks as their rows and their number ask for, since a file costs
+    time however few rows it has; cut ones are packed into tasks by value ranges. Neither a crowded tile nor many
+    nearly empty ones make an uneven task.
     """
     tile = tile or TILE
     rows = pinned(df)
     rest = [c for c in df.columns if c not in tile]
     per_file = max(1, file_bytes // max(1, sum(_BYTES.get(t, 16) for c, t in df.dtypes if c in rest)))
     counts = rows.groupBy(*[F.col(t).alias(f"_{t}") for t in tile]).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    same = [F.col(t).eqNullSafe(F.col(f"_{t}")) for t in tile]
     cut = F.col("_n") > per_file
-    placed = rows.join(counts, same).withColumn("_z", _z_order(df)).withColumns(
-        {"_part": F.when(cut, F.col("_z")), "_row": F.when(cut, F.xxhash64(*rest)) if rest else F.lit(0)})
-    ranges = placed.repartitionByRange(-(-total // per_file) or 1, *tile, "_part", "_row")
-    ordered = ranges.sortWithinPartitions(*tile, "_z").select(*df.columns)
+    one, many = counts.agg(
+        F.struct(F.count_if(~cut).alias("tiles"), F.sum(F.when(~cut, F.col("_n"))).alias("rows")),
+        F.struct(F.count_if(cut).alias("tiles"), F.sum(F.when(cut, F.col("_n"))).alias("rows"))).first()
+    same = [F.col(t).eqNullSafe(F.col(f"_{t}")) for t in tile]
+    placed = rows.join(counts, same).withColumns({"_z": _z_order(df), "_row": F.xxhash64(*rest) if rest else F.lit(0)})
+    dealt = placed.filter(~cut).repartition(max(1, -(-(one["rows"] or 0) // per_file), -(-one["tiles"] // TASK_FILES)), *tile)
+    if many["tiles"]:
+        dealt = dealt.unionByName(placed.filter(cut).repartitionByRange(-(-many["rows"] // per_file), *tile, "_z", "_row"))
+    ordered = dealt.sortWithinPartitions(*tile, "_z").select(*df.columns)
     ordered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*tile).parquet(path)
 
 

@@ -80,6 +80,16 @@ def test_tile_files_follow_their_rows(spark, tmp_path, rows):
     assert spans.agg(F.avg(F.col("w") * F.col("h"))).first()[0] < 64 * 63 / 4
 
 
+def test_many_small_tiles_are_written_by_many_tasks(spark, tmp_path):
+    path = str(tmp_path / "many")
+    df = spark.range(600).select((F.col("id") % 10).cast("int").alias("tile_lon"), (F.col("id") % 200).cast("int").alias("tile_lat"), "id")
+    sinks.write_tiles(df, path)
+    names = [f.name for f in (tmp_path / "many").rglob("*.parquet")]
+    # One file a tile; a file's name begins with the number of the task that wrote it.
+    assert len(names) == 200 and len({n.split("-")[1] for n in names}) >= 5
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == list(range(600))
+
+
 def test_a_box_reads_only_its_tiles(spark, tmp_path):
     path = str(tmp_path / "world")
     df = spark.range(40 * 40).select((F.col("id") % 40 * 0.5).alias("longitude"), (F.floor(F.col("id") / 40) * 0.5 + 0.5).alias("latitude"))
