@@ -44,6 +44,7 @@ MOST_COMMON = 1 << 18  # shingles that come last at most, as all tasks know them
 PIVOTS = 4  # pivots that a large region takes at once
 BOUNDS = ("size", "last", "cap", "loose")  # of a set in a region: what its links are bounded by
 SKETCH = 512  # bits of a set's sketch: for each, whether an odd number of its shingles falls there
+FIRST_SHARED = 32  # regions of a set in which is looked for the first one that a pair shares
 NO_ID = -(1 << 62)  # ids below stand for null ids, one for each text
 
 
@@ -375,10 +376,21 @@ class Join:
         """The sets of every region beside its pivots, where their bounds and sketches let them be linked.
 
         Sketches are long, so they are only looked up here and not kept with the rows of every region.
+
+        Near copies share most of their regions. A pair meets only in the first one, in the common order, of those where one
+        is a pivot of the other: bounds fall from region to region, so a pair they let meet at all meets there. Each side
+        knows the first ``FIRST_SHARED`` of its regions. If both know a shared one, the first of these is the pair's first;
+        if not, the pair meets wherever the bounds let it.
         """
         bounds = self._fits(F.col, lambda c: F.col(f"pivot_{c}"))
-        of_pivots = self.sketches.select(F.col("doc").alias("pivot"), F.col("sketch").alias("pivot_sketch"))
-        return rows.join(self.sketches, "doc").join(pivots.join(of_pivots, "pivot"), "key").filter(bounds & self._alike())
+        # ``cap`` falls by one from each region of a set to its next one.
+        first = lambda cap: F.slice(F.sort_array(F.collect_list(F.struct((-F.col(cap)).alias("at"), "key"))), 1, FIRST_SHARED)["key"]
+        of_sets = self.sketches.join(rows.groupBy("doc").agg(first("cap").alias("first")), "doc")
+        of_pivots = self.sketches.select(F.col("doc").alias("pivot"), F.col("sketch").alias("pivot_sketch")).join(
+            pivots.groupBy("pivot").agg(first("pivot_cap").alias("pivot_first")), "pivot")
+        shared = F.array_intersect("first", "pivot_first")
+        once = (F.size(shared) == 0) | (F.get(shared, F.lit(0)) == F.col("key"))
+        return rows.join(of_sets, "doc").join(pivots.join(of_pivots, "pivot"), "key").filter(bounds & self._alike() & once)
 
     def _alike(self) -> Column:
         """Do the sketches of a set and a pivot differ in no more bits than linked sets of their sizes may in shingles?"""
@@ -469,5 +481,8 @@ def _joined(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, sma
 
 def keep_one(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` without all but the smallest id of each component; a repeated row stays once."""
-    leads = _joined(docs, **parameters).filter(F.col("doc") == F.col("lead")).select(F.col("doc").alias("_lead")).distinct()
-    return docs.join(leads, _named(docs) == leads["_lead"], "left_semi").dropDuplicates(["doc_id", "text"])
+    leads = stored(_joined(docs, **parameters).groupBy(F.col("doc").alias("_lead")).agg(
+        F.max(F.col("doc") == F.col("lead")).alias("_leads"), F.count("*").alias("_rows")).filter("_leads").drop("_leads"))
+    # Only rows whose id is repeated are compared by their text; all others are sent to no other task for it.
+    kept = lambda some: docs.join(leads.filter(some), _named(docs) == leads["_lead"], "left_semi")
+    return kept(F.col("_rows") == 1).unionByName(kept(F.col("_rows") > 1).dropDuplicates(["doc_id", "text"]))

@@ -105,3 +105,25 @@ def test_every_language_is_learned(frame, monkeypatch):
     rows = [(k, f"l{k % 4} " * (100 if k % 4 == 0 and k else 9)) for k in range(200)]
     docs = frame(rows).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 4))
     assert langid.train(docs, F.lit(True)).langs == ["l0", "l1", "l2", "l3"]
+
+
+def test_near_copies_meet_once(frame, monkeypatch):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(0, " ".join(words))] + [(k, " ".join([*words[:k], "other", *words[k + 1 :]])) for k in range(1, 40)]
+    met, keep = [], jaccard.Join._met
+
+    def counted(self, *arguments):
+        out = keep(self, *arguments)
+        met.append((out.count(), out.select("doc", "pivot").distinct().count()))
+        return out
+
+    monkeypatch.setattr(jaccard.Join, "_met", counted)
+    out = {r["doc_id"]: r["component_id"] for r in jaccard.join(frame(rows), small=4).collect()}
+    assert set(out.values()) == {0}
+    assert met[0][1] >= 39 and all(n == different for n, different in met)
+
+
+def test_keep_one_keeps_the_texts_of_a_repeated_id(frame):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "g h i j k l"), (2, "a b c d e f"), (3, None), (3, None), (4, "m n")]
+    kept = sorted((r["doc_id"], r["text"] or "") for r in jaccard.keep_one(frame(rows)).collect())
+    assert kept == [(1, "a b c d e f"), (1, "g h i j k l"), (3, ""), (4, "m n")]
