@@ -398,14 +398,15 @@ class Join:
         return differ * (100 + self.percent) <= (F.col("size") + F.col("pivot_size")) * (100 - self.percent)
 
     def _connect(self, large: DataFrame, pairs: DataFrame) -> DataFrame:
-        large = self._able(large)
+        # Tables used several times are stored first: one plan of all these steps would hold each of them as often as it is
+        # used, and plans, their many broadcast tables and their states take the driver's memory.
+        large = stored(self._able(large))
         pivots = stored(self._pivots(large))
         met = self._met(large, pivots).filter(F.col("doc") != F.col("pivot"))
-        pairs = pairs.unionByName(met.select(F.col("doc").alias("a"), F.col("pivot").alias("b"))).distinct()
+        pairs = stored(pairs.unionByName(met.select(F.col("doc").alias("a"), F.col("pivot").alias("b"))).distinct())
         tested = stored(self.verify(pairs, 0))
         links = stored(self.near(tested).select("a", "b"))
         labels = components(links)
-        large = stored(large)
         if large.isEmpty():
             return labels
         first = pivots.select(F.col("pivot").alias("b")).distinct()
@@ -428,7 +429,7 @@ class Join:
                 return labels
             pivots = stored(self._more_pivots(waiting, turn))
             # A set that has been a pivot has met all others, so only waiting sets meet the new pivots.
-            met = (
+            met = stored(
                 self._met(waiting, pivots).filter((F.col("component") != F.col("pivot_component")) & self._window())
                 .select(F.col("doc").alias("a"), F.col("pivot").alias("b")).distinct()
             )
@@ -450,15 +451,17 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round takes the smallest label among the neighbours and then the label of that label, so long
     chains shorten by half. Hubs are harmless: labels are joined to edges and reduced by partial minima.
+    Every id is its own neighbour, so a round looks labels up only once before the second step.
     """
-    edges = stored(links.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(
-        links.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct())
-    labels = stored(edges.groupBy("x").agg(F.min("y").alias("y")).select(F.col("x").alias("id"), F.least("x", "y").alias("component")))
+    ends = F.explode(F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x in "ab" for y in "ab"])).alias("e")
+    edges = stored(links.select(ends).select("e.x", "e.y").distinct())
+    labels = stored(edges.groupBy(F.col("x").alias("id")).agg(F.min("y").alias("component")))
     while True:
-        near = edges.join(labels.select(F.col("id").alias("y"), "component"), "y").groupBy("x").agg(F.min("component").alias("near"))
-        lower = labels.join(near, F.col("id") == F.col("x")).select("id", "component", F.least("component", "near").alias("lower"))
-        jump = lower.select(F.col("id").alias("lower"), F.col("lower").alias("jump"))
-        moved = stored(lower.join(jump, "lower").select("id", F.col("jump").alias("component"), (F.col("jump") < F.col("component")).alias("moved")))
+        lower = edges.join(labels.select(F.col("id").alias("y"), "component"), "y").groupBy("x").agg(
+            F.max(F.when(F.col("x") == F.col("y"), F.col("component"))).alias("component"), F.min("component").alias("lower"))
+        jump = lower.select(F.col("x").alias("lower"), F.col("lower").alias("jump"))
+        moved = stored(lower.join(jump, "lower").select(
+            F.col("x").alias("id"), F.col("jump").alias("component"), (F.col("jump") < F.col("component")).alias("moved")))
         labels = moved.select("id", "component")
         if moved.filter("moved").isEmpty():
             return labels

@@ -127,3 +127,25 @@ def test_keep_one_keeps_the_texts_of_a_repeated_id(frame):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "g h i j k l"), (2, "a b c d e f"), (3, None), (3, None), (4, "m n")]
     kept = sorted((r["doc_id"], r["text"] or "") for r in jaccard.keep_one(frame(rows)).collect())
     assert kept == [(1, "a b c d e f"), (1, "g h i j k l"), (3, ""), (4, "m n")]
+
+
+def test_no_plan_of_the_join_repeats_its_steps(frame, monkeypatch):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(0, " ".join(words))] + [(k, " ".join([*words[:k], "other", *words[k + 1 :]])) for k in range(1, 40)]
+    exchanges, keep = [], jaccard.stored
+
+    def counted(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        exchanges.append(plan.count("Exchange"))
+        return keep(df)
+
+    monkeypatch.setattr(jaccard, "stored", counted)
+    out = {r["doc_id"]: r["component_id"] for r in jaccard.join(frame(rows), small=4).collect()}
+    assert set(out.values()) == {0}
+    assert max(exchanges) <= 30, exchanges
+
+
+def test_components_of_a_long_chain_and_a_hub(spark):
+    links = [(k, k + 1) for k in range(100, 140)] + [(500, k) for k in range(200, 260)] + [(7, 5)]
+    out = {r["id"]: r["component"] for r in jaccard.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert out == {k: 100 for k in range(100, 141)} | {k: 200 for k in [500, *range(200, 260)]} | {5: 5, 7: 5}
